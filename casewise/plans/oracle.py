@@ -453,7 +453,7 @@ _add(
 _add(
     "owned_events",
     [_EV, _CASES],
-    "SELECT event_uid, case_id FROM evs WHERE case_id IN (SELECT case_id FROM cases WHERE NOT is_deleted AND investigator_id = 1)",
+    "SELECT event_uid, case_id FROM evs WHERE case_id IN (SELECT case_id FROM cases WHERE NOT is_deleted AND investigator_id = 10)",
 )
 _add(
     "reports_of_owner",
@@ -495,7 +495,7 @@ _add(
     "detect_first_events",
     [_EV, _RULES],
     """SELECT case_id, rule_name, row_number() OVER w AS position, event_uid, evs."timestamp" FROM evs JOIN rules USING (event_type)
-      QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY case_id, rule_name ORDER BY evs."timestamp" NULLS FIRST, event_uid)""",
+      WINDOW w AS (PARTITION BY case_id, rule_name ORDER BY evs."timestamp" NULLS FIRST, event_uid) QUALIFY row_number() OVER w <= 5""",
 )
 _add(
     "detect_windowed",

@@ -337,7 +337,7 @@ def timeline_page(spark, d):
 @query
 def owned_events(spark, d):
     """Events of the live cases of an investigator."""
-    return timeline.owned(A.case_events(spark, d), A.cases(spark, d), 1).select("event_uid", "case_id")
+    return timeline.owned(A.case_events(spark, d), A.cases(spark, d), 10).select("event_uid", "case_id")
 
 
 @query
