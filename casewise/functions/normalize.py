@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewise import taxonomy as X
-from casewise.functions.text import contains_any, first_present, found, present
+from casewise.functions.text import first_present, found, present
 from casewise.schemas import NORMALIZED_EVENT
 
 
@@ -15,22 +15,25 @@ def rule_outcomes() -> list[tuple[str, str, str]]:
     return [rule[-3:] for rule in (*X.WIN_RULES, *X.KEYWORD_RULES)] + [X.RULE_OTHERWISE]
 
 
-def rule_number(event_type: Column, event_id: Column, description: Column) -> Column:
+def _holds(column: str, words: list[str]) -> list[str]:
+    return [f"contains({column}, '{word}')" for word in words]
+
+
+def rule_number(event_type: str, event_id: str, description: str) -> Column:
     """Position of the rule that applies: exact Windows ids first, then keywords in order.
 
-    ``event_type`` and ``description`` must already be lower case. The cascade yields a number
-    instead of the texts, which keeps the generated code small; ``rule_text`` looks them up.
+    The arguments are column names; type and description must be lower case and not null.
+    The cascade yields a number instead of the texts, which keeps the generated code small;
+    ``rule_text`` looks them up.
     """
-    known_id = F.trim(F.coalesce(event_id, F.lit("")))
-    tests = [known_id.isin(ids) for ids, *_ in X.WIN_RULES]
+    known_id = f"trim(coalesce({event_id}, ''))"
+    tests = [f"{known_id} IN ({', '.join(repr(i) for i in ids)})" for ids, *_ in X.WIN_RULES]
     tests += [
-        contains_any(event_type, type_words) | contains_any(description, text_words)
+        " OR ".join(_holds(event_type, type_words) + _holds(description, text_words))
         for type_words, text_words, *_ in X.KEYWORD_RULES
     ]
-    branch = F.when(tests[0], 0)
-    for number, test in enumerate(tests[1:], start=1):
-        branch = branch.when(test, number)
-    return branch.otherwise(len(tests))
+    branches = " ".join(f"WHEN {test} THEN {number}" for number, test in enumerate(tests))
+    return F.expr(f"CASE {branches} ELSE {len(tests)} END")
 
 
 def rule_text(number: Column, part: int) -> Column:
@@ -85,7 +88,7 @@ def normalize(events: DataFrame) -> DataFrame:
         raw_fields(F.col("raw_data")).alias("__raw"),
         first_address(F.col("description")).alias("__address"),
     )
-    ruled = staged.withColumn("__rule", rule_number(F.col("__type"), F.col("event_id"), F.col("__text")))
+    ruled = staged.withColumn("__rule", rule_number("__type", "event_id", "__text"))
     raw = F.col("__raw")
     return ruled.select(
         "event_uid",

@@ -16,24 +16,37 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("case_id", "u", "v").unionByName(back)
 
 
-def _star(links: DataFrame, floor: int) -> DataFrame:
+def _star(links: DataFrame, floor: int, at_most: int) -> DataFrame:
     """Attach to each link (u, v) the smallest id seen around u, u itself included."""
-    return attach_group(links, ["case_id", "u"], [F.least(F.min("v"), F.min("u")).alias("low")], ["v"], floor)
+    low = F.least(F.min("v"), F.min("u")).alias("low")
+    return attach_group(links, ["case_id", "u"], [low], ["v"], floor, at_most)
 
 
-def _large_star(links: DataFrame, floor: int) -> DataFrame:
-    near = _star(_both_ways(links), floor)
+def _large_star(links: DataFrame, floor: int, count: int) -> DataFrame:
+    near = _star(_both_ways(links), floor, 2 * count)
     return near.where(F.col("v") > F.col("u")).select("case_id", F.col("v").alias("u"), F.col("low").alias("v"))
 
 
-def _small_star(links: DataFrame, floor: int) -> DataFrame:
+def _small_star(links: DataFrame, floor: int, count: int) -> DataFrame:
     down = links.select(
         "case_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    near = _star(down, floor)
-    moved = near.where(F.col("v") != F.col("low")).select("case_id", F.col("v").alias("u"), F.col("low").alias("v"))
-    own = near.select("case_id", "u", F.col("low").alias("v"))
-    return moved.unionByName(own)
+    near = _star(down, floor, count)
+    pairs = F.array(
+        F.when(F.col("v") != F.col("low"), F.struct(F.col("v").alias("u"), F.col("low").alias("v"))),
+        F.struct(F.col("u").alias("u"), F.col("low").alias("v")),
+    )
+    return near.select("case_id", F.explode(F.filter(pairs, lambda p: p.isNotNull())).alias("p")).select(
+        "case_id", "p.u", "p.v"
+    )
+
+
+def _measure(links: DataFrame) -> tuple[int, object]:
+    """Row count and an order-free fingerprint of the links."""
+    row = links.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("case_id", "u", "v").cast("decimal(38,0)")).alias("h")
+    ).first()
+    return row["n"], row["h"]
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, floor: int = HEAVY_FLOOR) -> DataFrame:
@@ -49,12 +62,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame, floor: int = HEAVY_
         .distinct()
     )
     links = cut_lineage(links)
-    before = None
+    before = _measure(links)
     for _ in range(MAX_ROUNDS):
-        links = cut_lineage(_small_star(_large_star(links, floor).distinct(), floor).distinct())
-        now = links.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("case_id", "u", "v").cast("decimal(38,0)")).alias("h")
-        ).first()
+        count = before[0]
+        starred = _large_star(links, floor, count).distinct()
+        links = cut_lineage(_small_star(starred, floor, count).distinct())
+        now = _measure(links)
         if before == now:
             break
         before = now

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAVY_LIMIT = 1024
-HEAVY_FLOOR = 10_000
+HEAVY_FLOOR = 1_000_000  # a smaller group is no burden for one task
 SPREAD = 4096
 BROADCAST_ROWS = 200_000
 
@@ -79,14 +79,19 @@ def attach_group(
     aggregates: Sequence[Column],
     spread_by: Sequence[str],
     floor: int = HEAVY_FLOOR,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Add aggregates of each row's key group to the row; rows with a null key get nulls.
 
     ``spread_by`` names columns that differ between rows of a hot key, such as an id.
+    ``at_most`` is the number of rows where the caller has counted them: below the floor no
+    group can be hot, and a plain join does.
     """
     known = rows
     for k in keys:
         known = known.where(F.col(k).isNotNull())
+    if at_most is not None and at_most < floor:
+        return rows.join(known.groupBy(*keys).agg(*aggregates), list(keys), "left")
     groups = known.groupBy(*keys).agg(F.count(F.lit(1)).alias(_COUNT), *aggregates)
     return _attach(rows, groups, keys, spread_by, floor)
 

@@ -7,6 +7,9 @@ them. The same expressions are written once more in SQL in ``oracle.py``.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +39,25 @@ DESCRIPTIONS = [
 ]
 
 
+def planned_once(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Keep the (lazy) frame of a session and folder, since building the plan takes longer than reusing it."""
+    frames: dict[tuple[str, str], DataFrame] = {}
+
+    @functools.wraps(build)
+    def planned(spark: SparkSession, folder: str) -> DataFrame:
+        key = (f"{spark.sparkContext.applicationId}/{id(spark._jsparkSession)}", folder)
+        if key not in frames:
+            frames[key] = build(spark, folder)
+        return frames[key]
+
+    return planned
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """A test table. A small file is one split; it is spread over the cores, a large table is left alone."""
+    scan = configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def _cases_of(expression: str, choices: list[str]) -> str:
@@ -45,6 +65,7 @@ def _cases_of(expression: str, choices: list[str]) -> str:
     return f"CASE {expression} {branches} END"
 
 
+@planned_once
 def case_events(spark: SparkSession, folder: str) -> DataFrame:
     """Universal events derived from the ``events`` table."""
     base = table(spark, folder, "events").select(
@@ -133,6 +154,7 @@ def case_events(spark: SparkSession, folder: str) -> DataFrame:
     ).select(*EVENT_COLUMNS)
 
 
+@planned_once
 def normalized_events(spark: SparkSession, folder: str) -> DataFrame:
     return normalize(case_events(spark, folder))
 

@@ -639,20 +639,26 @@ _add(
       FROM nodes n LEFT JOIN ends e ON e.case_id = n.case_id AND e.node_id = n.node_id GROUP BY ALL""",
 )
 
-# Labels spread along all links until nothing changes.
-_COMPONENTS = """links AS MATERIALIZED (SELECT DISTINCT case_id, src_id AS a, dst_id AS b FROM edges WHERE src_id <> dst_id),
+# An event has one link only, to its evidence; so events are folded into the evidence first,
+# and labels then spread along the links of the other nodes until nothing changes.
+_COMPONENTS = """inner_nodes AS MATERIALIZED (SELECT case_id, node_id, least(node_id, coalesce(low, node_id)) AS low FROM nodes
+    LEFT JOIN (SELECT case_id, dst_id AS node_id, min(src_id) AS low FROM edges WHERE edge_type = 'BELONGS_TO' GROUP BY ALL)
+      USING (case_id, node_id) WHERE node_type <> 'Normalized_Event'),
+  links AS MATERIALIZED (SELECT DISTINCT case_id, src_id AS a, dst_id AS b FROM edges WHERE src_id <> dst_id AND edge_type <> 'BELONGS_TO'),
   both_ways AS MATERIALIZED (SELECT case_id, a, b FROM links UNION SELECT case_id, b, a FROM links),
   spread(case_id, node_id, low) USING KEY (case_id, node_id) AS (
-    SELECT case_id, node_id, node_id FROM nodes
+    SELECT case_id, node_id, low FROM inner_nodes
     UNION
     SELECT w.case_id, w.b, min(s.low) FROM spread s JOIN both_ways w ON w.case_id = s.case_id AND w.a = s.node_id
       JOIN recurring.spread r ON r.case_id = w.case_id AND r.node_id = w.b
-    GROUP BY w.case_id, w.b, r.low HAVING min(s.low) < r.low)"""
-_add("connected_components", [*_GRAPH, _COMPONENTS], "SELECT case_id, node_id, low AS component_id FROM spread")
+    GROUP BY w.case_id, w.b, r.low HAVING min(s.low) < r.low),
+  labelled_nodes AS (SELECT * FROM spread UNION ALL SELECT e.case_id, e.src_id, s.low FROM edges e JOIN spread s
+    ON s.case_id = e.case_id AND s.node_id = e.dst_id WHERE edge_type = 'BELONGS_TO')"""
+_add("connected_components", [*_GRAPH, _COMPONENTS], "SELECT case_id, node_id, low AS component_id FROM labelled_nodes")
 _add(
     "component_counts",
     [*_GRAPH, _COMPONENTS],
-    "SELECT case_id, count(DISTINCT low) AS components FROM spread GROUP BY case_id",
+    "SELECT case_id, count(DISTINCT low) AS components FROM labelled_nodes GROUP BY case_id",
 )
 
 # ---- paths --------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from casewise.operators import components as components_op
 from casewise.operators import correlate, detect, evidence, graph, inference, paths, ranking, report, search, timeline, validate
 from casewise.plans import adapters as A
 from casewise.schemas import FACT
+from casewise.session import materialize
 from casewise.sources import inventory, json_files, line_logs, winevent_xml
 from casewise.sources.files import Origin
 
@@ -386,6 +387,12 @@ def _sorted_map(column: str):
     )
 
 
+def _stored_graph(spark, d):
+    """The graph as stored tables, for queries that read it several times."""
+    nodes, edges = graph.build_graph(A.normalized_events(spark, d))
+    return materialize(nodes, "nodes"), materialize(edges, "edges")
+
+
 @query
 def graph_nodes(spark, d):
     return graph.build_nodes(A.normalized_events(spark, d)).withColumn("properties", _sorted_map("properties"))
@@ -422,25 +429,25 @@ def node_search(spark, d):
 
 @query
 def incident_edges(spark, d):
-    nodes, edges = graph.build_graph(A.normalized_events(spark, d))
+    nodes, edges = _stored_graph(spark, d)
     return graph.incident_edges(nodes, edges).select("case_id", "node_id", "node_type", "node_label", "edge_id", "edge_type")
 
 
 @query
 def incident_counts(spark, d):
-    nodes, edges = graph.build_graph(A.normalized_events(spark, d))
+    nodes, edges = _stored_graph(spark, d)
     return graph.incident_counts(nodes, edges)
 
 
 @query
 def connected_components(spark, d):
-    nodes, edges = graph.build_graph(A.normalized_events(spark, d))
+    nodes, edges = _stored_graph(spark, d)
     return components_op.connected_components(nodes, edges)
 
 
 @query
 def component_counts(spark, d):
-    nodes, edges = graph.build_graph(A.normalized_events(spark, d))
+    nodes, edges = _stored_graph(spark, d)
     return graph.component_counts(components_op.connected_components(nodes, edges))
 
 
@@ -461,12 +468,13 @@ def _path_requests(nodes):
 
 def _path_graph(spark, d):
     normalized = A.normalized_events(spark, d)
-    nodes = graph.dedup_nodes(graph.extract_nodes(normalized))
+    nodes = materialize(graph.dedup_nodes(graph.extract_nodes(normalized)), "nodes")
+    edges = materialize(graph.extract_edges(normalized), "edges")
     level = F.create_map(
         F.lit("privilege_level"),
         F.when(F.length("node_label") % 4 > 0, (F.length("node_label") % 4).cast("string")),
     )
-    return nodes.withColumn("properties", F.map_concat("properties", level)), graph.extract_edges(normalized)
+    return nodes.withColumn("properties", F.map_concat("properties", level)), edges
 
 
 def _path_columns(answer, *extra):
@@ -517,7 +525,7 @@ def path_resolution(spark, d):
 
 
 def _validated(spark, d):
-    nodes, edges = graph.build_graph(A.normalized_events(spark, d))
+    nodes, edges = _stored_graph(spark, d)
     # One spawned edge in nine loses its source, so that the orphan rule has work to do.
     orphaned = (F.col("edge_type") == "SPAWNED") & F.col("edge_id").rlike("^[01]")
     edges = edges.withColumn("src_id", F.when(~orphaned, F.col("src_id")))

@@ -19,6 +19,8 @@ SESSION_SETTINGS = {
     # The wide event projections compile to one very long method, which the JVM would only
     # interpret. Above this size Spark splits them into methods the JIT does compile.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Recording the call site of every column doubles the time to build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -75,3 +77,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table in the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that several later steps read as a table in the shared folder, and read it back.
+
+    Unlike a checkpoint the table is columnar, so the later steps read only what they need.
+    The folder belongs to the caller, who clears it when the work is done.
+    """
+    path = scratch_table(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
