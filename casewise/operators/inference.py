@@ -17,6 +17,7 @@ from casewise.functions.text import contains_any, first_present
 from casewise.operators.ranking import number_rows
 from casewise.operators.skew import lookup
 from casewise.schemas import FACT
+from casewise.session import cut_lineage
 
 MAX_ROUNDS = 50
 BURST_SIZE = 3
@@ -123,16 +124,20 @@ def custom_facts(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame(shaped, FACT)
 
 
-def distinct_facts(facts: DataFrame) -> DataFrame:
-    """One fact per (case, type, entity, value): the one with the smallest id."""
+def counted_facts(facts: DataFrame) -> DataFrame:
+    """One fact per (case, type, entity, value): the one with the smallest id, and the number of copies."""
     rest = F.min(F.struct("fact_id", "confidence")).alias("__kept")
     return (
         facts.groupBy("case_id", "fact_type", "entity", "value")
-        .agg(rest)
-        .select("case_id", "__kept.fact_id", "fact_type", "entity", "value", "__kept.confidence")
+        .agg(rest, F.count(F.lit(1)).alias("copies"))
+        .select("case_id", "__kept.fact_id", "fact_type", "entity", "value", "__kept.confidence", "copies")
     )
 
 
+def distinct_facts(facts: DataFrame) -> DataFrame:
+    return counted_facts(facts).drop("copies")
+
+
 @dataclass(frozen=True)
 class Conclusion:
     fact_id: str
@@ -228,14 +233,16 @@ def _conclusion_meets(spark: SparkSession, rules: Sequence[InferenceRule]) -> di
     return meets
 
 
-def chain(facts: DataFrame, rules: Sequence[InferenceRule] | None = None) -> DataFrame:
+def chain(counted: DataFrame, rules: Sequence[InferenceRule] | None = None) -> DataFrame:
     """One row per case: which rules fired and in which round, and the fact counts.
 
+    ``counted`` comes from ``counted_facts``.
+
     ``fired`` holds the round per rule (null when it did not fire) and ``added`` tells, per
     rule and conclusion, whether the conclusion was new.
     """
     rules = list(rules or standard_rules())
-    meets = _conclusion_meets(facts.sparkSession, rules)
+    meets = _conclusion_meets(counted.sparkSession, rules)
     flags = [
         F.coalesce(F.bool_or(F.coalesce(p, F.lit(False))), F.lit(False)).alias(f"met_{i}_{j}")
         for i, r in enumerate(rules)
@@ -246,9 +253,8 @@ def chain(facts: DataFrame, rules: Sequence[InferenceRule] | None = None) -> Dat
         for j, conclusion in enumerate(rule.conclusions):
             key = (conclusion.fact_type, conclusion.entity, conclusion.value)
             known.setdefault(key, (f"known_{i}_{j}", _same_fact(conclusion)))
-    given = facts.groupBy("case_id").agg(F.count(F.lit(1)).alias("initial_facts_count"))
-    unique = distinct_facts(facts)
-    state = unique.groupBy("case_id").agg(
+    state = counted.groupBy("case_id").agg(
+        F.sum("copies").alias("initial_facts_count"),
         F.count(F.lit(1)).alias("__distinct"),
         *flags,
         *[F.coalesce(F.bool_or(test), F.lit(False)).alias(name) for name, test in known.values()],
@@ -288,7 +294,7 @@ def chain(facts: DataFrame, rules: Sequence[InferenceRule] | None = None) -> Dat
     derived = sum(added[1:], added[0]) if added else F.lit(0)
     fired = [F.col(f"round_{i}") for i in range(len(rules))]
     flag = [F.col(f"added_{i}_{j}") for i, r in enumerate(rules) for j in range(len(r.conclusions))]
-    return given.join(state, "case_id").select(
+    return state.select(
         "case_id",
         "initial_facts_count",
         (F.col("__distinct") + derived).alias("total_facts_count"),
@@ -334,7 +340,7 @@ def derived_facts(facts: DataFrame, rules: Sequence[InferenceRule] | None = None
     """Facts that the rules added."""
     chosen = list(rules or standard_rules())
     return (
-        _fired_rows(chain(facts, chosen), chosen)
+        _fired_rows(chain(counted_facts(facts), chosen), chosen)
         .select("case_id", "rule_id", F.explode("conclusions").alias("c"))
         .where(F.col("c.is_new"))
         .select("case_id", "rule_id", "c.fact_id", "c.fact_type", "c.entity", "c.value", "c.confidence")
@@ -352,7 +358,7 @@ def fired_rules(facts: DataFrame, rules: Sequence[InferenceRule] | None = None)
     texts = F.when(
         F.size(fresh) > 0, F.transform(fresh, lambda c: F.concat(named(c), F.lit("="), c["value"]))
     ).otherwise(F.transform("conclusions", named))
-    return _fired_rows(chain(facts, chosen), chosen).select(
+    return _fired_rows(chain(counted_facts(facts), chosen), chosen).select(
         "case_id", "round", "position", "rule_id", "rule_name", "category", "severity", texts.alias("derived_facts")
     )
 
@@ -364,10 +370,11 @@ def rule_triggers(facts: DataFrame, rules: Sequence[InferenceRule] | None = None
     Conclusions of rules that fired earlier count as facts for the rules after them.
     """
     chosen = list(rules or standard_rules())
-    chained = chain(facts, chosen)
+    counted = cut_lineage(counted_facts(facts))
+    chained = cut_lineage(chain(counted, chosen))
     fired = _fired_rows(chained, chosen)
     hits = F.array(*[F.when(r.trigger(), F.lit(i)) for i, r in enumerate(chosen)])
-    base = distinct_facts(facts).select("case_id", "fact_id", "fact_type", "entity", "value")
+    base = counted.select("case_id", "fact_id", "fact_type", "entity", "value")
     candidates = base.withColumn("hits", F.filter(hits, lambda h: h.isNotNull())).where(F.size("hits") > 0)
     rounds = chained.select("case_id", "fired")
     given = (
@@ -396,7 +403,7 @@ def rule_triggers(facts: DataFrame, rules: Sequence[InferenceRule] | None = None
 
 def inference_summary(facts: DataFrame, rules: Sequence[InferenceRule] | None = None) -> DataFrame:
     """Counts, iterations and an explanation per case."""
-    chained = chain(facts, rules)
+    chained = chain(counted_facts(facts), rules)
     fired = F.size(F.filter("fired", lambda r: r.isNotNull()))
     return chained.withColumn("fired_rules_count", fired.cast("long")).select(
         "case_id",
