@@ -93,8 +93,8 @@ def read_lines(spark: SparkSession, path, origin: Origin, glob: str | None = Non
 
 def read_documents(spark: SparkSession, path, origin: Origin, glob: str | None = None) -> DataFrame:
     """One row per file with its whole text."""
-    source = reader(spark, glob).option("wholetext", True)
-    return with_identity(in_size_gate(source.text(path)), origin).withColumnRenamed("value", "text")
+    files = reader(spark, glob).text(path, wholetext=True)
+    return with_identity(in_size_gate(files), origin).withColumnRenamed("value", "text")
 
 
 def read_contents(spark: SparkSession, path, origin: Origin, glob: str | None = None) -> DataFrame:
