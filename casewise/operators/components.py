@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewise.operators.skew import HEAVY_FLOOR, attach_group
-from casewise.session import cut_lineage
+from casewise.session import Scratch
 
 MAX_ROUNDS = 100
 
@@ -61,19 +61,21 @@ def connected_components(nodes: DataFrame, edges: DataFrame, floor: int = HEAVY_
         .select("case_id", F.greatest("src_id", "dst_id").alias("u"), F.least("src_id", "dst_id").alias("v"))
         .distinct()
     )
-    links = cut_lineage(links)
-    before = _measure(links)
+    held = Scratch(links, "links")
+    before = _measure(held.frame)
     for _ in range(MAX_ROUNDS):
         count = before[0]
-        starred = _large_star(links, floor, count).distinct()
-        links = cut_lineage(_small_star(starred, floor, count).distinct())
-        now = _measure(links)
+        starred = _large_star(held.frame, floor, count).distinct()
+        moved = Scratch(_small_star(starred, floor, count).distinct(), "links")
+        held.discard()
+        held = moved
+        now = _measure(held.frame)
         if before == now:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    found = links.select("case_id", F.col("u").alias("node_id"), F.col("v").alias("component_id"))
+    found = held.frame.select("case_id", F.col("u").alias("node_id"), F.col("v").alias("component_id"))
     return nodes.select("case_id", "node_id").join(found, ["case_id", "node_id"], "left").withColumn(
         "component_id", F.coalesce(F.col("component_id"), F.col("node_id"))
     )

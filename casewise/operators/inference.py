@@ -17,7 +17,7 @@ from casewise.functions.text import contains_any, first_present
 from casewise.operators.ranking import number_rows
 from casewise.operators.skew import lookup
 from casewise.schemas import FACT
-from casewise.session import cut_lineage
+from casewise.session import materialize
 
 MAX_ROUNDS = 50
 BURST_SIZE = 3
@@ -370,8 +370,8 @@ def rule_triggers(facts: DataFrame, rules: Sequence[InferenceRule] | None = None
     Conclusions of rules that fired earlier count as facts for the rules after them.
     """
     chosen = list(rules or standard_rules())
-    counted = cut_lineage(counted_facts(facts))
-    chained = cut_lineage(chain(counted, chosen))
+    counted = materialize(counted_facts(facts))
+    chained = materialize(chain(counted, chosen))
     fired = _fired_rows(chained, chosen)
     hits = F.array(*[F.when(r.trigger(), F.lit(i)) for i, r in enumerate(chosen)])
     base = counted.select("case_id", "fact_id", "fact_type", "entity", "value")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from casewise.functions.scoring import privilege_gap, step_cost, zero_heuristic
 from casewise.operators.skew import BROADCAST_ROWS, HEAVY_LIMIT, broadcast_if_small
-from casewise.session import cut_lineage
+from casewise.session import Scratch, checkpoint_laid_out, materialize
 
 Heuristic = Callable[[Column, Column, Column, Column], Column]
 
@@ -46,7 +46,7 @@ def resolve_requests(requests: DataFrame, nodes: DataFrame, cases: DataFrame | N
         .groupBy("case_id", "name")
         .agg(F.min(F.struct("rank", "label"))["label"].alias("label"))
     )
-    labels = cut_lineage(labels)
+    labels = materialize(labels)
     asked = broadcast_if_small(requests.select("case_id").distinct())
     filled = nodes.select("case_id").join(asked, "case_id", "left_semi").distinct()
     start = labels.select("case_id", F.col("name").alias("start_node"), F.col("label").alias("start"))
@@ -110,19 +110,19 @@ def settle(
     estimate exceeds the best cost of the goal. It needs ``goal_level`` on the requests and
     ``next_level`` on the graph.
     """
-    wide = cut_lineage(_wide_vertices(graph, width))
+    wide = materialize(_wide_vertices(graph, width))
     sliced = (
         graph.join(F.broadcast(wide), ["case_id", "vertex"], "left")
         .withColumn("slice", F.pmod(F.xxhash64("next"), F.coalesce(F.col("slices"), F.lit(1))).cast("int"))
         .drop("slices")
     )
     # Laid out once by the join key of the loop; the rounds shuffle only the moving vertices.
-    edges = cut_lineage(sliced.repartition(_partitions(graph), "case_id", "vertex", "slice"))
+    edges = checkpoint_laid_out(sliced.repartition(_partitions(graph), "case_id", "vertex", "slice"))
 
     few = requests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     nothing = F.lit(None).cast("string")
     identity = ["request_id", "case_id", "goal", *(["goal_level"] if heuristic else [])]
-    state = cut_lineage(
+    held = Scratch(
         requests.select(
             *identity,
             F.col("start").alias("vertex"),
@@ -130,9 +130,11 @@ def settle(
                 F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), nothing.alias("previous")
             ).alias("best"),
             F.lit(True).alias("moved"),
-        )
+        ),
+        "state",
     )
     while True:
+        state = held.frame
         goal_cost = state.where(F.col("vertex") == F.col("goal")).select(
             "request_id", F.col("best.cost").alias("goal_cost")
         )
@@ -164,18 +166,20 @@ def settle(
         candidates = candidates.where(
             F.col("goal_cost").isNull() | (F.col("best.cost") + ahead <= F.col("goal_cost"))
         ).select(*identity, "vertex", "best")
-        held = state.select(*identity, "vertex", "best", F.col("best").alias("old"))
+        known = state.select(*identity, "vertex", "best", F.col("best").alias("old"))
         merged = (
-            held.unionByName(candidates, allowMissingColumns=True)
+            known.unionByName(candidates, allowMissingColumns=True)
             .groupBy(*identity, "vertex")
             .agg(F.min("best").alias("best"), F.max("old").alias("old"))
         )
         cheaper = F.col("old").isNull() | (
             F.struct(F.col("best.cost"), F.col("best.hops")) < F.struct(F.col("old.cost"), F.col("old.hops"))
         )
-        state = cut_lineage(merged.withColumn("moved", cheaper).drop("old"))
-        if not state.where("moved AND vertex <> goal").limit(1).count():
-            return state.drop("moved")
+        advanced = Scratch(merged.withColumn("moved", cheaper).drop("old"), "state")
+        held.discard()
+        held = advanced
+        if not held.frame.where("moved AND vertex <> goal").limit(1).count():
+            return held.frame.drop("moved")
 
 
 def walk_back(settled: DataFrame, requests: DataFrame) -> DataFrame:
@@ -183,7 +187,7 @@ def walk_back(settled: DataFrame, requests: DataFrame) -> DataFrame:
     state = settled.select(
         "request_id", F.col("vertex").alias("at"), F.col("best.previous").alias("previous"), F.col("best.hops").alias("hops")
     )
-    walk = cut_lineage(
+    walk = materialize(
         settled.where(F.col("vertex") == F.col("goal")).select(
             "request_id",
             F.array("vertex").alias("path"),
@@ -204,7 +208,7 @@ def walk_back(settled: DataFrame, requests: DataFrame) -> DataFrame:
             .drop("__previous")
         )
         if step % 8 == 0:
-            walk = cut_lineage(walk)
+            walk = materialize(walk)
     return walk.select("request_id", "path", "total_cost", "hops")
 
 
@@ -245,7 +249,7 @@ def cheapest_path(
     requests: DataFrame, nodes: DataFrame, edges: DataFrame, cases: DataFrame | None = None, width: int = WIDE_VERTEX
 ) -> DataFrame:
     """Cheapest directed path of each request, with a status instead of an error."""
-    resolved = cut_lineage(resolve_requests(requests, nodes, cases))
+    resolved = materialize(resolve_requests(requests, nodes, cases))
     valid = resolved.where(F.col("status").isNull())
     graph = simple_graph(edges, valid)
     settled = settle(valid, graph, width=width)
@@ -267,7 +271,7 @@ def goal_directed_path(
     The cost is always the true minimum. A heuristic that never overestimates may be declared
     ``admissible``; then it also narrows the search.
     """
-    resolved = cut_lineage(resolve_requests(requests, nodes, cases))
+    resolved = materialize(resolve_requests(requests, nodes, cases))
     valid = resolved.where(F.col("status").isNull())
     levels = (
         nodes.join(broadcast_if_small(valid.select("case_id").distinct()), "case_id", "left_semi")
@@ -276,7 +280,7 @@ def goal_directed_path(
     )
     at_start = levels.select("case_id", F.col("vertex").alias("start"), F.col("level").alias("start_level"))
     at_goal = levels.select("case_id", F.col("vertex").alias("goal"), F.col("level").alias("goal_level"))
-    placed = cut_lineage(
+    placed = materialize(
         resolved.join(at_start, ["case_id", "start"], "left")
         .join(at_goal, ["case_id", "goal"], "left")
         .withColumn(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewise.operators.skew import broadcast_if_small
-from casewise.session import cut_lineage
+from casewise.session import materialize
 
 
 def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
@@ -20,7 +20,7 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], ou
     The order must be total (end it with an id) for the numbers to be reproducible.
     """
     keys = [F.col(g) for g in group]
-    pieces = cut_lineage(
+    pieces = materialize(
         df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("__position", F.monotonically_increasing_id())

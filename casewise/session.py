@@ -68,23 +68,42 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir() or named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch_table(spark: SparkSession, name: str) -> str:
+def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table in the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame that several later steps read as a table in the shared folder, and read it back.
+class Scratch:
+    """An intermediate result written as a table in the shared folder.
+
+    It survives the loss of executors, cuts the lineage, and has its true size as statistics.
+    (A reliable checkpoint carries the size estimate of its plan along, which grows without
+    bound when a loop joins the result of the round before.)
+    """
+
+    def __init__(self, df: DataFrame, name: str = "scratch"):
+        spark = df.sparkSession
+        self.path = scratch_path(spark, name)
+        df.write.parquet(self.path)
+        self.frame = spark.read.schema(df.schema).parquet(self.path)
+
+    def discard(self) -> None:
+        """Delete the files; frames made from this one must not be used any more."""
+        spark = self.frame.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
 
-    Unlike a checkpoint the table is columnar, so the later steps read only what they need.
-    The folder belongs to the caller, who clears it when the work is done.
+def materialize(df: DataFrame, name: str = "scratch") -> DataFrame:
+    """Write a frame that several later steps read, and read it back.
+
+    The table is columnar, so the later steps read only what they need. The folder belongs to
+    the caller, who clears it when the work is done.
     """
-    path = scratch_table(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df, name).frame
+
+
+def checkpoint_laid_out(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a frame whose partitioning later joins should reuse."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from casewise import taxonomy as X
 from casewise.functions.events import lower_keys
-from casewise.session import cut_lineage
+from casewise.session import materialize
 from casewise.sources import csv_files, json_files, line_logs, winevent_xml, xml_files
 from casewise.sources.files import Origin, read_contents
 
@@ -158,4 +158,4 @@ def read_archive_events(
 
     The exploded records are written once to the shared folder, since seven branches read them.
     """
-    return archive_events(cut_lineage(explode_archives(read_contents(spark, path, origin, glob))), origin, year)
+    return archive_events(materialize(explode_archives(read_contents(spark, path, origin, glob))), origin, year)
