@@ -9,11 +9,20 @@ from casewise import taxonomy as X
 from casewise.functions.text import contains_any, found
 
 
+_MARK = "\x01"
+
+
 def split_line(line: Column, pattern: str = X.SYSLOG_LINE) -> Column:
-    """Struct of the parts of a syslog line; ``matched`` is false for other lines."""
+    """Struct of the parts of a syslog line; ``matched`` is false for other lines.
+
+    The line is rewritten once with a mark between its parts and then split, instead of running
+    the pattern again for every part.
+    """
     names = ["month", "day", "clock", "host", "process", "pid", "message"]
-    parts = [F.regexp_extract(line, pattern, i).alias(n) for i, n in enumerate(names, start=1)]
-    return F.struct(line.rlike(pattern).alias("matched"), *parts)
+    marked = F.regexp_replace(line, pattern, _MARK.join(f"${i}" for i in range(1, len(names) + 1)))
+    parts = F.split(marked, _MARK, len(names))
+    fields = [F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(names)]
+    return F.struct(line.rlike(pattern).alias("matched"), *fields)
 
 
 def message_class(message: Column) -> Column:

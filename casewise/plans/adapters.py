@@ -108,7 +108,7 @@ def case_events(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("severity"),
         F.expr(_cases_of("k % 12", DESCRIPTIONS)).alias("description"),
         F.expr(
-            "to_json(named_struct("
+            "to_variant_object(named_struct("
             "'CommandLine', CASE WHEN kind = 'purchase' THEN CASE WHEN value > 60 "
             "THEN 'vssadmin delete shadows /all' WHEN k % 9 = 0 THEN 'wmic process list' "
             "ELSE concat('run ', k) END END, "
@@ -148,7 +148,7 @@ def case_events(spark: SparkSession, folder: str) -> DataFrame:
         "file_path",
         "severity",
         "description",
-        F.parse_json("raw").alias("raw_data"),
+        F.col("raw").alias("raw_data"),
         F.col("severity").isin(ALERT_SEVERITIES).alias("is_suspicious"),
         parsed_confidence(F.col("severity")).alias("confidence_score"),
     ).select(*EVENT_COLUMNS)

@@ -267,8 +267,9 @@ def search_events(spark, d):
 
 @query
 def search_normalized(spark, d):
-    found = search.search_normalized(A.normalized_events(spark, d), category="Process Execution", search="ER")
-    return found.drop("raw_event_reference")
+    # Searches run over the stored table, as they would in use.
+    stored = materialize(A.normalized_events(spark, d).drop("raw_event_reference"), "normalized")
+    return search.search_normalized(stored, category="Process Execution", search="ER")
 
 
 @query

@@ -15,11 +15,11 @@ from casewise.sources.files import Origin, read_lines
 
 def _filled(lines: DataFrame) -> DataFrame:
     """Trimmed non-blank lines."""
-    return lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where(F.col("line") != "")
+    return lines.withColumn("line", F.btrim("line", F.lit(" \t\r\n\f\x0b"))).where(F.col("line") != "")
 
 
 def _raw(**fields):
-    return F.parse_json(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])))
+    return F.to_variant_object(F.struct(*[c.alias(n) for n, c in fields.items()]))
 
 
 def text_events(lines: DataFrame, origin: Origin) -> DataFrame:
