@@ -44,7 +44,9 @@ def _attach(
     on_heavy = _all(F.col(k) == F.col(f"__heavy_{k}") for k in keys)
     light = groups.select(
         *[F.col(k).alias(f"__light_{k}") for k in keys],
-        F.lit(-1).alias("__light_spread"),
+        # Always -1, but not a literal: the optimizer would take a literal out of the join keys,
+        # and the rows would be partitioned without the spread.
+        F.when(F.col(_COUNT) > 0, F.lit(-1)).alias("__light_spread"),
         F.struct(*values).alias("__light"),
     )
     no_key = F.lit(False)

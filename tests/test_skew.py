@@ -1,6 +1,7 @@
 """Skew-safe joins and numbering against plain window functions."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -47,9 +48,16 @@ def test_lookup(spark, skewed, floor):
 
 def test_hot_rows_are_spread(skewed):
     """No shuffle partition of the join receives the whole hot key."""
-    joined = attach_group(skewed, ["key"], [F.count(F.lit(1)).alias("n")], ["id"], floor=100)
-    plan = joined._jdf.queryExecution().toString()
-    assert "__spread" in plan and "BroadcastHashJoin" in plan
+    spark = skewed.sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = attach_group(skewed, ["key"], [F.count(F.lit(1)).alias("n")], ["id"], floor=100)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan
+    assert re.search(r"SortMergeJoin \[key#\d+, __spread#\d+\], \[__light_key#\d+, __light_spread#\d+\]", plan)
+    assert re.search(r"hashpartitioning\(key#\d+, __spread#\d+", plan)
     spread = F.when(F.col("key") == "hot", F.pmod(F.xxhash64("id"), F.lit(4096))).otherwise(-1)
     biggest = skewed.groupBy("key", spread.alias("s")).count().agg(F.max("count")).first()[0]
     assert biggest < 400
