@@ -117,7 +117,7 @@ def settle(
         .drop("slices")
     )
     # Laid out once by the join key of the loop; the rounds shuffle only the moving vertices.
-    edges = checkpoint_laid_out(sliced.repartition(_partitions(graph), "case_id", "vertex", "slice"))
+    edges = checkpoint_laid_out(sliced, _partitions(graph), "case_id", "vertex", "slice")
 
     few = requests.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     nothing = F.lit(None).cast("string")

@@ -103,7 +103,17 @@ def materialize(df: DataFrame, name: str = "scratch") -> DataFrame:
     return Scratch(df, name).frame
 
 
-def checkpoint_laid_out(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a frame whose partitioning later joins should reuse."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def checkpoint_laid_out(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    """Reliable checkpoint hash-partitioned by the keys; later joins on them do not shuffle it again.
+
+    The frame is written first. Only the repartitioning itself is planned without adaptive
+    execution, which would hide the partitioning from the checkpoint.
+    """
+    stored = materialize(df, "layout")
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return stored.repartition(partitions, *keys).checkpoint(eager=True)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
