@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewise.operators.skew import HEAVY_FLOOR, attach_group
+from casewise.operators.skew import HEAVY_FLOOR, attach_group, lookup
 from casewise.session import Scratch
 
 MAX_ROUNDS = 100
@@ -49,13 +49,8 @@ def _measure(links: DataFrame) -> tuple[int, object]:
     return row["n"], row["h"]
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, floor: int = HEAVY_FLOOR) -> DataFrame:
-    """``component_id`` (the smallest node id of the component) for every node of every case.
-
-    Alternates the large-star and small-star steps of Kiveris et al., "Connected Components
-    in MapReduce and Beyond" (2014), which end after about log(n)^2 rounds. Neighbours are
-    never gathered: each step is a partially aggregated minimum and a skew-safe join.
-    """
+def _roots(edges: DataFrame, floor: int) -> DataFrame:
+    """(case_id, node_id, root) of every node that has a link to another node and is not the root itself."""
     links = (
         edges.where(F.col("src_id").isNotNull() & F.col("dst_id").isNotNull() & (F.col("src_id") != F.col("dst_id")))
         .select("case_id", F.greatest("src_id", "dst_id").alias("u"), F.least("src_id", "dst_id").alias("v"))
@@ -71,11 +66,46 @@ def connected_components(nodes: DataFrame, edges: DataFrame, floor: int = HEAVY_
         held = moved
         now = _measure(held.frame)
         if before == now:
-            break
+            return held.frame.select("case_id", F.col("u").alias("node_id"), F.col("v").alias("root"))
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    found = held.frame.select("case_id", F.col("u").alias("node_id"), F.col("v").alias("component_id"))
-    return nodes.select("case_id", "node_id").join(found, ["case_id", "node_id"], "left").withColumn(
-        "component_id", F.coalesce(F.col("component_id"), F.col("node_id"))
+    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+
+
+def _labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Root of every node; a node without a link is its own."""
+    return nodes.join(roots, ["case_id", "node_id"], "left").withColumn(
+        "root", F.coalesce(F.col("root"), F.col("node_id"))
     )
+
+
+def connected_components(
+    nodes: DataFrame, edges: DataFrame, floor: int = HEAVY_FLOOR, leaf_edges: str | None = None
+) -> DataFrame:
+    """``component_id`` (the smallest node id of the component) for every node of every case.
+
+    Alternates the large-star and small-star steps of Kiveris et al., "Connected Components
+    in MapReduce and Beyond" (2014), which end after about log(n)^2 rounds. Neighbours are
+    never gathered: each step is a partially aggregated minimum and a skew-safe join.
+
+    ``leaf_edges`` names an edge type whose source nodes have no other edge, which holds for
+    BELONGS_TO in a built graph. Those nodes, one per event, are folded into their target before
+    the rounds and take its component afterwards, so the rounds see the other nodes only.
+    """
+    own = nodes.select("case_id", "node_id")
+    if leaf_edges is None:
+        return _labelled(own, _roots(edges, floor)).withColumnRenamed("root", "component_id")
+    is_leaf = F.coalesce(F.col("edge_type") == leaf_edges, F.lit(False))
+    leaves = edges.where(is_leaf).select("case_id", F.col("src_id").alias("node_id"), F.col("dst_id").alias("target"))
+    inner = own.join(leaves.select("case_id", "node_id"), ["case_id", "node_id"], "left_anti")
+    folded = leaves.groupBy("case_id", F.col("target").alias("node_id")).agg(F.min("node_id").alias("smallest_leaf"))
+    rooted = _labelled(inner, _roots(edges.where(~is_leaf), floor)).join(folded, ["case_id", "node_id"], "left")
+    smallest = F.min(F.least("node_id", "smallest_leaf")).alias("component_id")
+    settled = Scratch(
+        attach_group(rooted, ["case_id", "root"], [smallest], ["node_id"], floor).select(
+            "case_id", "node_id", "component_id"
+        ),
+        "components",
+    ).frame
+    targets = settled.withColumnRenamed("node_id", "target")
+    attached = lookup(leaves, targets, ["case_id", "target"], ["node_id"], floor)
+    return settled.unionByName(attached.select("case_id", "node_id", "component_id"))

@@ -443,13 +443,13 @@ def incident_counts(spark, d):
 @query
 def connected_components(spark, d):
     nodes, edges = _stored_graph(spark, d)
-    return components_op.connected_components(nodes, edges)
+    return components_op.connected_components(nodes, edges, leaf_edges="BELONGS_TO")
 
 
 @query
 def component_counts(spark, d):
     nodes, edges = _stored_graph(spark, d)
-    return graph.component_counts(components_op.connected_components(nodes, edges))
+    return graph.component_counts(components_op.connected_components(nodes, edges, leaf_edges="BELONGS_TO"))
 
 
 # ---- paths ---------------------------------------------------------------------------------------

@@ -147,6 +147,17 @@ def test_components_against_union_find(spark, floor):
     assert rows(components.connected_components(node_frame, edge_frame, floor)) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("floor", [1, 10**6])
+def test_folded_leaves_give_the_same_components(spark, floor):
+    nodes, edges = random_graph(5, 40, 25, cases=1)
+    leaf = [(0, f"x{i:03d}", f"n{i % 7:03d}", 1.0) for i in range(50)] + [(0, f"a{i}", "n039", 1.0) for i in range(3)]
+    node_frame, edge_frame = frames(spark, nodes + [(0, a) for _, a, _, _ in leaf], edges + leaf)
+    typed = edge_frame.withColumn("edge_type", F.when(F.col("src_label").rlike("^[xa]"), "BELONGS_TO").otherwise("X"))
+    plain = components.connected_components(node_frame, typed, floor)
+    folded = components.connected_components(node_frame, typed, floor, leaf_edges="BELONGS_TO")
+    assert rows(folded) == rows(plain)
+
+
 def dijkstra(edges, case, start):
     out = {}
     for c, a, b, w in edges:
