@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casewise import taxonomy as X
 from casewise.functions.events import pick_alias, universal_event
 from casewise.functions.text import cut
 from casewise.functions.timestamps import iso_to_utc
-from casewise.sources.files import Origin, in_size_gate, read_lines, reader, with_identity
+from casewise.sources.files import Origin, in_size_gate, is_folder, literal_path, read_lines, reader, with_identity
 
 
 def csv_events(
@@ -61,10 +63,23 @@ def _wide_fields(available: Mapping[str, Column], record: Column) -> dict[str, C
     }
 
 
-def _scan(spark: SparkSession, path, glob: str | None, multi_line: bool) -> DataFrame:
+def header_names(header: str) -> list[str] | None:
+    """Column names of a header line; None when they need Spark's own treatment (empty, repeated, marked)."""
+    names = next(csv.reader([header]), [])
+    plain = all(names) and len({n.lower() for n in names}) == len(names) and not header.startswith("\ufeff")
+    return names if plain else None
+
+
+def _scan(
+    spark: SparkSession, path, glob: str | None, multi_line: bool, base: str | None, names: list[str] | None
+) -> DataFrame:
+    source = reader(spark, glob)
+    if names:
+        source = source.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    if base:
+        source = source.option("basePath", base)
     return (
-        reader(spark, glob)
-        .option("header", True)
+        source.option("header", True)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("enforceSchema", False)
@@ -80,13 +95,17 @@ def read_csv_events(
     profile: str = "standard",
     glob: str | None = None,
     multi_line: bool = True,
+    base: str | None = None,
+    names: list[str] | None = None,
 ) -> DataFrame:
     """Events of CSV files that share one header; files with another header are refused by the scan.
 
     ``multi_line`` allows line breaks inside quoted fields, which keeps a file in one task.
-    Turn it off for logs with one record per line, so that large files are split.
+    Turn it off for logs with one record per line, so that large files are split. ``base`` is the
+    folder below which case_id=... and evidence_id=... folders count, when ``path`` lists files;
+    ``names`` are the header's names where they are known, which saves the pass that infers them.
     """
-    scan = _scan(spark, path, glob, multi_line)
+    scan = _scan(spark, path, glob, multi_line, base, names)
     names = [f.name for f in scan.schema.fields if f.name not in ("case_id", "evidence_id")]
     rows = with_identity(in_size_gate(scan), origin)
     available = {name.strip().lower().lstrip("﻿"): F.col(f"`{name}`") for name in names}
@@ -104,20 +123,18 @@ def header_groups(spark: SparkSession, path, origin: Origin, glob: str | None =
     )
     groups: dict[str, list[str]] = {}
     for row in heads.toLocalIterator():
-        groups.setdefault(row["header"], []).append(row["path"])
+        groups.setdefault(row["header"], []).append(literal_path(row["path"]))
     return groups
 
 
 def read_mixed_csv_events(
     spark: SparkSession, path, origin: Origin, profile: str = "standard", glob: str | None = None, multi_line: bool = True
 ) -> DataFrame | None:
-    """Events of CSV files with different headers: one scan per distinct header, then a union.
-
-    Ids must come from ``origin`` or from the hash of the path.
-    """
+    """Events of CSV files with different headers: one scan per distinct header, then a union."""
+    base = path if isinstance(path, str) and is_folder(spark, path) else None
     parts = [
-        read_csv_events(spark, files, origin, profile, None, multi_line)
-        for _, files in sorted(header_groups(spark, path, origin, glob).items())
+        read_csv_events(spark, files, origin, profile, None, multi_line, base, header_names(header))
+        for header, files in sorted(header_groups(spark, path, origin, glob).items())
     ]
     return reduce(DataFrame.unionByName, parts) if parts else None
 

@@ -12,7 +12,9 @@ not be smaller than 1 MiB; Spark's own minimum is 4 MiB.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,16 @@ def any_case_glob(extensions: list[str]) -> str:
     return f"*.{{{','.join(forms)}}}" if len(forms) > 1 else f"*.{forms[0]}"
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+
+
+def literal_path(listed: str) -> str:
+    """A path as Spark lists it (URL-encoded) in the form that reads exactly this file."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(listed))
+
+
 def reader(spark: SparkSession, glob: str | None = None):
     source = spark.read
     return source.option("pathGlobFilter", glob) if glob else source

@@ -16,7 +16,6 @@ from casewise.sources.files import Origin, read_lines
 END_TAG = "</Event>"
 BLOCK = r"(?s)<Event[\s>].*"
 
-_TEXT = "struct<_VALUE: string>"
 EVENT_XML = (
     "System struct<Provider: struct<_Name: string>, EventID: string, Level: string, Channel: string, "
     "Computer: string, TimeCreated: struct<_SystemTime: string>>, "
@@ -30,7 +29,7 @@ def event_blocks(pieces: DataFrame) -> DataFrame:
     """Well-formed event blocks among pieces of text that each end before an event's end tag."""
     block = F.regexp_extract("line", BLOCK, 0)
     # Attributes of EventID would turn its text into a structure.
-    plain = F.regexp_replace(F.concat(F.col("xml")), r"<EventID\s[^>]*>", "<EventID>")
+    plain = F.regexp_replace("xml", r"<EventID\s[^>]*>", "<EventID>")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken", "ignoreSurroundingSpaces": "false"}
     return (
         pieces.withColumn("__block", block)

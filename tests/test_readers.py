@@ -119,7 +119,7 @@ def test_csv(spark, tmp_path):
 
 def test_csv_with_different_headers(spark, tmp_path):
     write(tmp_path, "a.csv", "host,user\nh1,u1\nh2,u2\n")
-    write(tmp_path, "b.csv", "Message,Computer,Account\nhello,h3,u3\n")
+    write(tmp_path, "b [100%]+x.csv", "Message,Computer,Account\nhello,h3,u3\n")
     df = read_mixed_csv_events(spark, str(tmp_path), Origin(case_id=2))
     assert rows(df, "host", "user") == [("h1", "u1"), ("h2", "u2"), ("h3", "u3")]
     assert df.select("evidence_id").distinct().count() == 2
@@ -263,11 +263,17 @@ def test_evidence_folder_with_layout(spark, tmp_path):
     write(tmp_path, "case_id=1/evidence_id=11/auth.log", AUTH_LINES)
     write(tmp_path, "case_id=1/evidence_id=12/app.TXT", "hello\n")
     write(tmp_path, "case_id=2/evidence_id=21/events.json", json.dumps(RECORDS))
-    df = read_evidence(
-        spark, str(tmp_path), Origin(), 2026, [p for p in READERS if "csv" not in p.lower() and "c" != p and "[cC]" not in p]
-    )
+    write(tmp_path, "case_id=2/evidence_id=22/a.csv", "host,user\nh,u\n")
+    write(tmp_path, "case_id=2/evidence_id=23/b.CSV", "message\nm\nn\n")
+    write(tmp_path, "case_id=3/evidence_id=31/s.xml", XML)
+    write(tmp_path, "case_id=3/evidence_id=32/w.evtx", EVENT_BLOCK.format(id="4624", q=""))
+    (tmp_path / "case_id=3" / "evidence_id=33").mkdir()
+    make_zip(tmp_path / "case_id=3" / "evidence_id=33" / "z.zip")
+    df = read_evidence(spark, str(tmp_path), Origin(), 2026)
     counts = {(r["case_id"], r["evidence_id"]): r["count"] for r in df.groupBy("case_id", "evidence_id").count().collect()}
-    assert counts == {(1, 11): 5, (1, 12): 1, (2, 21): 2}
+    assert counts == {
+        (1, 11): 5, (1, 12): 1, (2, 21): 2, (2, 22): 1, (2, 23): 2, (3, 31): 3, (3, 32): 1, (3, 33): 14,
+    }
     assert df.columns == EVENT_COLUMNS
 
 
