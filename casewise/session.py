@@ -19,10 +19,12 @@ SESSION_SETTINGS = {
     # The wide event projections compile to one very long method, which the JVM would only
     # interpret. Above this size Spark splits them into methods the JIT does compile.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # Recording the call site of every column doubles the time to build a plan.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# Only settable while a session is built. Recording the call site of every column doubles the
+# time to build a plan.
+BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to an existing session."""
@@ -41,7 +43,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cas
         .config("spark.ui.enabled", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
-    for key, value in {**SESSION_SETTINGS, **extra}.items():
+    for key, value in {**SESSION_SETTINGS, **BUILD_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
