@@ -6,16 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from casewise.llm import mixing
 from casewise.llm.common import table
+from casewise.llm.decontaminate import contaminated
 from casewise.llm.jaccard_join import jaccard_components
+from casewise.llm.language import language_of
+
+
+def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
 
 
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language_of(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_language": op8_language,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_mix_sources": mixing.ORACLE}

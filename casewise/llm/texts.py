@@ -146,3 +146,21 @@ def sums_by_row(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sum modulo 2**64 of each row's values."""
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
     return total[at[1:]] - total[at[:-1]]
+
+
+def codepoints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes and the place of each one's first byte."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    code = data[at].astype(np.int64)
+    long = np.flatnonzero(code >= 0xC0)
+    if len(long):
+        head, where = code[long], at[long]
+        padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+        b1, b2, b3 = (padded[where + k] & 0x3F for k in (1, 2, 3))
+        two, three = head < 0xE0, (head >= 0xE0) & (head < 0xF0)
+        code[long] = np.where(
+            two,
+            (head & 0x1F) << 6 | b1,
+            np.where(three, (head & 0x0F) << 12 | b1 << 6 | b2, (head & 0x07) << 18 | b1 << 12 | b2 << 6 | b3),
+        )
+    return code, at
