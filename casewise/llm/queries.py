@@ -11,12 +11,17 @@ from casewise.llm.common import table
 from casewise.llm.decontaminate import contaminated
 from casewise.llm.jaccard_join import jaccard_components
 from casewise.llm.language import language_of
+from casewise.llm.sharding import shard
 
 
 def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op3_shard(spark: SparkSession, folder: str) -> DataFrame:
+    return shard(table(spark, folder, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
 
@@ -31,6 +36,7 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_shard": op3_shard,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontaminate": op6_decontaminate,
     "op8_language": op8_language,
