@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casewise.llm import mixing
+from casewise.llm import chat, mixing
 from casewise.llm.common import table
 from casewise.llm.decontaminate import contaminated
 from casewise.llm.jaccard_join import jaccard_components
@@ -34,12 +34,17 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return language_of(table(spark, folder, "documents"))
 
 
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.chat_digest(chat.with_trial(table(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_shard": op3_shard,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontaminate": op6_decontaminate,
     "op8_language": op8_language,
+    "op10_chat": op10_chat,
 }
 
-ORACLE: dict[str, str] = {"op1_mix_sources": mixing.ORACLE}
+ORACLE: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op10_chat": chat.ORACLE}
