@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from casewise.llm import chat, mixing
@@ -12,6 +13,7 @@ from casewise.llm.decontaminate import contaminated
 from casewise.llm.jaccard_join import jaccard_components
 from casewise.llm.language import language_of
 from casewise.llm.sharding import shard
+from casewise.llm.token_counts import token_counts
 
 
 def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,6 +32,10 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return language_of(table(spark, folder, "documents"))
 
@@ -43,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_shard": op3_shard,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontaminate": op6_decontaminate,
+    "op7_token_counts": op7_token_counts,
     "op8_language": op8_language,
     "op10_chat": op10_chat,
 }
