@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from casewise.llm import chat, mixing
 from casewise.llm.common import table
 from casewise.llm.decontaminate import contaminated
+from casewise.llm.embedding_dedup import near_duplicates
 from casewise.llm.jaccard_join import jaccard_components
 from casewise.llm.language import language_of
+from casewise.llm.quality import quality_scores
 from casewise.llm.sharding import shard
 from casewise.llm.token_counts import token_counts
 
@@ -20,10 +22,18 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op3_shard(spark: SparkSession, folder: str) -> DataFrame:
     return shard(table(spark, folder, "documents"))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
 
@@ -46,7 +56,9 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_shard": op3_shard,
+    "op4_quality": op4_quality,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
