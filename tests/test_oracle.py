@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from casewise.plans.oracle import ORACLE
+from casewise.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -29,13 +30,13 @@ def plain(value):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows(spark, duck, name):
-    frame = entry.queries()[name](spark, FOLDER)
-    result = duck.sql(entry.oracle_sql()[name])
+    frame = QUERIES[name](spark, FOLDER)
+    result = duck.sql(ORACLE[name])
     columns = sorted(frame.columns)
     assert columns == sorted(result.columns)
     at = [result.columns.index(c) for c in columns]
