@@ -18,10 +18,13 @@ similarity is at least 0.75. The join finds every link:
    Frequent shingles are known from counters over all documents (a fixed number of them); the
    allocation only moves cost, the pigeonhole argument holds for any choice.
 4. Signatures travel packed, in blocks by hash range. A signature with up to ``SMALL`` sets gives
-   all their pairs; a larger one gives a star around its smallest set, and is kept. Pairs are
-   verified on the shingle sets and joined to components. Kept signatures whose sets still lie in
-   several components have their pairs across components verified too, so no link that matters
-   for a component is missed, while large groups of near copies never become all pairs.
+   all their pairs. A larger one is a group; its sets are paired with its centre, the set that
+   stands in most groups. Pairs whose sizes and profiles (shingles counted in 128 bins) allow it are
+   verified on the shingle sets and joined to components.
+5. Groups whose sets still lie in several components are compared in full, all groups of a centre
+   together: in blocks of bounded size, common shingles counted by matrix products inside a task,
+   which gives back no more than the links that join its components. So no link that matters for a component
+   is missed, and large groups of near copies never become rows of pairs.
 
 Shingles are compared by 64-bit hashes of the whole words.
 
@@ -33,11 +36,12 @@ names a component unless every id of the component is null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewise.llm.common import components, group_task, prepare, task
@@ -54,15 +58,20 @@ CELL_BITS = 18
 LOCAL_TIMES, GLOBAL_TIMES, LEAST_FREQUENT = 4, 8, 64
 # Hash ranges, signatures gathered before a task sends its blocks, signatures wanted in a range.
 LEAST_RANGES, FLUSH, RANGE_SIGNATURES = 512, 1 << 20, 200_000
+# Bins of a set's profile, by which pairs that differ too much are left out before sets are fetched.
+BINS = 128
 # Bits of the filter that keeps unneeded sets out of the verifying shuffle: 1 MB at most.
 FILTER_BITS = 23
 
 _SEGMENT, _MEMBER, _SUM_A, _SUM_B, _TOKEN = (U(x) for x in (0xA5B3571FD1, 0x7C1E99A4B7, 0x1D8AF066ED, 0x93D6E2C15B, 0x4F2BB1A9C7))
 
-_SUMMARY = "doc_id long, n int, a long, b long, cell int, heavy long"
-_BLOCKS = "part int, packed binary"
-_FOUND = "kind int, a long, b long"
-_SETS = "a long, n int, members binary"
+_SUMMARY = "doc_id long, n int, a long, b long, profile binary, cell int, heavy long"
+BLOCKS = "part int, packed binary"
+FOUND = "kind int, a long, b long"
+SETS = "a long, n int, members binary"
+# Sets of a block; a task compares two blocks. Shingles in at least DENSE sets of them go into a matrix,
+# so many columns at a time.
+BLOCK, DENSE, COLUMNS = 1024, 16, 4096
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -80,7 +89,7 @@ def _cells(values: np.ndarray) -> np.ndarray:
 def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per document (id, set size, two sums), and a task's frequent counters with their counts."""
     counts = np.zeros(1 << CELL_BITS, np.int64)
-    names = ["doc_id", "n", "a", "b", "cell", "heavy"]
+    names = ["doc_id", "n", "a", "b", "profile", "cell", "heavy"]
     for batch in batches:
         ids = batch.column("doc_id")
         for first, end, data, offsets in slices(batch.column("text")):
@@ -88,13 +97,15 @@ def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts += np.bincount(_cells(values), minlength=len(counts))
             a, b = _marks(values, at)
             n = end - first
-            none = pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, n), pa.array(np.diff(at).astype(np.int32)), pa.array(_signed(a)), pa.array(_signed(b)), *none], names
-            )
+            row = np.repeat(np.arange(n), np.diff(at))
+            bins = np.bincount(row * BINS + (values & U(BINS - 1)).astype(np.int64), minlength=n * BINS)
+            profile = np.minimum(bins, 255).astype(np.uint8).reshape(n, BINS)
+            columns = [ids.slice(first, n), pa.array(np.diff(at).astype(np.int32)), pa.array(_signed(a)), pa.array(_signed(b))]
+            columns += [pa.array([p.tobytes() for p in profile], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names)
     heavy = np.flatnonzero(counts > LOCAL_TIMES * max(1.0, counts.mean()))
     if len(heavy):
-        none = [pa.nulls(len(heavy), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+        none = [pa.nulls(len(heavy), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays([*none, pa.array(heavy.astype(np.int32)), pa.array(counts[heavy])], names)
 
 
@@ -166,6 +177,23 @@ def signatures(values: np.ndarray, at: np.ndarray, frequent: np.ndarray) -> tupl
     return np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
 
 
+def blocks(sig: np.ndarray, owner: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """(part, packed): the distinct pairs of signature and owner by hash range of the signature.
+
+    Within a range 32 bits of a signature tell all but a few apart; what they confuse is verified.
+    """
+    order = np.lexsort((owner, sig))
+    sig, owner = sig[order], owner[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])
+    sig, owner = sig[new], owner[new]
+    part = ((sig >> U(32)) * U(ranges) >> U(32)).astype(np.int32)
+    cut = np.searchsorted(part, np.arange(ranges + 1))
+    full = np.flatnonzero(np.diff(cut))
+    packed = [sig[cut[p] : cut[p + 1]].astype(np.uint32).tobytes() + owner[cut[p] : cut[p + 1]].tobytes() for p in full]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(packed, pa.binary())], ["part", "packed"])
+
+
 def pack(batches: Iterator[pa.RecordBatch], heavy: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
     """Signatures with the class's first sum, in blocks by hash range; a block holds each pair of both once."""
     frequent = np.zeros(1 << CELL_BITS, bool)
@@ -173,19 +201,6 @@ def pack(batches: Iterator[pa.RecordBatch], heavy: np.ndarray, ranges: int) -> I
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     count = 0
 
-    def blocks():
-        sig, owner = (np.concatenate([k[i] for k in kept]) for i in (0, 1))
-        order = np.lexsort((owner, sig))
-        sig, owner = sig[order], owner[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])
-        sig, owner = sig[new], owner[new]
-        part = ((sig >> U(32)) * U(ranges) >> U(32)).astype(np.int32)
-        cut = np.searchsorted(part, np.arange(ranges + 1))
-        full = np.flatnonzero(np.diff(cut))
-        packed = [np.concatenate([sig[cut[p] : cut[p + 1]], owner[cut[p] : cut[p + 1]]]).tobytes() for p in full]
-        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(packed, pa.binary())], ["part", "packed"])
-
     for batch in batches:
         for _, _, data, offsets in slices(batch.column("text")):
             values, at = shingle_sets(data, offsets)
@@ -194,17 +209,18 @@ def pack(batches: Iterator[pa.RecordBatch], heavy: np.ndarray, ranges: int) -> I
                 kept.append((sig, _marks(values, at)[0][row]))
                 count += len(sig)
             if count >= FLUSH:
-                yield blocks()
+                yield blocks(*(np.concatenate(k) for k in zip(*kept, strict=True)), ranges)
                 kept, count = [], 0
     if kept:
-        yield blocks()
+        yield blocks(*(np.concatenate(k) for k in zip(*kept, strict=True)), ranges)
 
 
 def meet(rows: pa.Table) -> pa.Table:
     """Candidate pairs of one hash range (kind 0: a, b), and the sets of its large signatures (kind 1: signature, set)."""
-    halves = [np.frombuffer(x, np.uint64) for x in rows.column("packed").to_pylist()]
-    sig = np.concatenate([h[: len(h) // 2] for h in halves])
-    owner = np.concatenate([h[len(h) // 2 :] for h in halves])
+    held = [(x, len(x) // 12) for x in rows.column("packed").to_pylist()]
+    sig = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in held]).astype(np.uint64)
+    sig |= U(rows.column("part")[0].as_py()) << U(32)
+    owner = np.concatenate([np.frombuffer(x, np.uint64, n, 4 * n) for x, n in held])
     order = np.lexsort((owner, sig))
     sig, owner = sig[order], owner[order]
     new = np.ones(len(sig), bool)
@@ -227,8 +243,6 @@ def meet(rows: pa.Table) -> pa.Table:
         if same in seen:
             continue
         seen.add(same)
-        left.append(np.full(len(members) - 1, members[0]))
-        right.append(members[1:])
         kind.append(np.stack([np.full(len(members), sig[start[k]]), members]))
     a, b = np.concatenate(left), np.concatenate(right)
     if len(a):
@@ -247,25 +261,33 @@ def meet(rows: pa.Table) -> pa.Table:
     )
 
 
+def wanted(a: np.ndarray, values: np.ndarray, at: np.ndarray, bits: bytes) -> pa.RecordBatch:
+    """The sets, once per class ``a``, that are not empty and pass the filter."""
+    _, once = np.unique(a, return_index=True)
+    rows = np.intersect1d(np.flatnonzero(passes(bits, a) & (np.diff(at) > 0)), once)
+    members = [values[at[r] : at[r + 1]].tobytes() for r in rows.tolist()]
+    sizes = np.diff(at)[rows].astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(_signed(a[rows])), pa.array(sizes), pa.array(members, pa.binary())], ["a", "n", "members"])
+
+
 def wanted_sets(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordBatch]:
     """The shingle sets whose class passes the filter."""
-    words = np.frombuffer(bits, np.uint64)
     for batch in batches:
         for _, _, data, offsets in slices(batch.column("text")):
             values, at = shingle_sets(data, offsets)
-            a = _marks(values, at)[0]
-            low = a & U((1 << FILTER_BITS) - 1)
-            hit = (words[(low >> U(6)).astype(np.int64)] >> (low & U(63)) & U(1)).astype(bool) & (np.diff(at) > 0)
-            _, once = np.unique(a, return_index=True)
-            rows = np.intersect1d(np.flatnonzero(hit), once)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(_signed(a[rows])),
-                    pa.array(np.diff(at)[rows].astype(np.int32)),
-                    pa.array([values[at[r] : at[r + 1]].tobytes() for r in rows.tolist()], pa.binary()),
-                ],
-                ["a", "n", "members"],
-            )
+            yield wanted(_marks(values, at)[0], values, at, bits)
+
+
+def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) that may link by their sizes and profiles: sets differ at least as much as their profiles."""
+    for batch in batches:
+        n_a, n_b = (batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+        p_a, p_b = (
+            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("p_a", "p_b")
+        )
+        differ = np.abs(p_a - p_b).sum(axis=1, dtype=np.int64)
+        keep = (differ * (TIMES + OF) <= (OF - TIMES) * (n_a + n_b)) & (np.minimum(n_a, n_b) * OF >= np.maximum(n_a, n_b) * TIMES)
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,47 +307,152 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _first(spark, frame: DataFrame) -> bool:
-    return not frame.isEmpty()
-
-
-def _filter_bits(needed: DataFrame) -> bytes:
-    """A filter of the needed classes: at most 2**17 words, whatever their number."""
-    low = F.col("a").bitwiseAND((1 << FILTER_BITS) - 1)
+def compare(rows: pa.Table) -> pa.Table:
+    """Links (a, b) between sets of different components in two blocks of a group, as many as join the components."""
+    members = [np.frombuffer(x, np.uint64) for x in rows.column("members").to_pylist()]
+    a, root, block = (rows.column(c).to_numpy() for c in ("a", "root", "block"))
+    size = np.array([len(m) for m in members], np.int64)
+    n = len(members)
+    tokens = np.concatenate(members)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    length = np.diff(np.concatenate([start, [len(tokens)]]))
+    common = np.zeros((n, n), np.float32)
+    for times in range(2, min(DENSE, n + 1)):
+        at = start[length == times]
+        for i in range(times - 1):
+            for j in range(i + 1, times):
+                np.add.at(common, (owner[at + i], owner[at + j]), 1)
+    common += common.T
+    dense = np.flatnonzero(length >= DENSE)
+    for k in range(0, len(dense), COLUMNS):
+        some = dense[k : k + COLUMNS]
+        held = np.zeros((n, len(some)), np.float32)
+        column = np.repeat(np.arange(len(some)), length[some])
+        place = np.arange(len(column)) - np.repeat(np.cumsum(length[some]) - length[some], length[some])
+        held[owner[start[some][column] + place], column] = 1
+        common += held @ held.T
+    linked = OF * common >= TIMES * (size[:, None] + size[None, :] - common)
+    linked &= root[:, None] != root[None, :]
+    if (block != block[0]).any():
+        linked &= block[:, None] != block[None, :]
+    above = {r: r for r in np.unique(root).tolist()}
+
+    def top(r):
+        while above[r] != r:
+            above[r] = r = above[above[r]]
+        return r
+
+    left, right = [], []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked))), strict=True):
+        x, y = top(root[i].item()), top(root[j].item())
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            left.append(a[i])
+            right.append(a[j])
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def filter_bits(needed: DataFrame, size: int) -> bytes:
+    """A filter of the needed classes (a): 2**size bits, whatever their number."""
+    low = F.col("a").bitwiseAND((1 << size) - 1)
     words = (
         needed.select(F.shiftright(low, 6).alias("w"), F.expr("shiftleft(1L, cast(a & 63 AS int))").alias("bit"))
         .groupBy("w")
         .agg(F.bit_or("bit").alias("bits"))
-        .collect()
     )
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for w, bits in words:
+    out = np.zeros(1 << (size - 6), np.int64)
+    for w, bits in words.toLocalIterator():
         out[w] = bits
     return out.tobytes()
 
 
-def _near_in_size(x: Column, y: Column) -> Column:
-    return F.least(x, y) * OF >= F.greatest(x, y) * TIMES
+def passes(bits: bytes, classes: np.ndarray) -> np.ndarray:
+    """Which classes the filter lets through."""
+    words = np.frombuffer(bits, np.uint64)
+    low = classes & U(len(words) * 64 - 1)
+    return (words[(low >> U(6)).astype(np.int64)] >> (low & U(63)) & U(1)).astype(bool)
+
+
+def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose sizes and profiles allow a link."""
+    left = classes.select("a", F.col("n").alias("n_a"), F.col("profile").alias("p_a"))
+    right = classes.select(F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("profile").alias("p_b"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(task(alike), "a long, b long").distinct()
+
+
+def class_sets(texts: DataFrame, reader: Callable, needed: DataFrame) -> DataFrame:
+    """The shingle sets (a, n, members) of the classes ``needed`` (a), read from the texts anew."""
+    found = texts.mapInArrow(task(reader, filter_bits(needed, FILTER_BITS)), SETS)
+    return found.join(needed.distinct(), "a", "left_semi").dropDuplicates(["a", "n"])
 
 
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The pairs of classes (a, b) that link, checked on their sets."""
-    needed = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
-    sets = texts.mapInArrow(task(wanted_sets, _filter_bits(needed)), _SETS).join(needed.distinct(), "a", "left_semi")
-    sets = sets.dropDuplicates(["a", "n"])
-    left = sets.select("a", F.col("n").alias("n_a"), F.col("members").alias("set_a"))
-    right = sets.select(F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("members").alias("set_b"))
+    sets = fetch(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
+    left = sets.select("a", F.col("members").alias("set_a"))
+    right = sets.select(F.col("a").alias("b"), F.col("members").alias("set_b"))
     # The smaller ids travel first: they are the centres of stars.
-    held = pairs.join(left, "a").join(right, "b").where(_near_in_size(F.col("n_a"), F.col("n_b")))
-    return held.select("a", "b", "set_a", "set_b").mapInArrow(task(verify), "a long, b long")
+    held = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    return held.mapInArrow(task(verify), "a long, b long").distinct()
+
+
+def _centred(groups: DataFrame) -> DataFrame:
+    """(centre, a): the sets that share a group with a centre, the set of the group that stands in most groups."""
+    often = groups.groupBy("a").agg(F.count(F.lit(1)).alias("often"))
+    centre = groups.join(often, "a").groupBy("signature").agg(F.max(F.struct("often", "a")).alias("most"))
+    found = groups.join(centre.select("signature", F.col("most.a").alias("centre")), "signature").select("centre", "a")
+    return Scratch(found.distinct(), "centres").frame
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return Scratch(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots").frame
+
+
+def _open(centres: DataFrame, roots: DataFrame) -> DataFrame:
+    """(centre, a, root) of the centres whose sets lie in several components."""
+    member = centres.join(roots, centres["a"] == roots["node"], "left").select("centre", "a", F.coalesce("root", "a").alias("root"))
+    mixed = member.groupBy("centre").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return member.join(mixed.select("centre"), "centre", "left_semi")
+
+
+def _across(open_: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) between components, from comparing all sets of a centre block by block."""
+    counts = open_.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = open_.join(counts, "centre").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    sets = fetch(open_.select("a")).select("a", "members")
+    dealt = placed.join(sets, "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    two = [F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")]
+    rows = dealt.select("centre", *two, "block", "a", "root", "members")
+    return rows.groupBy("centre", "first", "second").applyInArrow(group_task(compare), "a long, b long").distinct()
+
+
+def class_roots(
+    found: DataFrame, fetch: Callable[[DataFrame], DataFrame], sieve: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """(node, root) of the classes with a link, from candidates (see ``meet``); ``fetch`` gives the sets of classes."""
+    groups = found.where("kind = 1").select(F.col("a").alias("signature"), F.col("b").alias("a"))
+    centres = _centred(groups)
+    around = centres.where(F.col("a") != F.col("centre")).select(F.least("a", "centre").alias("a"), F.greatest("a", "centre").alias("b"))
+    pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(around).distinct()
+    pairs = Scratch(sieve(pairs) if sieve else pairs, "pairs").frame
+    links = Scratch(_verified(pairs, fetch), "linked").frame
+    roots = _roots(links)
+    open_ = Scratch(_open(centres, roots), "open").frame
+    if not open_.isEmpty():
+        links = links.unionByName(Scratch(_across(open_, fetch), "across").frame)
+        roots = _roots(links)
+    return roots
 
 
 def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, classes): doc_id, n, a, b of every document; a, b, n, id, root of every class with a link."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     texts = docs.select("text")
     summary = Scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task(summarize), _SUMMARY), "shingles").frame
-    documents = summary.where(F.col("n").isNotNull()).select("doc_id", "n", "a", "b")
+    documents = summary.where(F.col("n").isNotNull()).select("doc_id", "n", "a", "b", "profile")
     total = documents.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = max(LEAST_FREQUENT, GLOBAL_TIMES * total / (1 << CELL_BITS))
     # At most 2**CELL_BITS rows.
@@ -333,33 +460,13 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cells = np.array([r[0] for r in heavy.select("cell").collect()], np.int64)
     ranges = max(LEAST_RANGES, total // (2 * RANGE_SIGNATURES))
     found = Scratch(
-        texts.mapInArrow(task(pack, cells, ranges), _BLOCKS).groupBy("part").applyInArrow(group_task(meet), _FOUND), "candidates"
+        texts.mapInArrow(task(pack, cells, ranges), BLOCKS).groupBy("part").applyInArrow(group_task(meet), FOUND), "candidates"
     ).frame
-    classes = documents.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"))
-    pairs = Scratch(found.where("kind = 0").select("a", "b").distinct(), "pairs").frame
-    links = Scratch(_verified(texts, pairs), "linked").frame
-    groups = found.where("kind = 1").select(F.col("a").alias("signature"), F.col("b").alias("a"))
-    roots = Scratch(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots").frame
-    member = groups.join(roots, groups["a"] == roots["node"], "left").select(
-        "signature", "a", F.coalesce("root", "a").alias("root")
-    )
-    mixed = member.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    open_ = Scratch(member.join(mixed.select("signature"), "signature", "left_semi"), "open").frame
-    if _first(spark, open_):
-        size = classes.groupBy("a").agg(F.min("n").alias("n"), F.max("n").alias("n_most"))
-        sized = open_.join(size, "a")
-        x, y = sized.alias("x"), sized.alias("y")
-        across = (
-            x.join(y, F.col("x.signature") == F.col("y.signature"))
-            .where((F.col("x.root") < F.col("y.root")) & (F.col("x.n") * TIMES <= F.col("y.n_most") * OF) & (F.col("y.n") * TIMES <= F.col("x.n_most") * OF))
-            .select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"))
-            .distinct()
-            .join(pairs, ["a", "b"], "left_anti")
-        )
-        more = Scratch(across, "pairs").frame
-        links = Scratch(links.unionByName(_verified(texts, more)), "linked").frame
-        roots = Scratch(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots").frame
-    return documents, classes.join(roots, classes["a"] == roots["node"], "left").select("a", "b", "n", "id", F.coalesce("root", "a").alias("root"))
+    of_class = [F.min("doc_id").alias("id"), F.first("profile").alias("profile")]
+    classes = Scratch(documents.where("n > 0").groupBy("a", "b", "n").agg(*of_class), "classes").frame
+    fetch = partial(class_sets, texts, wanted_sets)
+    roots = class_roots(found, fetch, lambda pairs: _alike(pairs, classes))
+    return documents.drop("profile"), classes.join(roots, classes["a"] == roots["node"], "left").select("a", "b", "n", "id", F.coalesce("root", "a").alias("root"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
