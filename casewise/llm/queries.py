@@ -13,6 +13,7 @@ from casewise.llm.decontaminate import contaminated
 from casewise.llm.embedding_dedup import near_duplicates
 from casewise.llm.jaccard_join import jaccard_components
 from casewise.llm.language import language_of
+from casewise.llm.paragraph_dedup import repeated_passages
 from casewise.llm.quality import quality_scores
 from casewise.llm.sharding import shard
 from casewise.llm.token_counts import token_counts
@@ -50,6 +51,10 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return language_of(table(spark, folder, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(table(spark, folder, "documents"))
+
+
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.chat_digest(chat.with_trial(table(spark, folder, "conversations")))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_language": op8_language,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_chat": op10_chat,
 }
 
