@@ -11,6 +11,7 @@ from casewise.functions.text import cut, first_present, present
 from casewise.schemas import EVENT_COLUMNS
 from casewise.taxonomy import (
     ALERT_SEVERITIES,
+    DESCRIPTION_LIMIT,
     FIELD_LIMITS,
     PARSED_CONFIDENCE,
     PARSED_CONFIDENCE_OTHERWISE,
@@ -69,10 +70,7 @@ def universal_event(
         "event_type": "LogEntry",
         "source": "System",
     }
-    finished = {
-        name: cut(first_present([F.col(name)], defaults.get(name)), limit)
-        for name, limit in FIELD_LIMITS.items()
-    }
+    finished = {name: first_present([F.col(name)], defaults.get(name)) for name in FIELD_LIMITS}
     return staged.select(
         event_key(F.col("evidence_id"), F.col("seq")).alias("event_uid"),
         F.col("evidence_id").cast("long").alias("evidence_id"),
@@ -92,6 +90,11 @@ def universal_event(
     ).select(*EVENT_COLUMNS)
 
 
+def for_display(events: DataFrame, limits: Mapping[str, int] = FIELD_LIMITS, description: int = DESCRIPTION_LIMIT) -> DataFrame:
+    """The events with their texts cut to the given lengths; the tables themselves hold whole texts."""
+    return events.withColumns({name: cut(F.col(name), limit) for name, limit in {**limits, "description": description}.items()})
+
+
 def pick_alias(available: Mapping[str, Column], names: list[str], otherwise: str | None = None) -> Column:
     """First non-empty of the named fields; ``available`` has lower-case keys."""
     return first_present([available[n] for n in names if n in available], otherwise)

@@ -150,7 +150,7 @@ def alert_line() -> Column:
 
 def evidence_line() -> Column:
     return F.concat(
-        F.lit("- File: "), _text(F.col("filename")), F.lit(" (Type: "), _text(F.col("file_type")),
+        F.lit("- File: "), _text(F.col("original_filename")), F.lit(" (Type: "), _text(F.col("file_type")),
         F.lit(", Size: "), _text(F.col("size")), F.lit(" bytes, Parsed: "),
         F.when(F.col("is_parsed"), "True").otherwise("False"), F.lit(")"),
     )

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from casewise.operators.skew import HEAVY_FLOOR, attach_group, lookup
 from casewise.session import Scratch
 
-MAX_ROUNDS = 100
-
 
 def _both_ways(links: DataFrame) -> DataFrame:
     back = links.select("case_id", F.col("v").alias("u"), F.col("u").alias("v"))
@@ -58,7 +56,7 @@ def _roots(edges: DataFrame, floor: int) -> DataFrame:
     )
     held = Scratch(links, "links")
     before = _measure(held.frame)
-    for _ in range(MAX_ROUNDS):
+    while True:
         count = before[0]
         starred = _large_star(held.frame, floor, count).distinct()
         moved = Scratch(_small_star(starred, floor, count).distinct(), "links")
@@ -68,7 +66,6 @@ def _roots(edges: DataFrame, floor: int) -> DataFrame:
         if before == now:
             return held.frame.select("case_id", F.col("u").alias("node_id"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
 def _labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -32,8 +32,11 @@ def extension(name: Column) -> Column:
     return F.when(F.size(parts) > 1, F.lower(F.element_at(parts, -1))).otherwise("")
 
 
-def file_gate(files: DataFrame) -> DataFrame:
-    """Accept or reject files by extension and size; needs ``filename`` and ``size``."""
+def file_gate(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Accept or reject files by extension; needs ``filename`` and ``size``.
+
+    Files of any size are accepted unless the caller names a limit.
+    """
     named = files.withColumn("clean_name", clean_name(F.coalesce(F.col("filename"), F.lit("")))).withColumn(
         "extension", extension(F.col("clean_name"))
     )
@@ -41,8 +44,9 @@ def file_gate(files: DataFrame) -> DataFrame:
         F.when(F.col("extension").isin(X.BLOCKED_EXTENSIONS), "blocked_extension")
         .when(~F.col("extension").isin(X.ALLOWED_EXTENSIONS), "unsupported_extension")
         .when(F.coalesce(F.col("size"), F.lit(0)) == 0, "empty_file")
-        .when(F.col("size") > X.MAX_FILE_BYTES, "too_large")
     )
+    if max_bytes is not None:
+        reason = reason.when(F.col("size") > max_bytes, "too_large")
     return named.withColumn("reject_reason", reason).withColumn("accepted", F.col("reject_reason").isNull())
 
 
@@ -154,11 +158,14 @@ def custody_trail(log: DataFrame, evidence_id: int) -> DataFrame:
 
 
 def recent_activity(log: DataFrame, count: int = 6) -> DataFrame:
-    """The newest audit rows as an activity feed."""
+    """The newest audit rows as an activity feed; ``details`` is empty where the log has none."""
+    nothing = F.create_map().cast("map<string,string>")
+    details = F.coalesce("details", nothing) if "details" in log.columns else nothing
     newest = page(log, [F.col("timestamp").desc(), F.col("log_id").desc()], 0, count)
     return newest.select(
         "log_id",
         activity_text(F.col("action"), F.col("evidence_id")).alias("action"),
         activity_time(F.col("timestamp")).alias("time"),
+        details.alias("details"),
         activity_severity(F.col("action")).alias("severity"),
     )

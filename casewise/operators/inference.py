@@ -19,7 +19,6 @@ from casewise.operators.skew import lookup
 from casewise.schemas import FACT
 from casewise.session import materialize
 
-MAX_ROUNDS = 50
 BURST_SIZE = 3
 
 
@@ -266,9 +265,10 @@ def chain(counted: DataFrame, rules: Sequence[InferenceRule] | None = None) -> D
         F.lit(True).alias("__open"),
         F.lit(0).alias("iterations"),
     )
-    # Only rules that build on conclusions of others can need another round.
+    # Only rules that build on conclusions of others can need another round, and each fires once:
+    # after so many rounds nothing can change.
     dependent = {i for i, _ in meets}
-    for number in range(1, min(MAX_ROUNDS, len(dependent) + 2) + 1):
+    for number in range(1, len(dependent) + 3):
         state = state.withColumn("iterations", F.col("iterations") + F.col("__open").cast("int"))
         state = state.withColumn("__grew", F.lit(False))
         for i, rule in enumerate(rules):

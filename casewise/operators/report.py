@@ -74,8 +74,8 @@ def risk_score(nodes: DataFrame, validation: DataFrame | None = None) -> DataFra
     )
 
 
-def highlights(nodes: DataFrame) -> DataFrame:
-    """First distinct values of a case in alphabetic order: 4 threats, 3 accounts, 3 hosts; in rows."""
+def highlights(nodes: DataFrame, threats_shown: int = 4, names_shown: int = 3) -> DataFrame:
+    """First distinct values of a case in alphabetic order, in rows: so many threats, and so many accounts and hosts each."""
     kind = F.lower(F.coalesce("node_type", F.lit("")))
     scored = scored_nodes(nodes)
     threats = scored.where(F.col("category") != "Unknown Activity").select(
@@ -90,8 +90,8 @@ def highlights(nodes: DataFrame) -> DataFrame:
         "case_id", F.lit("host").alias("kind"), F.col("node_label").alias("value")
     )
     values = threats.unionByName(accounts).unionByName(hosts).distinct()
-    ranked = top_per_group(values, ["case_id", "kind"], [F.col("value")], 4, "position")
-    return ranked.where((F.col("kind") == "threat") | (F.col("position") <= 3))
+    ranked = top_per_group(values, ["case_id", "kind"], [F.col("value")], max(threats_shown, names_shown), "position")
+    return ranked.where(F.col("position") <= F.when(F.col("kind") == "threat", threats_shown).otherwise(names_shown))
 
 
 def _lines(df: DataFrame, section: int, position, line) -> DataFrame:
@@ -100,13 +100,23 @@ def _lines(df: DataFrame, section: int, position, line) -> DataFrame:
     )
 
 
-def case_context(cases: DataFrame, evidence: DataFrame, nodes: DataFrame, events: DataFrame) -> DataFrame:
+def case_context(
+    cases: DataFrame,
+    evidence: DataFrame,
+    nodes: DataFrame,
+    events: DataFrame,
+    shown_nodes: int = CONTEXT_NODES,
+    shown_events: int = CONTEXT_EVENTS,
+) -> DataFrame:
     """Context of every case as ordered text lines (section, position, line).
 
-    Sections: case metadata, all live evidence files, the first 50 nodes by type and label,
-    the first 200 events by time. The number of evidence files of a case has no bound, so the
-    text stays in rows; order by (section, position) and join with line breaks to print it.
+    Sections: case metadata, all live evidence files, the first ``shown_nodes`` nodes by type and
+    label, the first ``shown_events`` events by time; only of cases that ``cases`` holds. The number of
+    evidence files of a case has no bound, so the text stays in rows; order by (section,
+    position) and join with line breaks to print it.
     """
+    known = cases.select("case_id").distinct()
+    evidence, nodes, events = (df.join(known, "case_id", "left_semi") for df in (live(evidence), nodes, events))
     about = F.array(
         F.concat(F.lit("Case ID: #"), F.col("case_id").cast("string")),
         F.concat(F.lit("Title: "), F.coalesce("title", F.lit("None"))),
@@ -116,7 +126,7 @@ def case_context(cases: DataFrame, evidence: DataFrame, nodes: DataFrame, events
     )
     metadata = cases.select("case_id", F.posexplode(about).alias("p", "text"))
     files = number_rows(
-        live(evidence).withColumn("text", evidence_line()).select("case_id", "evidence_id", "text"),
+        evidence.withColumn("text", evidence_line()).select("case_id", "evidence_id", "text"),
         ["case_id"],
         [F.col("evidence_id")],
         "n",
@@ -125,14 +135,14 @@ def case_context(cases: DataFrame, evidence: DataFrame, nodes: DataFrame, events
         nodes.select("case_id", "node_type", "node_label"),
         ["case_id"],
         [F.col("node_type"), F.col("node_label")],
-        CONTEXT_NODES,
+        shown_nodes,
         "n",
     ).withColumn("text", node_line())
     timeline = top_per_group(
         events.select("case_id", "timestamp", "event_uid", "severity", "event_type", "user", "host", "description"),
         ["case_id"],
         [F.col("timestamp").asc_nulls_first(), F.col("event_uid")],
-        CONTEXT_EVENTS,
+        shown_events,
         "n",
     ).withColumn("text", event_line())
     silent = cases.join(events.select("case_id").distinct(), "case_id", "left_anti")
@@ -144,7 +154,9 @@ def case_context(cases: DataFrame, evidence: DataFrame, nodes: DataFrame, events
         _lines(silent, 4, F.lit(1), F.lit("(No parsed events recorded yet in timeline)")),
     ]
     lines = reduce(DataFrame.unionByName, parts)
-    heads = lines.select("case_id", "section").distinct()
+    always = cases.select("case_id", F.explode(F.array(F.lit(1), F.lit(4))).alias("section"))
+    filled = [df.select("case_id", F.lit(k).alias("section")).distinct() for k, df in ((2, evidence), (3, nodes))]
+    heads = reduce(DataFrame.unionByName, [always, *filled])
     titles = F.array(*[F.lit(f"=== {name} ===") for name in SECTIONS])
     return lines.unionByName(_lines_of_heads(heads, titles))
 
@@ -155,8 +167,8 @@ def _lines_of_heads(heads: DataFrame, titles) -> DataFrame:
     )
 
 
-def investigation_prompt(cases: DataFrame, alerts: DataFrame, events: DataFrame) -> DataFrame:
-    """Prompt text of every case as ordered lines: title, alerts, then the first 150 events by time."""
+def investigation_prompt(cases: DataFrame, alerts: DataFrame, events: DataFrame, shown_events: int = PROMPT_EVENTS) -> DataFrame:
+    """Prompt text of every case as ordered lines: title, alerts, then the first ``shown_events`` events by time."""
     head = cases.select(
         "case_id",
         F.posexplode(
@@ -174,7 +186,7 @@ def investigation_prompt(cases: DataFrame, alerts: DataFrame, events: DataFrame)
         events.select("case_id", "timestamp", "event_uid", "event_type", "user", "host", "ip_address", "description"),
         ["case_id"],
         [F.col("timestamp").asc_nulls_first(), F.col("event_uid")],
-        PROMPT_EVENTS,
+        shown_events,
         "n",
     ).withColumn("text", prompt_event_line())
     parts = [

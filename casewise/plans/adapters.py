@@ -54,10 +54,7 @@ def planned_once(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[S
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A test table. A small file is one split; it is spread over the cores, a large table is left alone."""
-    scan = configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return configure(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def _cases_of(expression: str, choices: list[str]) -> str:
@@ -201,6 +198,7 @@ def event_evidence(spark: SparkSession, folder: str) -> DataFrame:
         "evidence_id",
         "case_id",
         F.concat(F.lit("evidence_"), F.col("evidence_id").cast("string"), F.lit(".log")).alias("filename"),
+        F.concat(F.lit("upload/evidence "), F.col("evidence_id").cast("string")).alias("original_filename"),
         F.lit("log").alias("file_type"),
         "size",
         F.lit(True).alias("is_parsed"),
@@ -215,6 +213,7 @@ def custody_log(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_custkey").alias("evidence_id"),
         F.expr("CASE o_orderstatus WHEN 'O' THEN 'UPLOAD' WHEN 'F' THEN 'PARSE' ELSE 'DELETE' END").alias("action"),
         F.col("o_orderdate").cast("timestamp").alias("timestamp"),
+        F.when(F.col("o_orderstatus") != "F", F.create_map(F.lit("priority"), F.col("o_orderpriority"))).alias("details"),
     )
 
 

@@ -123,7 +123,8 @@ _EVIDENCE = """evidence AS (
 _CUSTODY = """custody AS (
   SELECT o_orderkey AS log_id, o_custkey AS evidence_id,
     CASE o_orderstatus WHEN 'O' THEN 'UPLOAD' WHEN 'F' THEN 'PARSE' ELSE 'DELETE' END AS action,
-    CAST(o_orderdate AS TIMESTAMP) AS "timestamp" FROM orders)"""
+    CAST(o_orderdate AS TIMESTAMP) AS "timestamp",
+    CASE WHEN o_orderstatus <> 'F' THEN '{"priority":"' || o_orderpriority || '"}' END AS details FROM orders)"""
 
 _RESULTS = """results AS (
   SELECT o_orderkey AS result_id, o_custkey AS case_id, CAST(o_orderdate AS TIMESTAMP) AS validated_at,
@@ -168,7 +169,7 @@ _ROWS = """rows0 AS (
 _UNIVERSAL = """SELECT sha256(evidence_id || '|' || seq) AS event_uid, evidence_id, case_id, seq,
     coalesce(ts, TIMESTAMP '2024-02-01 00:00:00') AS "timestamp", ts IS NULL AS ts_inferred,
     {source} AS source, {event_type} AS event_type,
-    nullif(substr(event_id0, 1, 50), '') AS event_id, "user", host, {ip} AS ip_address, CAST(NULL AS VARCHAR) AS process,
+    nullif(event_id0, '') AS event_id, "user", host, {ip} AS ip_address, CAST(NULL AS VARCHAR) AS process,
     CAST(NULL AS VARCHAR) AS file_path, severity, {description} AS description,
     severity IN ('high', 'critical') AS is_suspicious,
     CASE severity WHEN 'critical' THEN 0.9::DOUBLE WHEN 'high' THEN 0.7::DOUBLE ELSE 0.2::DOUBLE END AS confidence_score
@@ -179,7 +180,7 @@ _add(
     [_ROWS],
     _UNIVERSAL.format(
         source="coalesce(nullif(source0, ''), 'System')",
-        event_type="coalesce(nullif(substr(event_type0, 1, 100), ''), 'LogEntry')",
+        event_type="coalesce(nullif(event_type0, ''), 'LogEntry')",
         ip="CAST(NULL AS VARCHAR)",
         description="coalesce(description0, 'Parsed event from ' || source0)",
     ),
@@ -189,7 +190,7 @@ _add(
     [_ROWS],
     _UNIVERSAL.format(
         source="'JsonLog'",
-        event_type="coalesce(nullif(substr(event_type0, 1, 100), ''), 'JsonLog')",
+        event_type="coalesce(nullif(event_type0, ''), 'JsonLog')",
         ip="nullif(source0, '')",
         description="coalesce(description0, 'record')",
     )
@@ -351,8 +352,7 @@ _add(
 _add(
     "evidence_stages",
     [_NORM, _EVIDENCE, _CASES],
-    """SELECT evidence_id, case_id, CASE WHEN case_id NOT IN (SELECT case_id FROM norm WHERE registry_key IS NOT NULL) THEN 'NORMALIZED'
-      WHEN case_id IN (SELECT case_id FROM cases WHERE NOT is_deleted) THEN 'CSP_VALIDATED' ELSE 'GRAPH_CREATED' END AS processing_stage
+    """SELECT evidence_id, case_id, CASE WHEN case_id IN (SELECT case_id FROM cases WHERE NOT is_deleted) THEN 'CSP_VALIDATED' ELSE 'GRAPH_CREATED' END AS processing_stage
       FROM evidence""",
 )
 _add(
@@ -364,14 +364,15 @@ _add(
 _add(
     "custody_trail",
     [_CUSTODY],
-    """SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY "timestamp", log_id) AS position FROM custody""",
+    """SELECT * EXCLUDE (details), row_number() OVER (PARTITION BY evidence_id ORDER BY "timestamp", log_id) AS position FROM custody""",
 )
 _add(
     "recent_activity",
     [_CUSTODY],
     """SELECT log_id, 'Action ''' || action || ''' performed on Evidence #' || evidence_id AS action,
       strftime("timestamp", '%Y-%m-%d %H:%M UTC') AS time,
-      CASE action WHEN 'DELETE' THEN 'critical' WHEN 'PARSE' THEN 'high' ELSE 'info' END AS severity
+      CASE action WHEN 'DELETE' THEN 'critical' WHEN 'PARSE' THEN 'high' ELSE 'info' END AS severity,
+      coalesce(details, '{}') AS details
       FROM custody ORDER BY custody."timestamp" DESC, log_id DESC LIMIT 6""",
 )
 
@@ -894,7 +895,7 @@ _add(
       AS risk_level, coalesce(v, CASE WHEN s > 0 THEN round(100.0::DOUBLE - s * 0.3::DOUBLE, 1) ELSE 0.0::DOUBLE END) AS plausibility
       FROM (SELECT case_id, CAST(least(100, sum(CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 15 WHEN 'medium' THEN 8 ELSE 3 END))
         AS BIGINT) AS s FROM scored GROUP BY 1)
-      LEFT JOIN (SELECT case_id, max(validation_score) AS v FROM results WHERE case_id % 2 = 0 GROUP BY 1) USING (case_id)""",
+      LEFT JOIN (SELECT case_id, max(validation_score) AS v FROM results GROUP BY 1) USING (case_id)""",
 )
 _add(
     "risk_highlights",
@@ -914,21 +915,20 @@ _add(
     "case_context",
     [*_GRAPH[:4], _EVIDENCE, _CASES, _RANKED],
     f"""SELECT * FROM (
-      WITH entities50 AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY node_type, node_label) AS n FROM nodes
-          WHERE node_type <> 'Normalized_Event'),
+      WITH entities50 AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY node_type, node_label) AS n FROM nodes),
         body AS (
         SELECT case_id, 1 AS section, u.p AS position, u.line FROM cases, LATERAL (VALUES
           (1, 'Case ID: #' || case_id), (2, 'Title: ' || title), (3, 'Description: ' || description), (4, 'Priority: ' || priority),
           (5, 'Status: ' || status)) u(p, line)
-        UNION ALL SELECT case_id, 2, row_number() OVER (PARTITION BY case_id ORDER BY evidence_id), '- File: ' || filename || ' (Type: ' || file_type ||
+        UNION ALL SELECT case_id, 2, row_number() OVER (PARTITION BY case_id ORDER BY evidence_id), '- File: upload/evidence ' || evidence_id || ' (Type: ' || file_type ||
           ', Size: ' || size || ' bytes, Parsed: ' || CASE WHEN is_parsed THEN 'True' ELSE 'False' END || ')' FROM evidence WHERE NOT is_deleted
         UNION ALL SELECT case_id, 3, n, '- Entity [' || node_type || ']: ' || node_label FROM entities50 WHERE n <= 50
         UNION ALL SELECT case_id, 4, n, '[' || {_TIME_TEXT} || '] [' || severity || '] ' || event_type || ' | User: ' || coalesce("user", 'None') ||
           ' | Host: ' || host || ' | ' || description FROM ranked e WHERE n <= 200
         UNION ALL SELECT case_id, 4, 1, '(No parsed events recorded yet in timeline)' FROM cases WHERE case_id NOT IN (SELECT case_id FROM evs))
-      SELECT case_id, section, CAST(position AS BIGINT) AS position, line FROM body
+      SELECT case_id, section, CAST(position AS BIGINT) AS position, line FROM body WHERE case_id IN (SELECT case_id FROM cases)
       UNION ALL SELECT DISTINCT case_id, section, CAST(0 AS BIGINT), '=== ' || CASE section WHEN 1 THEN 'CASE METADATA' WHEN 2 THEN 'UPLOADED EVIDENCE'
-        WHEN 3 THEN 'KNOWLEDGE GRAPH ENTITIES' ELSE 'EVIDENCE TIMELINE' END || ' ===' FROM body)""",
+        WHEN 3 THEN 'KNOWLEDGE GRAPH ENTITIES' ELSE 'EVIDENCE TIMELINE' END || ' ===' FROM body WHERE case_id IN (SELECT case_id FROM cases))""",
 )
 _add(
     "investigation_prompt",

@@ -231,7 +231,7 @@ def evidence_stages(spark, d):
     files = A.event_evidence(spark, d).withColumn("sha256", F.sha2("filename", 256))
     events = A.case_events(spark, d)
     normal = A.normalized_events(spark, d)
-    nodes = graph.extract_nodes(normal).where(F.col("node_type") == "Registry_Key")
+    nodes = graph.extract_nodes(normal)
     checked = search.live(A.cases(spark, d)).select("case_id")
     return evidence.stage_update(files, events, normal, nodes, checked).select(
         "evidence_id", "case_id", "processing_stage"
@@ -248,13 +248,13 @@ def custody_entries(spark, d):
 def custody_trail(spark, d):
     """Audit rows of all evidence, in time order within each file."""
     return ranking.number_rows(
-        A.custody_log(spark, d), ["evidence_id"], [F.col("timestamp").asc(), F.col("log_id").asc()], "position"
+        A.custody_log(spark, d).drop("details"), ["evidence_id"], [F.col("timestamp").asc(), F.col("log_id").asc()], "position"
     )
 
 
 @query
 def recent_activity(spark, d):
-    return evidence.recent_activity(A.custody_log(spark, d))
+    return evidence.recent_activity(A.custody_log(spark, d)).withColumn("details", F.to_json("details"))
 
 
 # ---- search ------------------------------------------------------------------------------
@@ -267,9 +267,8 @@ def search_events(spark, d):
 
 @query
 def search_normalized(spark, d):
-    # Searches run over the stored table, as they would in use.
-    stored = materialize(A.normalized_events(spark, d).drop("raw_event_reference"), "normalized")
-    return search.search_normalized(stored, category="Process Execution", search="ER")
+    normal = A.normalized_events(spark, d).drop("raw_event_reference")
+    return search.search_normalized(normal, category="Process Execution", search="ER")
 
 
 @query
@@ -650,7 +649,7 @@ def rule_triggers(spark, d):
 @query
 def risk_score(spark, d):
     nodes = graph.build_nodes(A.normalized_events(spark, d))
-    return report.risk_score(nodes, A.validation_results(spark, d).groupBy("case_id").agg(F.max("validation_score").alias("validation_score")).where("case_id % 2 = 0"))
+    return report.risk_score(nodes, A.validation_results(spark, d).groupBy("case_id").agg(F.max("validation_score").alias("validation_score")))
 
 
 @query
@@ -666,7 +665,7 @@ def risk_highlights(spark, d):
 @query
 def case_context(spark, d):
     events = A.case_events(spark, d)
-    nodes = graph.dedup_nodes(graph.extract_nodes(A.normalized_events(spark, d)))
+    nodes = graph.build_nodes(A.normalized_events(spark, d))
     return report.case_context(A.cases(spark, d), A.event_evidence(spark, d), nodes, events)
 
 

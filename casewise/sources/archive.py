@@ -6,6 +6,7 @@ import csv
 import io
 import json
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,7 +27,7 @@ def member_format(name: str) -> str | None:
     """Reader for a member, None for members that are skipped."""
     base = name.rsplit("/", 1)[-1].lower()
     extension = base.rsplit(".", 1)[-1] if "." in base else ""
-    if not base or extension in X.BLOCKED_EXTENSIONS or extension == "zip":
+    if not base or extension in X.ARCHIVE_SKIPPED_EXTENSIONS or extension == "zip":
         return None
     if extension in ("csv", "json", "xml"):
         return extension
@@ -76,39 +77,37 @@ def member_rows(kind: str, content: bytes) -> Iterator[tuple[str, str]]:
     return (("", line) for line in text.splitlines())
 
 
-def members(content: bytes, limit: int = X.MAX_FILE_BYTES) -> list[tuple[str, bytes]]:
-    """Members that are read; nothing when the archive is bad or unpacks to more than ``limit`` bytes.
+def members(content: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
+    """(name, bytes, problem) of the members, one at a time; a member that is not read has a problem instead of bytes.
 
-    Real bytes are counted, not the sizes that the archive declares.
+    A damaged archive ends with a row that has no name.
     """
-    kept, size = [], 0
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             for info in sorted(archive.infolist(), key=lambda i: i.filename):
                 if info.is_dir():
                     continue
-                with archive.open(info) as stream:
-                    body = stream.read(limit - size + 1)
-                size += len(body)
-                if size > limit:
-                    return []
-                if member_format(info.filename):
-                    kept.append((info.filename, body))
-    except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, OSError):
-        return []
-    return kept
+                if not member_format(info.filename):
+                    yield info.filename, None, "not read inside archives"
+                    continue
+                try:
+                    yield info.filename, archive.read(info), None
+                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, OSError, zlib.error) as problem:
+                    yield info.filename, None, str(problem) or type(problem).__name__
+    except (zipfile.BadZipFile, NotImplementedError, EOFError, OSError) as problem:
+        yield "", None, str(problem) or type(problem).__name__
 
 
 def explode_archives(archives: DataFrame) -> DataFrame:
-    """Records of all members of archives held as bytes."""
+    """Records of all members of archives held as bytes; members that are not read have one row of format ``skipped``, with the reason as its line."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 seq, rows = 0, []
-                for name, content in members(bytes(row.content)):
-                    kind = member_format(name)
-                    for tag, text in member_rows(kind, content):
+                for name, content, problem in members(bytes(row.content)):
+                    kind = "skipped" if problem else member_format(name)
+                    for tag, text in [("", problem)] if problem else member_rows(kind, content):
                         rows.append((row.case_id, row.evidence_id, row.path, name, seq, kind, tag, text))
                         seq += 1
                         if len(rows) == CHUNK:
@@ -120,6 +119,13 @@ def explode_archives(archives: DataFrame) -> DataFrame:
     return archives.select("case_id", "evidence_id", "path", "content").mapInPandas(explode, MEMBER_ROWS)
 
 
+def skipped_members(records: DataFrame) -> DataFrame:
+    """case_id, evidence_id, path, member and reason of what an archive holds and was not read."""
+    return records.where(F.col("format") == "skipped").select(
+        "case_id", "evidence_id", "path", "member", F.col("line").alias("reason")
+    )
+
+
 _NAMES = ["case_id", "evidence_id", "path", "member", "seq", "format", "tag", "line"]
 
 

@@ -12,9 +12,8 @@ from pyspark.sql import types as T
 
 from casewise import taxonomy as X
 from casewise.functions.events import pick_alias, universal_event
-from casewise.functions.text import cut
 from casewise.functions.timestamps import iso_to_utc
-from casewise.sources.files import Origin, in_size_gate, is_folder, literal_path, read_lines, reader, with_identity
+from casewise.sources.files import Origin, is_folder, literal_path, read_lines, reader, with_identity
 
 
 def csv_events(
@@ -35,7 +34,7 @@ def _standard_fields(available: Mapping[str, Column], record: Column) -> dict[st
         "event_type": pick("event_type", "CSVRecord"),
         "severity": pick("severity", "low"),
         "source": F.lit("CSVFile"),
-        "description": cut(F.coalesce(pick("description"), record), X.DESCRIPTION_LIMIT),
+        "description": F.coalesce(pick("description"), record),
     }
 
 
@@ -107,7 +106,7 @@ def read_csv_events(
     """
     scan = _scan(spark, path, glob, multi_line, base, names)
     names = [f.name for f in scan.schema.fields if f.name not in ("case_id", "evidence_id")]
-    rows = with_identity(in_size_gate(scan), origin)
+    rows = with_identity(scan, origin)
     available = {name.strip().lower().lstrip("﻿"): F.col(f"`{name}`") for name in names}
     record = F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]))
     return csv_events(rows, available, record, origin, profile)

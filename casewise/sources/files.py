@@ -1,4 +1,4 @@
-"""Common parts of the file readers: identity, position and size gate.
+"""Common parts of the file readers: identity and position. Files of any size are read.
 
 Files are addressed either by a partition layout (``.../case_id=3/evidence_id=17/auth.log``),
 which Spark turns into columns by itself, or by constants given to the reader. Without an
@@ -19,8 +19,6 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewise.taxonomy import MAX_FILE_BYTES
-
 _INDEX_BITS = 33
 
 
@@ -57,11 +55,6 @@ def reader(spark: SparkSession, glob: str | None = None):
     return source.option("pathGlobFilter", glob) if glob else source
 
 
-def in_size_gate(df: DataFrame) -> DataFrame:
-    """Leave out files above the size limit; Spark never opens them."""
-    return df.where(F.col("_metadata.file_size") <= MAX_FILE_BYTES)
-
-
 def with_identity(df: DataFrame, origin: Origin) -> DataFrame:
     """Add case_id, evidence_id, seq and path to rows that still have ``_metadata``."""
     located = df.withColumn("path", F.col("_metadata.file_path")).withColumn(
@@ -95,21 +88,30 @@ def identify(located: DataFrame, origin: Origin) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, path, origin: Origin, glob: str | None = None, separator: str | None = None) -> DataFrame:
-    """One row per line (or per ``separator``) with its identity; large files are split."""
+def read_lines(
+    spark: SparkSession,
+    path,
+    origin: Origin,
+    glob: str | None = None,
+    separator: str | None = None,
+    where: Column | None = None,
+) -> DataFrame:
+    """One row per line (or per ``separator``) with its identity; large files are split. ``where`` picks files by ``_metadata``."""
     source = reader(spark, glob)
     if separator:
         source = source.option("lineSep", separator)
-    return with_identity(in_size_gate(source.text(path)), origin).withColumnRenamed("value", "line")
+    lines = source.text(path)
+    lines = lines if where is None else lines.where(where)
+    return with_identity(lines, origin).withColumnRenamed("value", "line")
 
 
 def read_documents(spark: SparkSession, path, origin: Origin, glob: str | None = None) -> DataFrame:
     """One row per file with its whole text."""
     files = reader(spark, glob).text(path, wholetext=True)
-    return with_identity(in_size_gate(files), origin).withColumnRenamed("value", "text")
+    return with_identity(files, origin).withColumnRenamed("value", "text")
 
 
 def read_contents(spark: SparkSession, path, origin: Origin, glob: str | None = None) -> DataFrame:
     """One row per file with its bytes."""
-    files = reader(spark, glob).format("binaryFile").load(path).where(F.col("length") <= MAX_FILE_BYTES)
+    files = reader(spark, glob).format("binaryFile").load(path)
     return identify(files.withColumn("__block", F.lit(0).cast("long")), origin)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from casewise import taxonomy as X
 from casewise.functions import syslog
 from casewise.functions.events import universal_event
-from casewise.functions.text import cut
 from casewise.functions.timestamps import syslog_time
 from casewise.sources.files import Origin, read_lines
 
@@ -28,7 +27,7 @@ def text_events(lines: DataFrame, origin: Origin) -> DataFrame:
     fields = {
         "source": F.lit("TextLog"),
         "event_type": F.lit("LogLine"),
-        "description": cut(F.col("line"), X.DESCRIPTION_LIMIT),
+        "description": F.col("line"),
         "raw_data": _raw(line=F.col("line")),
     }
     return universal_event(rows, fields, origin.ingest_time())
@@ -56,7 +55,7 @@ def _standard(rows: DataFrame, origin: Origin, year: int) -> DataFrame:
         "source": F.when(ok, "LinuxSyslog").otherwise("LinuxLog"),
         "ip_address": F.when(ok, syslog.message_address(kind, message)),
         "process": F.when(ok, F.col("p.process")),
-        "description": cut(F.when(ok, message).otherwise(F.col("line")), X.DESCRIPTION_LIMIT),
+        "description": F.when(ok, message).otherwise(F.col("line")),
         "raw_data": _raw(raw_line=F.col("line")),
     }
     return universal_event(split, fields, origin.ingest_time())
@@ -73,7 +72,7 @@ def _descriptive(rows: DataFrame, origin: Origin, year: int) -> DataFrame:
         "severity": F.when(ok, syslog.descriptive_severity(message)).otherwise("low"),
         "source": F.when(ok, "Linux Syslog").otherwise("Linux Log"),
         "process": F.when(ok, F.col("p.process")),
-        "description": cut(F.when(ok, message).otherwise(F.col("line")), 200),
+        "description": F.when(ok, message).otherwise(F.col("line")),
         "raw_data": _raw(line=F.col("line"), pid=F.when(ok, F.col("p.pid"))),
     }
     suspicious = F.when(ok, syslog.descriptive_suspicion(message)).otherwise(False)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casewise import taxonomy as X
 from casewise.functions import winevent
 from casewise.functions.events import universal_event
-from casewise.functions.text import cut, first_present, present
+from casewise.functions.text import first_present, present
 from casewise.functions.timestamps import iso_to_utc
 from casewise.operators.skew import broadcast_if_small
 from casewise.sources.files import Origin, read_lines
@@ -87,7 +87,7 @@ def winevent_events(blocks: DataFrame, origin: Origin, profile: str = "standard"
                 F.lit("Windows Event Log ID "), F.coalesce(number, F.lit("None")), F.lit(" on "), computer
             ),
             "raw_data": F.parse_json(
-                F.to_json(F.struct(cut(F.col("xml"), 1000).alias("xml"), pairs.alias("data")))
+                F.to_json(F.struct(F.col("xml"), pairs.alias("data")))
             ),
         }
     else:
@@ -116,7 +116,7 @@ def line_events(lines: DataFrame, origin: Origin) -> DataFrame:
     fields = {
         "source": F.lit("WindowsEVTX"),
         "event_type": F.lit("WindowsLog"),
-        "description": cut(F.col("line"), X.DESCRIPTION_LIMIT),
+        "description": F.col("line"),
         "raw_data": F.parse_json(F.to_json(F.struct(F.col("line").alias("raw_line")))),
     }
     return universal_event(lines.where(F.trim("line") != ""), fields, origin.ingest_time())

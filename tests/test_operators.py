@@ -130,7 +130,7 @@ def test_field_extraction(spark):
 def test_universal_event_defaults(spark):
     base = spark.range(1).select(F.lit(1).alias("case_id"), F.lit(2).alias("evidence_id"), F.lit(3).alias("seq"))
     row = universal_event(base, {"severity": F.lit("HIGH"), "host": F.lit("h" * 150)}, F.lit("2026-01-01").cast("timestamp")).first()
-    assert (len(row["host"]), row["user"], row["severity"], row["confidence_score"], row["is_suspicious"]) == (100, "UNKNOWN_USER", "high", 0.7, True)
+    assert (len(row["host"]), row["user"], row["severity"], row["confidence_score"], row["is_suspicious"]) == (150, "UNKNOWN_USER", "high", 0.7, True)
     assert row["description"] == "Parsed event from None" and row["ts_inferred"]
 
 
@@ -153,13 +153,14 @@ def test_file_gate_and_route(spark):
     names = ["auth.log", "../../x/evil name.CSV", "a.exe", "noext", "b.zip", "c.json", "__.log", "system.LOG", "d.evtx"]
     frame = spark.createDataFrame([(i, n, 10) for i, n in enumerate(names)] + [(99, "e.txt", 0), (98, "f.txt", 600 << 20)], "id int, filename string, size long")
     got = {r["id"]: (r["clean_name"], r["reject_reason"], r["format"], r["evidence_type"])
-           for r in evidence.route_format(evidence.file_gate(frame)).collect()}
+           for r in evidence.route_format(evidence.file_gate(frame, max_bytes=500 << 20)).collect()}
     assert got[0] == ("auth.log", None, "syslog", "log")
     assert got[1] == ("evil_name.CSV", None, "csv", "csv")
     assert got[2][1] == "blocked_extension" and got[3][1] == "unsupported_extension"
     assert got[4][2:] == ("zip", "zip") and got[5][2] == "json" and got[7][2] == "text" and got[8][2] == "winevent"
     assert got[6][0] == ".log"
     assert got[99][1] == "empty_file" and got[98][1] == "too_large"
+    assert evidence.file_gate(frame).where("id = 98").first()["accepted"]
 
 
 @pytest.mark.parametrize("floor", [1, 10**6])
@@ -189,6 +190,9 @@ def test_custody(spark):
     )
     assert [r["log_id"] for r in evidence.custody_trail(log, 1).collect()] == [0, 2, 4, 6]
     feed = evidence.recent_activity(log).collect()
+    assert feed[0]["details"] == {}
+    told = log.withColumn("details", F.create_map(F.lit("rows"), F.col("log_id").cast("string")))
+    assert evidence.recent_activity(told).first()["details"] == {"rows": "6"}
     assert [r["severity"] for r in feed] == ["critical", "info", "high", "info", "critical", "high"]
     assert feed[0]["action"] == "Action 'PARSE_FAIL' performed on Evidence #1"
     assert feed[0]["time"] == "2026-07-28 15:12 UTC"
@@ -220,7 +224,7 @@ def test_scores(spark):
 
 def test_context(spark, sample):
     cases = spark.createDataFrame([(1, "T", "D", "high", "open"), (2, "U", None, "low", "open")], "case_id long, title string, description string, priority string, status string")
-    files = spark.createDataFrame([(1, 1, "a.log", "log", 10, True, False)], "evidence_id long, case_id long, filename string, file_type string, size long, is_parsed boolean, is_deleted boolean")
+    files = spark.createDataFrame([(1, 1, "a.log", "log", 10, True, False), (2, 9, "z.log", "log", 10, True, False)], "evidence_id long, case_id long, original_filename string, file_type string, size long, is_parsed boolean, is_deleted boolean")
     nodes = spark.createDataFrame([(1, "Host", f"h{i:03d}") for i in range(60)], "case_id long, node_type string, node_label string")
     lines = report.case_context(cases, files, nodes, sample).orderBy("case_id", "section", "position").collect()
     one = [r["line"] for r in lines if r["case_id"] == 1]
@@ -228,6 +232,9 @@ def test_context(spark, sample):
     assert one[6:8] == ["=== UPLOADED EVIDENCE ===", "- File: a.log (Type: log, Size: 10 bytes, Parsed: True)"]
     assert sum(x.startswith("- Entity") for x in one) == 50
     assert one[-7] == "[2026-07-28 09:12:01+00:00] [high] Failed Logon | User: Administrator | Host: DC-01 | Failed logon attempt from 192.168.1.105"
+    assert {r["case_id"] for r in lines} == {1, 2}
+    few = report.case_context(cases, files, nodes, sample, shown_nodes=3, shown_events=2).where("case_id = 1 AND position > 0")
+    assert rows(few.where("section > 2").groupBy("section").count()) == [(3, 3), (4, 2)]
     two = [r["line"] for r in lines if r["case_id"] == 2]
     assert two[-2:] == ["=== EVIDENCE TIMELINE ===", "(No parsed events recorded yet in timeline)"]
     prompt = report.investigation_prompt(cases, detect.detect(sample, detect.detection_rules(spark)), sample)

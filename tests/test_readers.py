@@ -6,11 +6,12 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from casewise.functions.events import for_display
 from casewise.functions.normalize import normalize
 from casewise.schemas import EVENT, EVENT_COLUMNS
-from casewise.sources.archive import read_archive_events
+from casewise.sources.archive import explode_archives, read_archive_events, skipped_members
 from casewise.sources.csv_files import read_csv_events, read_mixed_csv_events
-from casewise.sources.files import Origin
+from casewise.sources.files import Origin, read_contents
 from casewise.sources.ingest import READERS, read_evidence, register_reader
 from casewise.sources.inventory import evidence_inventory
 from casewise.sources.json_files import read_json_events
@@ -228,6 +229,7 @@ def make_zip(path):
         z.writestr("a.csv", "host,user\nh1,u1\n")
         z.writestr("b.json", json.dumps(RECORDS))
         z.writestr("c.txt", "one\ntwo\n")
+        z.writestr("f.js", "var a\n")
         z.writestr("d.xml", XML)
         z.writestr("e.evtx", EVENT_BLOCK.format(id="4624", q=""))
         z.writestr("bad.exe", "MZ")
@@ -241,22 +243,25 @@ def test_archive(spark, tmp_path):
     df = read_archive_events(spark, str(tmp_path), Origin(case_id=1), 2026)
     counts = dict((r["source"], r["count"]) for r in df.groupBy("source").count().collect())
     assert counts == {
-        "LinuxSyslog": 4, "LinuxLog": 1, "CSVFile": 1, "JsonLog": 2, "TextLog": 2, "XmlLog": 3, "Security-Auditing": 1,
+        "LinuxSyslog": 4, "LinuxLog": 1, "CSVFile": 1, "JsonLog": 2, "TextLog": 3, "XmlLog": 3, "Security-Auditing": 1,
     }
     assert df.select("event_uid").distinct().count() == df.count()
+    records = explode_archives(read_contents(spark, str(tmp_path), Origin(case_id=1)))
+    skipped = {(r["path"].rsplit("/", 1)[-1], r["member"]) for r in skipped_members(records).collect()}
+    assert skipped == {("case.zip", "bad.exe"), ("case.zip", "inner.zip"), ("broken.zip", "")}
 
 
-def test_archive_size_limit():
-    from io import BytesIO
-
-    from casewise.sources.archive import members
-
-    buffer = BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("a.txt", "x" * 1000)
-        z.writestr("b.txt", "y" * 1000)
-    assert [n for n, _ in members(buffer.getvalue(), 2000)] == ["a.txt", "b.txt"]
-    assert members(buffer.getvalue(), 1999) == []
+def test_whole_texts_of_any_length(spark, tmp_path):
+    """No text is cut, neither a file's nor a field's, and files without a known suffix are read."""
+    long = "m" * 5000
+    write(tmp_path, "case_id=1/evidence_id=1/messages", f"first\n{long}\n")
+    write(tmp_path, "case_id=1/evidence_id=2/data.odd", "x\n")
+    write(tmp_path, "case_id=1/evidence_id=3/a.json", json.dumps({"message": long, "host": long}))
+    write(tmp_path, "case_id=1/evidence_id=4/a.csv", f"message\n{long}\n")
+    got = read_evidence(spark, str(tmp_path), Origin(), 2026)
+    lengths = {(r["evidence_id"], r["n"]) for r in got.select("evidence_id", F.length("description").alias("n")).collect()}
+    assert lengths == {(1, 5), (1, 5000), (2, 1), (3, 5000), (4, 5000)}
+    assert rows(for_display(got.where("evidence_id = 3")).selectExpr("length(description)", "length(host)")) == [(500, 100)]
 
 
 def test_evidence_folder_with_layout(spark, tmp_path):
@@ -272,7 +277,7 @@ def test_evidence_folder_with_layout(spark, tmp_path):
     df = read_evidence(spark, str(tmp_path), Origin(), 2026)
     counts = {(r["case_id"], r["evidence_id"]): r["count"] for r in df.groupBy("case_id", "evidence_id").count().collect()}
     assert counts == {
-        (1, 11): 5, (1, 12): 1, (2, 21): 2, (2, 22): 1, (2, 23): 2, (3, 31): 3, (3, 32): 1, (3, 33): 14,
+        (1, 11): 5, (1, 12): 1, (2, 21): 2, (2, 22): 1, (2, 23): 2, (3, 31): 3, (3, 32): 1, (3, 33): 15,
     }
     assert df.columns == EVENT_COLUMNS
 
