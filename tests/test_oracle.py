@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import casewise.plans.file_queries  # noqa: F401
 from casewise.plans.oracle import ORACLE
 from casewise.plans.queries import QUERIES
 
