@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewise.operators.skew import HEAVY_FLOOR, attach_group, lookup
+from casewise.operators.skew import attach_group, lookup
 from casewise.session import Scratch
 
 
@@ -14,22 +14,22 @@ def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("case_id", "u", "v").unionByName(back)
 
 
-def _star(links: DataFrame, floor: int, at_most: int) -> DataFrame:
+def _star(links: DataFrame) -> DataFrame:
     """Attach to each link (u, v) the smallest id seen around u, u itself included."""
     low = F.least(F.min("v"), F.min("u")).alias("low")
-    return attach_group(links, ["case_id", "u"], [low], ["v"], floor, at_most)
+    return attach_group(links, ["case_id", "u"], [low])
 
 
-def _large_star(links: DataFrame, floor: int, count: int) -> DataFrame:
-    near = _star(_both_ways(links), floor, 2 * count)
+def _large_star(links: DataFrame) -> DataFrame:
+    near = _star(_both_ways(links))
     return near.where(F.col("v") > F.col("u")).select("case_id", F.col("v").alias("u"), F.col("low").alias("v"))
 
 
-def _small_star(links: DataFrame, floor: int, count: int) -> DataFrame:
+def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(
         "case_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     )
-    near = _star(down, floor, count)
+    near = _star(down)
     pairs = F.array(
         F.when(F.col("v") != F.col("low"), F.struct(F.col("v").alias("u"), F.col("low").alias("v"))),
         F.struct(F.col("u").alias("u"), F.col("low").alias("v")),
@@ -47,7 +47,7 @@ def _measure(links: DataFrame) -> tuple[int, object]:
     return row["n"], row["h"]
 
 
-def _roots(edges: DataFrame, floor: int) -> DataFrame:
+def _roots(edges: DataFrame) -> DataFrame:
     """(case_id, node_id, root) of every node that has a link to another node and is not the root itself."""
     links = (
         edges.where(F.col("src_id").isNotNull() & F.col("dst_id").isNotNull() & (F.col("src_id") != F.col("dst_id")))
@@ -57,9 +57,8 @@ def _roots(edges: DataFrame, floor: int) -> DataFrame:
     held = Scratch(links, "links")
     before = _measure(held.frame)
     while True:
-        count = before[0]
-        starred = _large_star(held.frame, floor, count).distinct()
-        moved = Scratch(_small_star(starred, floor, count).distinct(), "links")
+        starred = _large_star(held.frame)
+        moved = Scratch(_small_star(starred).distinct(), "links")
         held.discard()
         held = moved
         now = _measure(held.frame)
@@ -76,7 +75,7 @@ def _labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def connected_components(
-    nodes: DataFrame, edges: DataFrame, floor: int = HEAVY_FLOOR, leaf_edges: str | None = None
+    nodes: DataFrame, edges: DataFrame, leaf_edges: str | None = None
 ) -> DataFrame:
     """``component_id`` (the smallest node id of the component) for every node of every case.
 
@@ -90,19 +89,19 @@ def connected_components(
     """
     own = nodes.select("case_id", "node_id")
     if leaf_edges is None:
-        return _labelled(own, _roots(edges, floor)).withColumnRenamed("root", "component_id")
+        return _labelled(own, _roots(edges)).withColumnRenamed("root", "component_id")
     is_leaf = F.coalesce(F.col("edge_type") == leaf_edges, F.lit(False))
     leaves = edges.where(is_leaf).select("case_id", F.col("src_id").alias("node_id"), F.col("dst_id").alias("target"))
     inner = own.join(leaves.select("case_id", "node_id"), ["case_id", "node_id"], "left_anti")
     folded = leaves.groupBy("case_id", F.col("target").alias("node_id")).agg(F.min("node_id").alias("smallest_leaf"))
-    rooted = _labelled(inner, _roots(edges.where(~is_leaf), floor)).join(folded, ["case_id", "node_id"], "left")
+    rooted = _labelled(inner, _roots(edges.where(~is_leaf))).join(folded, ["case_id", "node_id"], "left")
     smallest = F.min(F.least("node_id", "smallest_leaf")).alias("component_id")
     settled = Scratch(
-        attach_group(rooted, ["case_id", "root"], [smallest], ["node_id"], floor).select(
+        attach_group(rooted, ["case_id", "root"], [smallest]).select(
             "case_id", "node_id", "component_id"
         ),
         "components",
     ).frame
     targets = settled.withColumnRenamed("node_id", "target")
-    attached = lookup(leaves, targets, ["case_id", "target"], ["node_id"], floor)
+    attached = lookup(leaves, targets, ["case_id", "target"])
     return settled.unionByName(attached.select("case_id", "node_id", "component_id"))

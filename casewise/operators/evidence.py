@@ -9,7 +9,7 @@ from casewise import taxonomy as X
 from casewise.functions.scoring import activity_severity, activity_text, activity_time
 from casewise.functions.text import contains_any, first_present, present
 from casewise.operators.ranking import page
-from casewise.operators.skew import HEAVY_FLOOR, attach_group, lookup
+from casewise.operators.skew import attach_group, lookup
 
 
 def content_hashes(content: Column) -> list[Column]:
@@ -64,20 +64,20 @@ def route_format(files: DataFrame) -> DataFrame:
 
 
 def mark_duplicates(
-    files: DataFrame, stored: DataFrame | None = None, order: str = "evidence_id", floor: int = HEAVY_FLOOR
+    files: DataFrame, stored: DataFrame | None = None, order: str = "evidence_id"
 ) -> DataFrame:
     """Flag files whose hash is already stored in the case or came earlier in the batch.
 
     The first file of each hash is found with a partially aggregated minimum, so a hash
     that makes up a third of the batch does not gather in one task.
     """
-    marked = attach_group(files, ["case_id", "sha256"], [F.min(order).alias("first_copy")], [order], floor)
+    marked = attach_group(files, ["case_id", "sha256"], [F.min(order).alias("first_copy")])
     if stored is not None:
         known = stored.select("case_id", "sha256").distinct().withColumn("__stored", F.lit(True))
         first = marked.where(F.col(order) == F.col("first_copy")).select("case_id", "sha256").join(
             known, ["case_id", "sha256"], "left_semi"
         )
-        marked = attach_known(marked, first, order, floor)
+        marked = attach_known(marked, first)
     else:
         marked = marked.withColumn("__known", F.lit(False))
     return marked.withColumn(
@@ -85,9 +85,9 @@ def mark_duplicates(
     ).drop("__known")
 
 
-def attach_known(files: DataFrame, known: DataFrame, order: str, floor: int) -> DataFrame:
+def attach_known(files: DataFrame, known: DataFrame) -> DataFrame:
     table = known.withColumn("__known", F.lit(True))
-    return lookup(files, table, ["case_id", "sha256"], [order], floor).withColumn(
+    return lookup(files, table, ["case_id", "sha256"]).withColumn(
         "__known", F.coalesce(F.col("__known"), F.lit(False))
     )
 
@@ -122,8 +122,8 @@ def stage_update(
     graphed = nodes.select("case_id").distinct().withColumn("__graphed", F.lit(True))
     checked = validations.select("case_id").distinct().withColumn("__checked", F.lit(True))
     joined = evidence.join(parsed, "evidence_id", "left").join(normal, "evidence_id", "left")
-    joined = lookup(joined, graphed, ["case_id"], ["evidence_id"])
-    joined = lookup(joined, checked, ["case_id"], ["evidence_id"])
+    joined = lookup(joined, graphed, ["case_id"])
+    joined = lookup(joined, checked, ["case_id"])
     done = [("VERIFIED", present(F.col("sha256")).isNotNull())]
     for stage, flag in [
         ("PARSED", "__parsed"),

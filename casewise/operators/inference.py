@@ -378,7 +378,7 @@ def rule_triggers(facts: DataFrame, rules: Sequence[InferenceRule] | None = None
     candidates = base.withColumn("hits", F.filter(hits, lambda h: h.isNotNull())).where(F.size("hits") > 0)
     rounds = chained.select("case_id", "fired")
     given = (
-        lookup(candidates, rounds, ["case_id"], ["fact_id", "entity", "value"])
+        lookup(candidates, rounds, ["case_id"])
         .select("*", F.explode("hits").alias("position"))
         .where(F.get("fired", F.col("position")).isNotNull())
         .select("case_id", "position", "fact_type", "entity", "value")

@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewise.functions.scoring import privilege_gap, step_cost, zero_heuristic
-from casewise.operators.skew import BROADCAST_ROWS, HEAVY_LIMIT, broadcast_if_small
+from casewise.operators.skew import BROADCAST_ROWS, broadcast_if_small
 from casewise.session import Scratch, checkpoint_laid_out, materialize
 
 Heuristic = Callable[[Column, Column, Column, Column], Column]
 
 COST_DIGITS = 4
 WIDE_VERTEX = 100_000
+# Vertices with more edges than WIDE_VERTEX whose lists are cut into slices.
+WIDE_LIMIT = 1024
 STATUSES = ["ok", "case_not_found", "empty_graph", "start_not_found", "goal_not_found", "no_path"]
 
 
@@ -88,7 +90,7 @@ def _wide_vertices(graph: DataFrame, width: int) -> DataFrame:
     return (
         degree.where(F.col("degree") >= width)
         .orderBy(F.col("degree").desc(), "case_id", "vertex")
-        .limit(HEAVY_LIMIT)
+        .limit(WIDE_LIMIT)
         .select(
             "case_id",
             "vertex",

@@ -1,11 +1,9 @@
-"""Joins and group attachments that stay even when one key holds a large share of the rows.
+"""Joins that attach to each row what belongs to its key.
 
-A plain shuffle join sends every row of a key to one task. Here the most frequent
-keys are found first. At most ``HEAVY_LIMIT`` of them are taken, so their side of the
-join is bounded by construction and can be broadcast; every key outside that list
-holds less than 1/``HEAVY_LIMIT`` of the rows and is joined with an ordinary shuffle.
-Rows already served by the broadcast side (and rows with a null key) enter the shuffle
-under a spread key that matches nothing, so they do not pile up in one task either.
+There is one plan for every size. The table has one row per key; it is repeated ``SPREAD`` times and
+the rows of a key are dealt over the copies by a hash of their other columns, so no key, nor the null
+keys, goes to one task whole. As both inputs of the join are then shuffles of their own, adaptive
+execution can split what is still too large, and broadcasts a table that turns out to be small.
 """
 
 from __future__ import annotations
@@ -15,102 +13,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEAVY_LIMIT = 1024
-HEAVY_FLOOR = 1_000_000  # a smaller group is no burden for one task
-SPREAD = 4096
+SPREAD = 8
 BROADCAST_ROWS = 200_000
+_HASHED = ("string", "bigint", "int", "double", "timestamp", "date", "boolean")
 
-_COUNT = "__group_rows"
-_SPREAD = "__spread"
 
-
-def heavy_groups(groups: DataFrame, keys: Sequence[str], floor: int = HEAVY_FLOOR) -> DataFrame:
-    """The most frequent keys of a table of counted groups: never more than ``HEAVY_LIMIT`` rows."""
-    return (
-        groups.where(F.col(_COUNT) >= floor)
-        .orderBy(F.col(_COUNT).desc(), *[F.col(k) for k in keys])
-        .limit(HEAVY_LIMIT)
-    )
-
-
-def _attach(
-    rows: DataFrame, groups: DataFrame, keys: Sequence[str], spread_by: Sequence[str], floor: int
-) -> DataFrame:
-    """Left-join ``groups`` (one row per key, with its row count) to ``rows``."""
-    values = [c for c in groups.columns if c not in keys]
-    heavy = heavy_groups(groups, keys, floor).select(
-        *[F.col(k).alias(f"__heavy_{k}") for k in keys], F.struct(*values).alias("__heavy")
-    )
-    on_heavy = _all(F.col(k) == F.col(f"__heavy_{k}") for k in keys)
-    light = groups.select(
-        *[F.col(k).alias(f"__light_{k}") for k in keys],
-        # Always -1, but not a literal: the optimizer would take a literal out of the join keys,
-        # and the rows would be partitioned without the spread.
-        F.when(F.col(_COUNT) > 0, F.lit(-1)).alias("__light_spread"),
-        F.struct(*values).alias("__light"),
-    )
-    no_key = F.lit(False)
-    for k in keys:
-        no_key = no_key | F.col(k).isNull()
-    spread = F.when(
-        F.col("__heavy").isNotNull() | no_key,
-        F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD)).cast("int"),
-    ).otherwise(F.lit(-1))
-    on_light = _all(F.col(k) == F.col(f"__light_{k}") for k in keys) & (
-        F.col(_SPREAD) == F.col("__light_spread")
-    )
-    joined = (
-        rows.join(F.broadcast(heavy), on_heavy, "left")
-        .withColumn(_SPREAD, spread)
-        .join(light, on_light, "left")
-        .withColumn("__found", F.coalesce(F.col("__heavy"), F.col("__light")))
-    )
-    return joined.select(*rows.columns, *[F.col("__found")[v].alias(v) for v in values if v != _COUNT])
-
-
-def _all(tests) -> Column:
-    result = None
-    for test in tests:
-        result = test if result is None else result & test
-    return result
-
-
-def attach_group(
-    rows: DataFrame,
-    keys: Sequence[str],
-    aggregates: Sequence[Column],
-    spread_by: Sequence[str],
-    floor: int = HEAVY_FLOOR,
-    at_most: int | None = None,
-) -> DataFrame:
+def attach_group(rows: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], among: DataFrame | None = None) -> DataFrame:
     """Add aggregates of each row's key group to the row; rows with a null key get nulls.
 
-    ``spread_by`` names columns that differ between rows of a hot key, such as an id.
-    ``at_most`` is the number of rows where the caller has counted them: below the floor no
-    group can be hot, and a plain join does.
+    ``among`` are the rows that the groups are made of, where ``rows`` has been extended since.
     """
-    known = rows
+    known = rows if among is None else among
     for k in keys:
         known = known.where(F.col(k).isNotNull())
-    if at_most is not None and at_most < floor:
-        return rows.join(known.groupBy(*keys).agg(*aggregates), list(keys), "left")
-    groups = known.groupBy(*keys).agg(F.count(F.lit(1)).alias(_COUNT), *aggregates)
-    return _attach(rows, groups, keys, spread_by, floor)
+    return lookup(rows, known.groupBy(*keys).agg(*aggregates), keys)
 
 
-def lookup(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    spread_by: Sequence[str],
-    floor: int = HEAVY_FLOOR,
-) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left-join a table with one row per key to rows whose keys may be skewed."""
-    counted = rows
+    values = [c for c in table.columns if c not in keys]
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    right = table.select(*[F.col(k).alias(f"__of_{k}") for k in keys], *values, copies.alias("__of_spread"))
+    others = [name for name, kind in rows.dtypes if kind in _HASHED and name not in keys]
+    spread = F.pmod(F.xxhash64(*(others or keys)), F.lit(SPREAD)).cast("int")
+    same = F.col("__spread") == F.col("__of_spread")
     for k in keys:
-        counted = counted.where(F.col(k).isNotNull())
-    counts = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias(_COUNT))
-    return _attach(rows, table.join(counts, list(keys), "inner"), keys, spread_by, floor)
+        same = same & (F.col(k) == F.col(f"__of_{k}"))
+    return rows.withColumn("__spread", spread).join(right, same, "left").select(*rows.columns, *values)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

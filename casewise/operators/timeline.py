@@ -25,7 +25,7 @@ def case_events(events: DataFrame, evidence: DataFrame, exclude_deleted: bool =
     """
     files = live(evidence) if exclude_deleted else evidence
     table = files.select("evidence_id", F.col("case_id").alias("__case"))
-    joined = lookup(events.drop("case_id"), table, ["evidence_id"], ["event_uid"])
+    joined = lookup(events.drop("case_id"), table, ["evidence_id"])
     return joined.where(F.col("__case").isNotNull()).withColumnRenamed("__case", "case_id")
 
 

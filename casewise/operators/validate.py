@@ -242,7 +242,7 @@ def validation_summary(
 
 def validation_records(found: DataFrame, summary: DataFrame) -> DataFrame:
     """Stored form of the failures: violations carry the confidence of the run, resolutions .9."""
-    scored = lookup(found, summary.select("case_id", "confidence_score"), ["case_id"], ["node_id", "rule_id"])
+    scored = lookup(found, summary.select("case_id", "confidence_score"), ["case_id"])
     return scored.select(
         "case_id",
         "rule_id",

@@ -98,9 +98,8 @@ def test_incident_edges(spark):
         [(1, "e1", "a", "b", "X"), (1, "e2", "a", "a", "X"), (1, "e3", None, "b", "X"), (1, "e4", "z", "b", "X")],
         "case_id long, edge_id string, src_id string, dst_id string, edge_type string",
     ).withColumn("timestamp", F.lit(None).cast("timestamp")).withColumn("properties", F.lit(None).cast("map<string,string>"))
-    for floor in (1, 10**6):
-        got = rows(graph.incident_edges(nodes, edges, floor), "node_label", "edge_id")
-        assert got == [("A", "e1"), ("A", "e2"), ("A", "e2"), ("B", "e1"), ("B", "e3"), ("B", "e4")]
+    got = rows(graph.incident_edges(nodes, edges), "node_label", "edge_id")
+    assert got == [("A", "e1"), ("A", "e2"), ("A", "e2"), ("B", "e1"), ("B", "e3"), ("B", "e4")]
     assert rows(graph.incident_counts(nodes, edges), "node_label", "edge_count") == [("A", 3), ("B", 3), ("C", 0)]
 
 
@@ -127,8 +126,7 @@ def frames(spark, nodes, edges):
     return node_frame, edge_frame
 
 
-@pytest.mark.parametrize("floor", [1, 10**6])
-def test_components_against_union_find(spark, floor):
+def test_components_against_union_find(spark):
     nodes, edges = random_graph(3, 120, 70)
     chain = [(0, f"n{i:03d}", f"n{i + 1:03d}", 1.0) for i in range(60, 100)]
     edges = edges + chain
@@ -144,17 +142,16 @@ def test_components_against_union_find(spark, floor):
         parent[max(ra, rb)] = min(ra, rb)
     want = sorted((case, f"id-{label}", f"id-{find((case, label))[1]}") for case, label in nodes)
     node_frame, edge_frame = frames(spark, nodes, edges)
-    assert rows(components.connected_components(node_frame, edge_frame, floor)) == sorted(want, key=repr)
+    assert rows(components.connected_components(node_frame, edge_frame)) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("floor", [1, 10**6])
-def test_folded_leaves_give_the_same_components(spark, floor):
+def test_folded_leaves_give_the_same_components(spark):
     nodes, edges = random_graph(5, 40, 25, cases=1)
     leaf = [(0, f"x{i:03d}", f"n{i % 7:03d}", 1.0) for i in range(50)] + [(0, f"a{i}", "n039", 1.0) for i in range(3)]
     node_frame, edge_frame = frames(spark, nodes + [(0, a) for _, a, _, _ in leaf], edges + leaf)
     typed = edge_frame.withColumn("edge_type", F.when(F.col("src_label").rlike("^[xa]"), "BELONGS_TO").otherwise("X"))
-    plain = components.connected_components(node_frame, typed, floor)
-    folded = components.connected_components(node_frame, typed, floor, leaf_edges="BELONGS_TO")
+    plain = components.connected_components(node_frame, typed)
+    folded = components.connected_components(node_frame, typed, leaf_edges="BELONGS_TO")
     assert rows(folded) == rows(plain)
 
 

@@ -54,13 +54,12 @@ def test_correlation_of_sample(sample):
     assert {(r["correlation_count"], r["is_suspicious"], r["confidence_score"]) for r in got.collect()} == {(12, True, 0.95)}
 
 
-@pytest.mark.parametrize("floor", [1, 10**6])
-def test_correlation_rules(spark, floor):
+def test_correlation_rules(spark):
     data = [Row(event_uid=str(i), case_id=1, user=u, ip_address=ip, is_suspicious=False, confidence_score=0.2)
             for i, (u, ip) in enumerate([("a", "x"), ("a", "x"), ("a", ""), ("", "x"), (None, None), ("b", "x")])]
     frame = spark.createDataFrame(data, "event_uid string, case_id long, user string, ip_address string, is_suspicious boolean, confidence_score double")
     got = {r["event_uid"]: (r["correlation_count"], r["is_suspicious"], r["confidence_score"])
-           for r in correlate.correlate_events(frame, floor=floor).collect()}
+           for r in correlate.correlate_events(frame).collect()}
     assert got == {
         "0": (5, True, 0.75), "1": (5, True, 0.75), "2": (2, False, 0.2), "3": (3, False, 0.2),
         "4": (0, False, 0.2), "5": (3, False, 0.2),
@@ -163,12 +162,11 @@ def test_file_gate_and_route(spark):
     assert evidence.file_gate(frame).where("id = 98").first()["accepted"]
 
 
-@pytest.mark.parametrize("floor", [1, 10**6])
-def test_duplicates(spark, floor):
+def test_duplicates(spark):
     data = [(1, 1, "a"), (2, 1, "a"), (3, 1, "b"), (4, 2, "a"), (5, 2, "c"), (6, 2, "c")]
     files = spark.createDataFrame(data, "evidence_id long, case_id long, sha256 string")
     stored = spark.createDataFrame([(2, "c")], "case_id long, sha256 string")
-    flags = {r["evidence_id"]: r["is_duplicate"] for r in evidence.mark_duplicates(files, stored, floor=floor).collect()}
+    flags = {r["evidence_id"]: r["is_duplicate"] for r in evidence.mark_duplicates(files, stored).collect()}
     assert flags == {1: False, 2: True, 3: False, 4: False, 5: True, 6: True}
     assert rows(evidence.dedupe_evidence(files, stored), "evidence_id") == [(1,), (3,), (4,)]
 
