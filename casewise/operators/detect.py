@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewise.operators.ranking import top_per_group
+from casewise.operators.skew import broadcast_if_small
 from casewise.taxonomy import BRUTE_FORCE_WINDOW_MINUTES, DETECTION_RULES
 
 RULE_SCHEMA = "rule_name string, title string, event_type string, threshold long, severity string, confidence double"
@@ -19,9 +20,8 @@ def detection_rules(spark: SparkSession, extra: list[tuple] = ()) -> DataFrame:
 
 def _matching_rows(events: DataFrame, rules: DataFrame) -> DataFrame:
     catalogue = rules.select("rule_name", "title", "event_type", "threshold", "severity", "confidence")
-    # The catalogue is a literal list written by hand, a few rows long.
     return events.select("case_id", "event_type", "timestamp", "event_uid").join(
-        F.broadcast(catalogue), "event_type"
+        broadcast_if_small(catalogue), "event_type"
     )
 
 
@@ -32,7 +32,7 @@ def detect(events: DataFrame, rules: DataFrame) -> DataFrame:
     per group before it is gathered, so a rule that matches a third of all rows is harmless.
     """
     counts = events.groupBy("case_id", "event_type").agg(F.count(F.lit(1)).alias("event_count"))
-    fired = counts.join(F.broadcast(rules), "event_type").where(F.col("event_count") >= F.col("threshold"))
+    fired = counts.join(broadcast_if_small(rules), "event_type").where(F.col("event_count") >= F.col("threshold"))
     first = (
         first_events(events, rules)
         .groupBy("case_id", "rule_name")
