@@ -147,8 +147,12 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     prepare(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("usable", _usable("embedding"))
     sound = rows.where("usable")
+    # A class is known by a hash of its vector, as ids may repeat.
     classes = Scratch(
-        sound.groupBy("embedding").agg(F.min("vec_id").alias("a"), F.count(F.lit(1)).alias("copies")), "vectors"
+        sound.groupBy("embedding")
+        .agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("a", F.xxhash64("embedding")),
+        "vectors",
     ).frame
     values, tables = plan(classes.count())
     hashed = Scratch(
@@ -157,7 +161,6 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
         ),
         "hashed",
     ).frame
-    # Two vectors may share their smallest id only if rows repeat an id; they are told apart by the vector.
     member = hashed.select("a", "copies", "unit", "keys", F.posexplode("keys").alias("number", "key"))
     sizes = hashed.select(F.posexplode("keys").alias("number", "key")).groupBy("number", "key").agg(F.count(F.lit(1)).alias("n"))
     crowded = sizes.where("n > 1").select("number", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -172,15 +175,18 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     ).frame
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
     roots = Scratch(components(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots").frame
-    known = (
+    rooted = (
         classes.join(links, "a", "left")
         .join(roots, classes["a"] == roots["node"], "left")
         .select(
             "embedding",
+            "low",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("root", "a").alias("component_id"),
+            F.coalesce("root", "a").alias("root"),
         )
     )
+    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    known = rooted.join(named, "root").select("embedding", "n_links", "component_id")
     linked = sound.select("vec_id", "embedding").join(known, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -99,6 +99,9 @@ def test_embedding_rows_that_repeat(corpus):
     got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(frame).collect())
     assert got == [("1", 2, 1, True), ("1", 2, 1, True), ("3", 2, 1, False), ("4", 0, 4, True), ("None", 0, None, True)]
     assert embedding_dedup.near_duplicates(frame.limit(0)).collect() == []
+    other = corpus.createDataFrame([(1, v), (1, [-1.0, 0.5, 1.0]), (2, [-1.0, 0.5, 1.01])], "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(other).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
 
 
 @pytest.mark.parametrize("two", [False, True])
