@@ -64,9 +64,19 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def _delete(scratch: Scratch | None) -> None:
-    if scratch is not None:
-        scratch.discard()
+class Workspace:
+    """Intermediate tables of a job in the shared folder, deleted together once nothing reads them any more."""
+
+    def __init__(self):
+        self._held: list[Scratch] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self._held.append(Scratch(df, name))
+        return self._held[-1].frame
+
+    def clear(self) -> None:
+        while self._held:
+            self._held.pop().discard()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -74,7 +84,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): each is a partially
     aggregated minimum and an equi-join that adaptive execution may split. The links of a round
-    are a table in the shared folder. Null ids and links to itself are left out; no link, no row.
+    are a table in the shared folder, deleted after the next; the result is one too. Null ids and links to itself are left out; no link, no row.
     """
     pairs = links.where(F.col("u") != F.col("v"))
     held = Scratch(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
@@ -87,12 +97,14 @@ def components(links: DataFrame) -> DataFrame:
         near = large.join(least, "u")
         small = near.where(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
         moved = Scratch(small.unionByName(near.select("u", F.col("low").alias("v"))).distinct(), "links")
-        _delete(held)
+        held.discard()
         held = moved
         now = held.frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return held.frame.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        held.frame.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
+    found = held.frame.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    tops = held.frame.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    out = Scratch(found.unionByName(tops), "roots").frame
+    held.discard()
+    return out

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewise.llm.common import components, group_task, prepare, task
+from casewise.llm.common import Workspace, components, group_task, prepare, task
 from casewise.session import Scratch
 
 COSINE = 0.9
@@ -155,12 +155,13 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
         "vectors",
     ).frame
     values, tables = plan(classes.count())
-    hashed = Scratch(
+    work = Workspace()
+    hashed = work.keep(
         classes.select("a", "copies", "embedding").mapInArrow(
             task(hash_vectors, values, tables), "a long, copies long, unit binary, keys array<bigint>"
         ),
         "hashed",
-    ).frame
+    )
     member = hashed.select("a", "copies", "unit", "keys", F.posexplode("keys").alias("number", "key"))
     sizes = hashed.select(F.posexplode("keys").alias("number", "key")).groupBy("number", "key").agg(F.count(F.lit(1)).alias("n"))
     crowded = sizes.where("n > 1").select("number", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -174,7 +175,8 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
         "vector-links",
     ).frame
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
-    roots = Scratch(components(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots").frame
+    work.clear()
+    roots = components(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
     rooted = (
         classes.join(links, "a", "left")
         .join(roots, classes["a"] == roots["node"], "left")

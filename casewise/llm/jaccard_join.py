@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewise.llm.common import components, group_task, prepare, task
+from casewise.llm.common import Workspace, components, group_task, prepare, task
 from casewise.llm.texts import U, mix, shingle_sets, slices, sums_by_row
 from casewise.session import Scratch
 
@@ -404,11 +404,11 @@ def _centred(groups: DataFrame) -> DataFrame:
     often = groups.groupBy("a").agg(F.count(F.lit(1)).alias("often"))
     centre = groups.join(often, "a").groupBy("signature").agg(F.max(F.struct("often", "a")).alias("most"))
     found = groups.join(centre.select("signature", F.col("most.a").alias("centre")), "signature").select("centre", "a")
-    return Scratch(found.distinct(), "centres").frame
+    return found.distinct()
 
 
 def _roots(links: DataFrame) -> DataFrame:
-    return Scratch(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots").frame
+    return components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def _open(centres: DataFrame, roots: DataFrame) -> DataFrame:
@@ -434,16 +434,18 @@ def class_roots(
 ) -> DataFrame:
     """(node, root) of the classes with a link, from candidates (see ``meet``); ``fetch`` gives the sets of classes."""
     groups = found.where("kind = 1").select(F.col("a").alias("signature"), F.col("b").alias("a"))
-    centres = _centred(groups)
+    work = Workspace()
+    centres = work.keep(_centred(groups), "centres")
     around = centres.where(F.col("a") != F.col("centre")).select(F.least("a", "centre").alias("a"), F.greatest("a", "centre").alias("b"))
     pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(around).distinct()
-    pairs = Scratch(sieve(pairs) if sieve else pairs, "pairs").frame
-    links = Scratch(_verified(pairs, fetch), "linked").frame
+    pairs = work.keep(sieve(pairs) if sieve else pairs, "pairs")
+    links = work.keep(_verified(pairs, fetch), "linked")
     roots = _roots(links)
-    open_ = Scratch(_open(centres, roots), "open").frame
+    open_ = work.keep(_open(centres, roots), "open")
     if not open_.isEmpty():
-        links = links.unionByName(Scratch(_across(open_, fetch), "across").frame)
+        links = links.unionByName(work.keep(_across(open_, fetch), "across"))
         roots = _roots(links)
+    work.clear()
     return roots
 
 
@@ -459,13 +461,12 @@ def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     heavy = summary.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("heavy").alias("n")).where(F.col("n") > frequent)
     cells = np.array([r[0] for r in heavy.select("cell").collect()], np.int64)
     ranges = max(LEAST_RANGES, total // (2 * RANGE_SIGNATURES))
-    found = Scratch(
-        texts.mapInArrow(task(pack, cells, ranges), BLOCKS).groupBy("part").applyInArrow(group_task(meet), FOUND), "candidates"
-    ).frame
+    found = Scratch(texts.mapInArrow(task(pack, cells, ranges), BLOCKS).groupBy("part").applyInArrow(group_task(meet), FOUND), "candidates")
     of_class = [F.min("doc_id").alias("id"), F.first("profile").alias("profile")]
     classes = Scratch(documents.where("n > 0").groupBy("a", "b", "n").agg(*of_class), "classes").frame
     fetch = partial(class_sets, texts, wanted_sets)
-    roots = class_roots(found, fetch, lambda pairs: _alike(pairs, classes))
+    roots = class_roots(found.frame, fetch, lambda pairs: _alike(pairs, classes))
+    found.discard()
     return documents.drop("profile"), classes.join(roots, classes["a"] == roots["node"], "left").select("a", "b", "n", "id", F.coalesce("root", "a").alias("root"))
 
 

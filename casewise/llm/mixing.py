@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewise.llm.common import prepare
+from casewise.llm.common import Workspace, prepare
 from casewise.session import Scratch
 
 LEVELS = ["domain", "lang", "source"]
@@ -112,14 +112,15 @@ def leaf_cuts(
     ]
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens")
     narrow = Scratch(docs.select("doc_id", words, *named), "tokens").frame
-    leaves = Scratch(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("size")), "leaves").frame
+    work = Workspace()
+    leaves = work.keep(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("size")), "leaves")
     total = leaves.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shares = leaf_budgets(leaves, weights, total * budget_percent // 100, epochs)
     whole = F.when(F.col("size") > 0, F.expr("budget div size")).otherwise(F.lit(0)).alias("whole")
-    plan = Scratch(
+    plan = work.keep(
         shares.select(*LEVELS, "size", "budget", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("size")),
         "budgets",
-    ).frame
+    )
     keyed = narrow.join(plan, LEVELS).where("rest > 0").withColumn("key", _key(F.col("whole"), F.col("doc_id"), seed))
     digits = F.substring("key", 1, DIGITS)
     sums = keyed.groupBy(*LEVELS, "rest", digits.alias("digits")).agg(F.sum("tokens").alias("tokens"))
@@ -145,7 +146,9 @@ def leaf_cuts(
         .join(last, LEVELS, "left")
         .select(*LEVELS, "whole", F.when(F.col("rest") > 0, F.coalesce("last", "digits")).alias("last"))
     )
-    return narrow, Scratch(cuts, "cuts").frame
+    written = Scratch(cuts, "cuts").frame
+    work.clear()
+    return narrow, written
 
 
 def _epochs_taken(seed: int, doc_id: Column) -> Column:

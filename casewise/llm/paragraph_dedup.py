@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewise.llm.common import group_task, prepare, task
+from casewise.llm.common import Workspace, group_task, prepare, task
 from casewise.llm.jaccard_join import BLOCKS, FLUSH, FOUND, LEAST_RANGES, blocks, class_roots, class_sets, filter_bits, meet, passes, wanted
 from casewise.llm.texts import LOWER, U, mix, powers, shingles, slices, sorted_sets, span_hashes, word_spans
 from casewise.session import Scratch
@@ -204,13 +204,15 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(LEAST_RANGES // 2, size // RANGE_BYTES)
     packed = texts.mapInArrow(task(pack, ranges, bands()), BLOCKS)
-    found = Scratch(packed.groupBy("part").applyInArrow(group_task(gather, ranges), FOUND), "paragraphs").frame
+    work = Workspace()
+    found = work.keep(packed.groupBy("part").applyInArrow(group_task(gather, ranges), FOUND), "paragraphs")
     roots = class_roots(found, partial(class_sets, docs.select("text"), wanted_sets))
     several = found.where("kind = 2").select("a")
     linked = roots.select(F.col("node").alias("a"), "root")
-    classes = Scratch(several.join(linked, "a", "full").select("a", F.coalesce("root", "a").alias("root")), "classes").frame
+    classes = work.keep(several.join(linked, "a", "full").select("a", F.coalesce("root", "a").alias("root")), "classes")
     located = texts.mapInArrow(task(locate, filter_bits(classes, REPEATED_BITS)), _UNITS)
     units = Scratch(located.join(classes, "a"), "units").frame
+    work.clear()
     spread = units.groupBy("root").agg(
         F.min(F.struct("doc_id", "text_key", "unit")).alias("first"), F.max(F.struct("doc_id")).alias("last")
     )
