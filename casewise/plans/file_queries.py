@@ -248,6 +248,20 @@ def stream_duplicates(spark, d):
     return spark.read.parquet(target).select("evidence_id", "case_id", "sha256", "size")
 
 
+@query
+def stream_windows(spark, d):
+    """Windows of failed logons counted on a stream; a last event, years later, closes them all."""
+    source, target = scratch_path(spark, "arriving"), scratch_path(spark, "windows")
+    events = A.case_events(spark, d).select("case_id", "event_type", "timestamp")
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("case_id"), F.lit("Failed Logon").alias("event_type"), F.lit("2100-01-01").cast("timestamp").alias("timestamp"))
+    events.unionByName(last).write.parquet(source)
+    stream = spark.readStream.schema(events.schema).parquet(source)
+    windows = jobs.windowed_brute_force_stream(stream, threshold=2, by=("case_id",))
+    writer = windows.writeStream.outputMode("append").format("parquet").option("path", target)
+    writer.option("checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target)
+
+
 # ---- SQL ---------------------------------------------------------------------------------
 
 _PLACE = "seq % 3 AS case_id, seq % 16 AS evidence_id"
@@ -349,4 +363,5 @@ O._add(
 )
 O._add("graph_export", O._GRAPH[:4], "SELECT case_id, node_id, node_type, node_label FROM nodes WHERE case_id = 3")
 O._add("stream_text", [], _PLAIN.format(**_LINE, description="'order ' || o_orderkey"))
+O.ORACLE["stream_windows"] = O.ORACLE["detect_windowed"]
 O.ORACLE["stream_duplicates"] = O.ORACLE["evidence_dedupe"]

@@ -40,6 +40,11 @@ def any_case_glob(extensions: list[str]) -> str:
     return f"*.{{{','.join(forms)}}}" if len(forms) > 1 else f"*.{forms[0]}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from casewise.operators.detect import windowed_counts
 from casewise.operators.evidence import dedupe_evidence
-from casewise.sources.files import Origin, identify
+from casewise.sources.files import Origin, identify, path_exists
 
 LINE_SCHEMA = "value string"
 
@@ -45,11 +45,13 @@ def stream_ingest(
     origin: Origin,
     target: str,
     checkpoint: str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Parse new files into the events table.
 
     ``to_events`` is a batch parser such as ``text_events``. Parsing happens per batch because
-    positions in a file cannot be assigned on an unbounded frame.
+    positions in a file cannot be assigned on an unbounded frame. ``trigger`` is what
+    ``DataStreamWriter.trigger`` takes; without it the stream ends when all files are read.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -58,7 +60,7 @@ def stream_ingest(
     return (
         lines.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -73,7 +75,7 @@ def windowed_brute_force_stream(
 
 
 def dedupe_stream(
-    files: DataFrame, stored: str, checkpoint: str, order: str = "evidence_id"
+    files: DataFrame, stored: str, checkpoint: str, order: str = "evidence_id", trigger: dict | None = None
 ) -> StreamingQuery:
     """Store files whose hash is new in their case.
 
@@ -84,17 +86,14 @@ def dedupe_stream(
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = dedupe_evidence(batch, order=order)
-        try:
+        if path_exists(spark, stored):
             known = spark.read.parquet(stored).where(F.col("ingest_batch") < number)
             fresh = fresh.join(known.select("case_id", "sha256"), ["case_id", "sha256"], "left_anti")
-        except Exception as error:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
         _once_per_batch(fresh, number, stored, ())
 
     return (
         files.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
