@@ -76,7 +76,12 @@ def _units(rows: DataFrame, shard_bytes: float) -> tuple[DataFrame, DataFrame]:
 
 def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of the tree, one row per node; shards bound it."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    columns = [c.split() for c in schema.split(", ")]
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns])
+    values = ", ".join("(" + ", ".join(f"{v!r}D" if isinstance(v, float) else str(v) for v in row) + ")" for row in rows)
+    made = spark.sql(f"SELECT * FROM VALUES {values} AS tree({', '.join(name for name, _ in columns)})")
+    return F.broadcast(made.select(*[F.col(name).cast(kind) for name, kind in columns]))
 
 
 def _cut(units: DataFrame, value, wants: dict[int, float]) -> dict[int, tuple[int, int]]:
@@ -133,17 +138,20 @@ def shard(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None
     if target_bytes:
         shards = max(1, -(-total // target_bytes))
     placed, units = _units(rows, total / shards)
-    held = Scratch(units, "shard-units").frame
+    held = Scratch(units, "shard-units")
     open_ = {0: shards} if count else {}
     while open_ := {k: n for k, n in open_.items() if n > 1}:
-        held = Scratch(_level(held, open_), "shard-units").frame
+        below = Scratch(_level(held.frame, open_), "shard-units")
+        held.discard()
+        held = below
         open_ = {k: n for node, whole in open_.items() for k, n in ((node, whole // 2), (node + whole // 2, whole - whole // 2))}
-    of_shard = placed.join(held.select("unit", F.col("node").alias("shard")), "unit")
+    of_shard = placed.join(held.frame.select("unit", F.col("node").alias("shard")), "unit")
     slices = max(LEAST_SLICES, count // (shards * SLICE_ROWS))
     sliced = Scratch(
         of_shard.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "unit"), F.lit(slices)).cast("int").alias("slice")),
         "shard-slices",
     ).frame
+    held.discard()
     counts = sliced.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select(
         "shard", "slice", (F.sum("n").over(Window.partitionBy("shard").orderBy("slice")) - F.col("n")).alias("before")
