@@ -62,7 +62,7 @@ def syslog_file(spark, folder: str, target: str) -> str:
 def laid_out(spark, folder: str, shared: str, files: int) -> str:
     """The tables that the queries read, each in as many files as there are cores, as a large table would be."""
     target = f"{shared}/tables"
-    for name in ("events", "documents", "customer", "orders"):
+    for name in ("events", "documents", "customer", "orders", "pages", "lineitem"):
         spark.read.parquet(f"{folder}/{name}.parquet").repartition(files).write.parquet(f"{target}/{name}.parquet")
     return target
 
