@@ -20,11 +20,12 @@ from casewise.plans import adapters as A
 from casewise.plans import oracle as O
 from casewise.plans.queries import EVENT_TEXT, ORIGIN, YEAR, _order_rows, _validated, _xml_pieces, query
 from casewise.session import scratch_path
-from casewise.sources import archive, csv_files, json_files, line_logs, tables, winevent_xml, xml_files
+from casewise.sources import archive, csv_files, ingest, json_files, line_logs, tables, winevent_xml, xml_files
 from casewise.streaming import jobs
 
 READ = [c for c in EVENT_TEXT if c not in ("event_uid", "seq")]
 LAYOUT = ["case_id", "evidence_id"]
+OWN_PATTERN = "part-*.txt"
 # Rows of a JSON or XML document.
 DOCUMENT_ROWS = 500
 
@@ -33,10 +34,10 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("case_id", F.col("seq") % 3).withColumn("evidence_id", F.col("seq") % 16)
 
 
-def _write_text(rows: DataFrame, name: str, suffix: str) -> str:
-    """Write the column ``line`` with the layout, as Spark's text files of any name; returns the folder."""
+def _write_text(rows: DataFrame, name: str) -> str:
+    """Write the column ``line`` with the layout as text files; returns the folder. Readers called by name take them whatever their suffix."""
     folder = scratch_path(rows.sparkSession, name)
-    rows.select(*LAYOUT, "line").write.option("extension", suffix).partitionBy(*LAYOUT).text(folder)
+    rows.select(*LAYOUT, "line").write.partitionBy(*LAYOUT).text(folder)
     return folder
 
 
@@ -96,7 +97,7 @@ def _json_folder(spark, d, names: list[str]) -> str:
         F.when(F.col("kind") == 0, F.concat(F.lit("["), F.array_join("records", ", "), F.lit("]"))).otherwise(F.col("records")[0]).alias("line"),
     )
     lines = rows.where("kind = 2").select(F.col("kind").alias("case_id"), (F.col("seq") % 8).alias("evidence_id"), F.col("record").alias("line"))
-    return _write_text(whole.unionByName(lines), "json", ".json")
+    return _write_text(whole.unionByName(lines), "json")
 
 
 @query
@@ -118,7 +119,7 @@ def text_file_read(spark, d):
         (F.col("o_orderkey") % 3).alias("case_id"), (F.col("o_orderkey") % 16).alias("evidence_id"),
         F.when(F.col("o_orderkey") % 9 == 0, F.lit("   ")).otherwise(line).alias("line"),
     )
-    return line_logs.read_text_events(spark, _write_text(rows, "text", ".txt"), ORIGIN).select(*READ)
+    return line_logs.read_text_events(spark, _write_text(rows, "text"), ORIGIN).select(*READ)
 
 
 @query
@@ -126,7 +127,7 @@ def winevent_file_read(spark, d):
     """Windows event XML files and a file without any event block, whose lines are events."""
     blocks = _xml_pieces(spark, d).select("case_id", "evidence_id", F.concat("line", F.lit("</Event>")).alias("line"))
     plain = A.table(spark, d, "nation").select(F.lit(99).alias("case_id"), F.lit(1).alias("evidence_id"), F.concat(F.lit("nation "), F.col("n_name")).alias("line"))
-    return winevent_xml.read_winevent_xml(spark, _write_text(blocks.unionByName(plain), "winevent", ".evtx"), ORIGIN).select(*READ)
+    return winevent_xml.read_winevent_xml(spark, _write_text(blocks.unionByName(plain), "winevent"), ORIGIN).select(*READ)
 
 
 def _xml_documents(spark, d) -> DataFrame:
@@ -143,12 +144,12 @@ def _xml_documents(spark, d) -> DataFrame:
 
 @query
 def xml_file_read(spark, d):
-    return xml_files.read_xml_events(spark, _write_text(_xml_documents(spark, d), "xml", ".xml"), ORIGIN).select(*READ)
+    return xml_files.read_xml_events(spark, _write_text(_xml_documents(spark, d), "xml"), ORIGIN).select(*READ)
 
 
 @query
 def xml_flat_read(spark, d):
-    return xml_files.read_xml_events(spark, _write_text(_xml_documents(spark, d), "xml", ".xml"), ORIGIN, "flat").select(*READ)
+    return xml_files.read_xml_events(spark, _write_text(_xml_documents(spark, d), "xml"), ORIGIN, "flat").select(*READ)
 
 
 def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,7 +233,7 @@ def stream_text(spark, d):
         (F.col("o_orderkey") % 3).alias("case_id"), (F.col("o_orderkey") % 16).alias("evidence_id"), F.concat(F.lit("order "), F.col("o_orderkey")).alias("line")
     )
     target = scratch_path(spark, "streamed")
-    lines = jobs.line_stream(spark, _write_text(rows, "text", ".txt"))
+    lines = jobs.line_stream(spark, _write_text(rows, "text"))
     jobs.stream_ingest(lines, line_logs.text_events, ORIGIN, target, scratch_path(spark, "progress")).awaitTermination()
     return spark.read.parquet(target).withColumn("case_id", F.col("case_id").cast("long")).select(*READ)
 
@@ -262,6 +263,39 @@ def stream_windows(spark, d):
     return spark.read.parquet(target)
 
 
+@query
+def own_reader(spark, d):
+    """Files of a kind that the library does not know, through a reader registered for them."""
+    rows = A.table(spark, d, "orders").select(
+        (F.col("o_orderkey") % 3).alias("case_id"), (F.col("o_orderkey") % 16).alias("evidence_id"), F.concat(F.lit("own "), F.col("o_orderkey")).alias("line")
+    )
+    folder = _write_text(rows, "own")
+    ingest.register_reader(OWN_PATTERN, lambda s, path, origin, year: line_logs.read_text_events(s, path, origin, OWN_PATTERN))
+    try:
+        return ingest.read_evidence(spark, folder, ORIGIN, YEAR, [OWN_PATTERN]).select(*READ)
+    finally:
+        ingest.READERS.pop(OWN_PATTERN)
+
+
+@query
+def own_constraint(spark, d):
+    """A caller's rule: addresses with three edges or more."""
+    nodes, edges = graph.build_graph(A.normalized_events(spark, d))
+    rule = validate.ConstraintRule(
+        name="Busy address",
+        category="Network",
+        description="An address has fewer than three edges.",
+        severity="low",
+        node_type="IP_Address",
+        edge_types=None,
+        measures={"edges_seen": F.count(F.lit(1))},
+        broken=F.col("edges_seen") >= 3,
+        reason=F.concat(F.col("node_label"), F.lit(" has "), F.col("edges_seen"), F.lit(" edges")),
+        suggestion="Look at it.",
+    )
+    return validate.failures(nodes, edges, [rule]).select("case_id", "node_id", "rule_name", "status", "violation_reason", "resolution_details")
+
+
 # ---- SQL ---------------------------------------------------------------------------------
 
 _PLACE = "seq % 3 AS case_id, seq % 16 AS evidence_id"
@@ -363,5 +397,9 @@ O._add(
 )
 O._add("graph_export", O._GRAPH[:4], "SELECT case_id, node_id, node_type, node_label FROM nodes WHERE case_id = 3")
 O._add("stream_text", [], _PLAIN.format(**_LINE, description="'order ' || o_orderkey"))
+O._add("own_reader", [], _PLAIN.format(**_LINE, description="'own ' || o_orderkey"))
+O.ORACLE["own_constraint"] = f"""SELECT case_id, node_id, 'Busy address' AS rule_name, 'VIOLATION' AS status,
+    node_label || ' has ' || edge_count || ' edges' AS violation_reason, 'Look at it.' AS resolution_details
+    FROM ({O.ORACLE["incident_counts"]}) WHERE node_type = 'IP_Address' AND edge_count >= 3"""
 O.ORACLE["stream_windows"] = O.ORACLE["detect_windowed"]
 O.ORACLE["stream_duplicates"] = O.ORACLE["evidence_dedupe"]

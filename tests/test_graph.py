@@ -284,7 +284,7 @@ def test_rules_pass_and_fail(spark):
 def test_own_constraint_rule(spark):
     busy = validate.ConstraintRule(
         "Busy", "Load", "Too many edges.", "low", "Host", None, {"n_edges": F.count(F.lit(1))}, F.col("n_edges") > 1,
-        F.concat(F.lit("busy "), F.col("node_label")), "Re-order event timeline sequence.",
+        F.concat(F.lit("busy "), F.col("node_label")), "Re-order event timeline sequence.", "Put in order.",
     )
     _, found, summary = check(spark, [("h", "Host"), ("k", "Host")], [("h", "k", "X", None), ("h", "z", "Y", None)], [busy])
     assert rows(found, "node_label", "status") == [("h", "RESOLVED")]
