@@ -1,9 +1,15 @@
-"""Repeated passages by MinHash banding of paragraphs.
+"""Repeated passages: equal word runs by winnowed anchors, similar ones by MinHash banding of paragraphs.
 
-A text is cut into paragraphs by its own content, so that a passage standing anywhere in different
-texts is cut alike: a paragraph ends at a line end, at the end of a sentence once it has 8 words, or,
-from 24 words on, at a word whose hash ends in three zero bits. Words are lower-cased; a paragraph is
-the sequence of its words and has a set of five-word shingles.
+Equal runs. In every window of ``WINDOW`` words the word of the smallest hash is an anchor; an anchor
+stands for the ``GRAM`` words from it on. It depends on no more than its window, so a run of
+``WINDOW + GRAM - 1`` words (49) that two documents share anywhere holds an anchor whose gram both have,
+whatever stands around it and wherever lines and sentences end. All grams that start within a window of such an
+anchor are then looked up, so the run is known word by word to its true borders. Of a gram's occurrences the one
+with the smallest (doc_id, place) is kept.
+
+Similar passages. A text is cut into paragraphs: a paragraph ends at a line end, at the end of a sentence
+once it has 8 words, or, from 24 words on, at a word whose hash ends in three zero bits. Words are lower-cased;
+a paragraph is the sequence of its words and has a set of five-word shingles.
 
 Paragraphs of equal words are one class. Bands of MinHash values find classes whose sets may reach
 a Jaccard similarity of 0.75; the bands are as many as give the wanted recall at that similarity. Colliding
@@ -11,8 +17,11 @@ classes are verified on the exact sets and joined to components, large groups of
 classes around a centre and, where that leaves several components, block by block (see
 ``jaccard_join``). A component that occurs in more than one document, in equal or similar
 paragraphs, is repeated; its occurrence with the smallest (doc_id, place) is kept and the others go.
-Adjoining paragraphs of a document that are repeated and share that fate make one passage; passages
-below ``LEAST_WORDS`` words, such as licence lines, are left alone.
+
+Adjoining repeated words of a document, kept or removed, make one stretch; stretches below ``LEAST_WORDS``
+words, such as licence lines, are left alone. The others are reported in pieces that share a fate; a word goes if
+anything that covers it goes, and what it repeats stands in an earlier place. Of a kept paragraph three quarters of
+which go, the words left are not reported.
 
 Null and empty texts have no paragraph. Rows that repeat an id are one document, whatever their
 texts; a null id is a document of its own kind (all null ids are one). An empty table gives no
@@ -27,7 +36,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewise.llm.common import Workspace, group_task, prepare, task
@@ -38,14 +47,23 @@ from casewise.session import Scratch
 SIMILARITY, RECALL, ROWS = 0.75, 0.99, 1
 SENTENCE_WORDS, LONG_WORDS = 8, 24
 LEAST_WORDS = 25
+# Words of a window that has an anchor, and of the gram an anchor stands for; WINDOW is at most GRAM.
+WINDOW, GRAM = 25, 25
 # Bits of the filter that keeps paragraphs of no repeated class out of the last shuffle: 8 MB.
 REPEATED_BITS = 26
 RANGE_BYTES = 1 << 21
 
+_ANCHOR, _GRAM = U(0x8CB92BA72F3D8DD7), U(0x6A09E667F3BCC909)
 _WORD_BASE, _CLASS, _BAND = U(0xD1B54A32D192ED03), U(0x2545F4914F6CDD1D), 0x5851F42D4C95
 _END = np.zeros(256, bool)
 _END[[ord("."), ord("!"), ord("?")]] = True
-_UNITS = "doc_id long, text_key long, unit int, start int, end int, words int, a long"
+_UNITS = "doc_id long, text_key long, unit int, first int, words int, start int, end int, before int, after int, a long"
+_GRAMS = "a long, low long, mark long"
+_PASSAGES = "doc_id long, start_byte int, end_byte int, words long, kept_doc_id long, removed boolean"
+# A gram with its first occurrence (document; place and text), and whether several documents have it.
+_HELD = np.dtype([("kind", "<u8"), ("doc", "<u8"), ("mark", "<u8"), ("several", "?")])
+_TOP = U(1 << 63)
+_NULL = -(1 << 63)
 
 
 def bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -84,12 +102,49 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return owner, place, first, end, starts[first], ends[end - 1], kind, words
 
 
+def word_rows(owner: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The row of every word, from the paragraphs."""
+    return np.repeat(owner, end - first)
+
+
+def grams(words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the ``GRAM`` words from every word on, and whether they lie in one text."""
+    n = len(words) - GRAM + 1
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    power, inverse = powers(len(words))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words ^ _WORD_BASE) * power[: len(words)], dtype=np.uint64)])
+    return mix((sums[GRAM:] - sums[:-GRAM]) * inverse[:n] ^ _GRAM), row[:n] == row[GRAM - 1 :]
+
+
+def anchors(words: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The words that are the first of the smallest hash in a window of their text."""
+    if len(words) < WINDOW:
+        return np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(mix(words ^ _ANCHOR), WINDOW).argmin(axis=1)
+    at = (np.arange(len(least)) + least)[row[: len(least)] == row[WINDOW - 1 :]]
+    # Anchors never go back from one window to the next.
+    return at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+
+
+def text_keys(owner: np.ndarray, place: np.ndarray, kind: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each text's paragraphs."""
+    key = np.zeros(n, np.uint64)
+    np.add.at(key, owner, mix(kind + place.astype(np.uint64)))
+    return key
+
+
+def word_places(row: np.ndarray) -> np.ndarray:
+    """The place of every word in its text."""
+    return np.arange(len(row)) - np.searchsorted(row, row)
+
+
 def _unit_shingles(first: np.ndarray, end: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return shingles(words, np.repeat(np.arange(len(first)), end - first), len(first))
 
 
 def pack(batches: Iterator[pa.RecordBatch], ranges: int, count: int) -> Iterator[pa.RecordBatch]:
-    """MinHash signatures with their class in blocks by hash range; from part ``ranges`` on, classes with the first document that has them.
+    """MinHash signatures with their class in blocks by hash range; from part ``ranges`` on, classes with the first document that has them, and from ``2 * ranges`` on, grams of anchors likewise.
 
     A class block holds classes, documents (hashed ids), and whether several documents had it already.
     """
@@ -97,11 +152,18 @@ def pack(batches: Iterator[pa.RecordBatch], ranges: int, count: int) -> Iterator
     owners: list[np.ndarray] = []
     kinds: list[np.ndarray] = []
     papers: list[np.ndarray] = []
+    tied: list[np.ndarray] = []
+    tied_papers: list[np.ndarray] = []
     size = 0
 
     def flush():
         if sigs:
             yield blocks(np.concatenate(sigs), np.concatenate(owners), ranges)
+        yield held(kinds, papers, ranges)
+        if any(map(len, tied)):
+            yield held(tied, tied_papers, 2 * ranges)
+
+    def held(kinds, papers, base):
         kind, paper = np.concatenate(kinds), np.concatenate(papers)
         order = np.lexsort((paper, kind))
         kind, paper = kind[order], paper[order]
@@ -114,7 +176,7 @@ def pack(batches: Iterator[pa.RecordBatch], ranges: int, count: int) -> Iterator
         cut = np.searchsorted(part, np.arange(ranges + 1))
         full = np.flatnonzero(np.diff(cut))
         packed = [kind[cut[p] : cut[p + 1]].tobytes() + low[cut[p] : cut[p + 1]].tobytes() for p in full]
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32) + np.int32(ranges)), pa.array(packed, pa.binary())], ["part", "packed"])
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32) + np.int32(base)), pa.array(packed, pa.binary())], ["part", "packed"])
 
     for batch in batches:
         ids = batch.column("doc_id").fill_null(-1).to_numpy().view(np.uint64)
@@ -124,6 +186,13 @@ def pack(batches: Iterator[pa.RecordBatch], ranges: int, count: int) -> Iterator
                 continue
             kinds.append(kind)
             papers.append(mix(ids[begin + owner]) << U(1))
+            row = word_rows(owner, first, end)
+            gram, whole = grams(words, row)
+            at = anchors(words, row)
+            at = at[at < len(gram)]
+            at = at[whole[at]]
+            tied.append(gram[at])
+            tied_papers.append(mix(ids[begin + row[at]]) << U(1))
             _, once = np.unique(kind, return_index=True)
             values, at = _unit_shingles(first[once], end[once], words_of(first, end, once, words))
             several = np.flatnonzero(np.diff(at) > 2)
@@ -133,10 +202,12 @@ def pack(batches: Iterator[pa.RecordBatch], ranges: int, count: int) -> Iterator
                     least = np.minimum.reduceat(mix(values ^ U((k + 1) * _BAND)), at[:-1])[several]
                     sigs.append(mix(least + U(k)))
                     owners.append(kind[once][several])
-            size += len(kind) + count * len(cuts)
+            size += len(kind) + len(tied[-1]) + count * len(cuts)
         if size >= FLUSH:
             yield from flush()
-            sigs, owners, kinds, papers, size = [], [], [], [], 0
+            for held_back in (sigs, owners, kinds, papers, tied, tied_papers):
+                held_back.clear()
+            size = 0
     if kinds:
         yield from flush()
 
@@ -149,7 +220,7 @@ def words_of(first: np.ndarray, end: np.ndarray, some: np.ndarray, words: np.nda
 
 
 def gather(rows: pa.Table, ranges: int) -> pa.Table:
-    """Candidates of a hash range (see ``meet``), or the classes that several documents have (kind 2)."""
+    """Candidates of a hash range (see ``meet``), or the classes (kind 2) and grams of anchors (kind 3) that several documents have."""
     if rows.column("part")[0].as_py() < ranges:
         return meet(rows)
     halves = [np.frombuffer(x, np.uint64) for x in rows.column("packed").to_pylist()]
@@ -161,7 +232,8 @@ def gather(rows: pa.Table, ranges: int) -> pa.Table:
     end = np.concatenate([start[1:], [len(kind)]]) - 1
     several = np.bitwise_or.reduceat(paper & U(1), start).astype(bool) | (paper[start] >> U(1) != paper[end] >> U(1))
     found = kind[start[several]].view(np.int64)
-    return pa.table({"kind": pa.array(np.full(len(found), 2, np.int32)), "a": pa.array(found), "b": pa.array(found)})
+    which = 2 if rows.column("part")[0].as_py() < 2 * ranges else 3
+    return pa.table({"kind": pa.array(np.full(len(found), which, np.int32)), "a": pa.array(found), "b": pa.array(found)})
 
 
 def wanted_sets(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordBatch]:
@@ -176,28 +248,184 @@ def wanted_sets(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.R
                 yield wanted(kind[once], values, at, bits)
 
 
-def locate(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordBatch]:
-    """The paragraphs whose class passes the filter, with their place in bytes."""
-    names = ["doc_id", "text_key", "unit", "start", "end", "words", "a"]
+def _firsts(held: np.ndarray) -> np.ndarray:
+    """Each gram once, with its first occurrence."""
+    held = held[np.lexsort((held["mark"], held["doc"], held["kind"]))]
+    kind, doc = held["kind"], held["doc"]
+    start = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+    end = np.concatenate([start[1:], [len(kind)]]) - 1
+    out = held[start]
+    out["several"] = np.logical_or.reduceat(held["several"], start) | (doc[start] != doc[end])
+    return out
+
+
+def near_grams(batches: Iterator[pa.RecordBatch], bits: bytes, ranges: int) -> Iterator[pa.RecordBatch]:
+    """The grams that start within a window of an anchor that passes the filter, in blocks by hash range."""
+    kept: list[np.ndarray] = []
+    size = 0
+
+    def flush():
+        held = _firsts(np.concatenate(kept))
+        part = ((held["kind"] >> U(32)) * U(ranges) >> U(32)).astype(np.int32)
+        cut = np.searchsorted(part, np.arange(ranges + 1))
+        full = np.flatnonzero(np.diff(cut))
+        packed = [held[cut[p] : cut[p + 1]].tobytes() for p in full]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(packed, pa.binary())], ["part", "packed"])
+
+    for batch in batches:
+        ids = batch.column("doc_id").fill_null(_NULL).to_numpy().view(np.uint64) ^ _TOP
+        for begin, _, data, offsets in slices(batch.column("text")):
+            owner, place, first, end, _, _, kind, words = paragraphs(data, offsets)
+            row = word_rows(owner, first, end)
+            gram, whole = grams(words, row)
+            at = anchors(words, row)
+            at = at[at < len(gram)]
+            at = at[whole[at]]
+            at = at[passes(bits, gram[at])]
+            if not len(at):
+                continue
+            steps = np.bincount(np.maximum(at - WINDOW + 1, 0), minlength=len(gram) + 1)
+            steps -= np.bincount(np.minimum(at + WINDOW, len(gram)), minlength=len(gram) + 1)
+            q = np.flatnonzero((np.cumsum(steps)[:-1] > 0) & whole)
+            held = np.zeros(len(q), _HELD)
+            key = text_keys(owner, place, kind, len(offsets) - 1)
+            held["kind"], held["doc"], held["mark"] = gram[q], ids[begin + row[q]], _marks(word_places(row)[q], key[row[q]])
+            kept.append(held)
+            size += len(q)
+        if size >= FLUSH:
+            yield flush()
+            kept, size = [], 0
+    if kept:
+        yield flush()
+
+
+def _marks(places: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """An occurrence within a document: its place, then its text."""
+    return places.astype(np.uint64) << U(32) | keys & U(0xFFFFFFFF)
+
+
+def repeated_grams(rows: pa.Table) -> pa.Table:
+    """The grams of a hash range that several documents have: hash, first document and occurrence in it."""
+    held = _firsts(np.concatenate([np.frombuffer(x, _HELD) for x in rows.column("packed").to_pylist()]))
+    held = held[held["several"]]
+    columns = [held["kind"], held["doc"] ^ _TOP, held["mark"]]
+    return pa.table({c: pa.array(np.ascontiguousarray(x).view(np.int64)) for c, x in zip(("a", "low", "mark"), columns, strict=True)})
+
+
+def locate(batches: Iterator[pa.RecordBatch], bits: bytes, gram_bits: bytes) -> Iterator[pa.RecordBatch]:
+    """The paragraphs and grams (unit -1) whose class passes its filter, with their place in words and bytes."""
+    names = [c.split()[0] for c in _UNITS.split(", ")]
     for batch in batches:
         ids = batch.column("doc_id")
         for begin, _, data, offsets in slices(batch.column("text")):
-            owner, place, first, end, start, stop, kind, _ = paragraphs(data, offsets)
-            hit = np.flatnonzero(passes(bits, kind))
-            key = np.zeros(len(offsets) - 1, np.uint64)
-            np.add.at(key, owner, mix(kind + place.astype(np.uint64)))
-            row = owner[hit]
-            base = offsets[row]
-            columns = [ids.take(pa.array(begin + row)), pa.array(key[row].view(np.int64))]
-            columns += [pa.array(x.astype(np.int32)) for x in (place[hit], start[hit] - base, stop[hit] - base, (end - first)[hit])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kind[hit].view(np.int64))], names)
+            owner, place, first, end, _, _, kind, words = paragraphs(data, offsets)
+            if not len(kind):
+                continue
+            key = text_keys(owner, place, kind, len(offsets) - 1)
+            starts, ends, row = word_spans(data, offsets)
+            places = word_places(row)
+            gram, whole = grams(words, row)
+            hit, near = np.flatnonzero(passes(bits, kind)), np.flatnonzero(passes(gram_bits, gram) & whole)
+            low = np.concatenate([first[hit], near])
+            high = np.concatenate([end[hit], near + GRAM])
+            of = row[low]
+            base = offsets[of]
+            previous, following = np.maximum(low - 1, 0), np.minimum(high, len(row) - 1)
+            before = np.where(row[previous] == of, ends[previous], starts[low])
+            after = np.where(row[following] == of, starts[following], ends[high - 1])
+            unit = np.concatenate([place[hit], np.full(len(near), -1)])
+            columns = [ids.take(pa.array(begin + of)), pa.array(key[of].view(np.int64))]
+            numbers = (unit, places[low], high - low, starts[low] - base, ends[high - 1] - base, before - base, after - base)
+            columns += [pa.array(x.astype(np.int32)) for x in numbers]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([kind[hit], gram[near]]).view(np.int64))], names)
+
+
+def join_up(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Passages from repeated units, which come ordered by document and text."""
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+        new = _new_texts(rows)
+        last = int(np.flatnonzero(new)[-1])
+        if last:
+            yield from _passages(rows.slice(0, last), least)
+        held = rows.slice(last)
+    if held is not None:
+        yield from _passages(held, least)
+
+
+def _new_texts(rows: pa.Table) -> np.ndarray:
+    new = np.ones(len(rows), bool)
+    new[1:] = False
+    for c in ("doc_id", "text_key"):
+        x = rows.column(c).fill_null(_NULL).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def _passages(rows: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
+    """The passages of whole texts."""
+    doc, kept = (rows.column(c).fill_null(_NULL).to_numpy() for c in ("doc_id", "kept_doc_id"))
+    low, words, start, end, before, after = (rows.column(c).to_numpy().astype(np.int64) for c in ("first", "words", "start", "end", "before", "after"))
+    removed = rows.column("removed").to_numpy(zero_copy_only=False)
+    new = np.flatnonzero(_new_texts(rows))
+    text = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(doc))))
+    # One line of words for all texts, with a gap between them.
+    room = np.maximum.reduceat(low + words, new) + 2
+    base = np.cumsum(room) - room
+    low = low + base[text]
+    high = low + words
+    edge = np.unique(np.concatenate([low, high]))
+    at_low, at_high = np.searchsorted(edge, low), np.searchsorted(edge, high)
+
+    def covered(some):
+        steps = np.bincount(at_low[some], minlength=len(edge)) - np.bincount(at_high[some], minlength=len(edge))
+        return np.cumsum(steps)[:-1] > 0
+
+    gone = covered(removed)
+    # Of a kept paragraph whose words go to the similarity, the rest is no copy of its own.
+    lost = np.concatenate([[0], np.cumsum(np.diff(edge) * gone)])
+    held = covered(removed | (rows.column("unit").to_numpy() < 0) | (lost[at_high] - lost[at_low] < SIMILARITY * words))
+    opens, closes = np.empty(len(edge), np.int64), np.empty(len(edge), np.int64)
+    opens[at_high], closes[at_low] = after, before
+    opens[at_low], closes[at_high] = start, end
+    was = np.concatenate([[False], held[:-1]])
+    stretch = np.cumsum(held & ~was) - 1
+    first = held & (~was | (gone != np.concatenate([[False], gone[:-1]])))
+    piece = np.cumsum(first) - 1
+    head = np.flatnonzero(first)
+    tail = np.flatnonzero(held & np.append(first[1:] | ~held[1:], True)) + 1
+    length = np.bincount(stretch[held], np.diff(edge)[held]).astype(np.int64)
+    owner = new[np.searchsorted(base, edge[head], "right") - 1]
+    keeper = doc[owner].copy()
+    # Of a removed piece, the document that keeps most of its words.
+    some = np.flatnonzero(removed)
+    some = some[np.argsort(low[some], kind="stable")]
+    if len(some):
+        of = piece[at_low[some]]
+        reach = np.minimum(high[some], np.append(np.where(of[1:] == of[:-1], low[some][1:], high[some][:-1]), high[some][-1]))
+        order = np.lexsort((kept[some], of))
+        of, who, weight = of[order], kept[some][order], (reach - low[some])[order]
+        begin = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (who[1:] != who[:-1])]))
+        of, who, weight = of[begin], who[begin], np.add.reduceat(weight, begin)
+        order = np.lexsort((who, -weight, of))
+        best = order[np.concatenate([[True], of[order][1:] != of[order][:-1]])]
+        keeper[of[best]] = who[best]
+    pick = np.flatnonzero(length[stretch[head]] >= least)
+    long_ids = [pa.array(x[pick], mask=x[pick] == _NULL) for x in (doc[owner], keeper)]
+    places = [pa.array(x[pick].astype(np.int32)) for x in (opens[head], closes[tail])]
+    columns = [long_ids[0], *places, pa.array((edge[tail] - edge[head])[pick]), long_ids[1], pa.array(gone[head][pick])]
+    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start_byte", "end_byte", "words", "kept_doc_id", "removed"])
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, start_byte, end_byte, words, kept_doc_id, removed: every passage that other documents repeat.
 
     ``removed`` is false for the occurrence that is kept; ``kept_doc_id`` is the document that keeps most of the passage's
-    paragraphs (the smallest of equals).
+    words (the smallest of equals).
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -210,25 +438,24 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     several = found.where("kind = 2").select("a")
     linked = roots.select(F.col("node").alias("a"), "root")
     classes = work.keep(several.join(linked, "a", "full").select("a", F.coalesce("root", "a").alias("root")), "classes")
-    located = texts.mapInArrow(task(locate, filter_bits(classes, REPEATED_BITS)), _UNITS)
-    units = Scratch(located.join(classes, "a"), "units").frame
+    tied = filter_bits(found.where("kind = 3").select("a"), REPEATED_BITS)
+    near = texts.mapInArrow(task(near_grams, tied, ranges), BLOCKS)
+    exact = work.keep(near.groupBy("part").applyInArrow(group_task(repeated_grams), _GRAMS), "grams")
+    located = texts.mapInArrow(task(locate, filter_bits(classes, REPEATED_BITS), filter_bits(exact, REPEATED_BITS)), _UNITS)
+    known = classes.unionByName(exact, True)
+    units = Scratch(located.join(known, "a"), "units").frame
     work.clear()
-    spread = units.groupBy("root").agg(
-        F.min(F.struct("doc_id", "text_key", "unit")).alias("first"), F.max(F.struct("doc_id")).alias("last")
-    )
-    repeated = units.join(spread, "root").where(~F.col("first.doc_id").eqNullSafe(F.col("last.doc_id")))
-    kept = F.struct("doc_id", "text_key", "unit").eqNullSafe(F.col("first"))
-    marked = repeated.select("doc_id", "text_key", "unit", "start", "end", "words", F.col("first.doc_id").alias("kept_doc_id"), (~kept).alias("removed"))
-    order = Window.partitionBy("doc_id", "text_key", "removed").orderBy("unit")
-    run = marked.withColumn("run", F.col("unit") - F.dense_rank().over(order))
-    return (
-        run.groupBy("doc_id", "text_key", "removed", "run")
-        .agg(
-            F.min("start").alias("start_byte"),
-            F.max("end").alias("end_byte"),
-            F.sum("words").cast("long").alias("words"),
-            F.mode("kept_doc_id", True).alias("kept_doc_id"),
-        )
-        .where(F.col("words") >= least_words)
-        .select("doc_id", "start_byte", "end_byte", "words", "kept_doc_id", "removed")
+    similar = units.where("root IS NOT NULL")
+    spread = similar.groupBy("root").agg(
+        F.min(F.struct("doc_id", "text_key", "unit")).alias("first_unit"), F.max(F.struct("doc_id")).alias("last")
     )
+    repeated = similar.join(spread, "root").where(~F.col("first_unit.doc_id").eqNullSafe(F.col("last.doc_id")))
+    kept = F.struct("doc_id", "text_key", "unit").eqNullSafe(F.col("first_unit"))
+    place = ["doc_id", "text_key", "unit", "first", "words", "start", "end", "before", "after"]
+    marked = repeated.select(*place, F.col("first_unit.doc_id").alias("kept_doc_id"), (~kept).alias("removed"))
+    low = F.when(F.col("low") != _NULL, F.col("low"))
+    mark = F.expr("shiftleft(cast(first AS long), 32) | (text_key & 4294967295)")
+    kept = F.col("doc_id").eqNullSafe(low) & (mark == F.col("mark"))
+    same = units.where("mark IS NOT NULL").select(*place, low.alias("kept_doc_id"), (~kept).alias("removed"))
+    rows = marked.unionByName(same).repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "first")
+    return rows.mapInArrow(task(join_up, least_words), _PASSAGES)

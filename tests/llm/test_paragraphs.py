@@ -83,3 +83,48 @@ def test_bands_reach_the_recall():
     for recall in (0.9, 0.99, 0.999):
         n = paragraph_dedup.bands(0.75, recall, 1)
         assert 1 - 0.25**n >= recall > 1 - 0.25 ** (n - 1)
+
+
+def test_passages_in_other_surroundings(corpus):
+    """Unpunctuated, mid-sentence and re-wrapped passages of 50 words and more are found to their true borders."""
+    rng = random.Random(12)
+
+    def fresh(n):
+        return [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+    docs, want = [], {}
+    for k in range(60):
+        passage = fresh(50 + k % 31)
+        for copy in range(2):
+            before, after = fresh(rng.randrange(1, 60)), fresh(rng.randrange(1, 60))
+            inner = list(passage)
+            if k % 3 == 1:
+                before[-1] += "." if copy else ""
+            if k % 3 == 2 and copy:
+                for at in range(7, len(inner), 7):
+                    inner[at] = "\n" + inner[at]
+            docs.append((2 * k + copy, " ".join(before + inner + after)))
+            want[2 * k + copy] = (len(passage), passage[0], passage[-1], 2 * k, bool(copy))
+    got = {}
+    rows = paragraph_dedup.repeated_passages(corpus.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    for r in rows:
+        words = dict(docs)[r.doc_id].encode()[r.start_byte : r.end_byte].decode().split()
+        assert r.words == len(words)
+        got.setdefault(r.doc_id, []).append((r, words))
+    assert set(got) == set(want)
+    for i, (n, first, last, kept, removed) in want.items():
+        words = [w for _, ws in got[i] for w in ws]
+        # A similar paragraph may hold a few words more.
+        assert first in words and last in words and n <= len(words) <= n + 24
+        (main, _), = [(r, ws) for r, ws in got[i] if len(ws) >= 25]
+        assert (main.kept_doc_id, main.removed) == (kept, removed)
+
+
+def test_kept_and_removed_neighbours_are_one_stretch(corpus):
+    """32 repeated words, 16 of an earlier document and 16 of a later one, are one stretch, though each half is short."""
+    rng = random.Random(3)
+    words = [[f"n{rng.randrange(10**9)}" for _ in range(16)] for _ in range(2)]
+    first, second = (" ".join(w) + "." for w in words)
+    docs = [(1, first), (2, f"{first}\n{second}"), (3, second)]
+    rows = paragraph_dedup.repeated_passages(corpus.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.words, r.kept_doc_id, r.removed) for r in rows) == [(2, 16, 1, True), (2, 16, 2, False)]
