@@ -66,6 +66,8 @@ FILTER_BITS = 23
 _SEGMENT, _MEMBER, _SUM_A, _SUM_B, _TOKEN = (U(x) for x in (0xA5B3571FD1, 0x7C1E99A4B7, 0x1D8AF066ED, 0x93D6E2C15B, 0x4F2BB1A9C7))
 
 _SUMMARY = "doc_id long, n int, a long, b long, profile binary, cell int, heavy long"
+# A text with a word.
+_WORDED = r"[^ \t-\r]"
 BLOCKS = "part int, packed binary"
 FOUND = "kind int, a long, b long"
 SETS = "a long, n int, members binary"
@@ -86,10 +88,10 @@ def _cells(values: np.ndarray) -> np.ndarray:
     return (values >> U(64 - CELL_BITS)).astype(np.int64)
 
 
-def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per document (id, set size, two sums), and a task's frequent counters with their counts."""
+def summarize(batches: Iterator[pa.RecordBatch], keyed: bool = False) -> Iterator[pa.RecordBatch]:
+    """One row per document (id, set size, two sums, its ``key`` if it has one), and a task's frequent counters with their counts."""
     counts = np.zeros(1 << CELL_BITS, np.int64)
-    names = ["doc_id", "n", "a", "b", "profile", "cell", "heavy"]
+    names = ["doc_id", "n", "a", "b", "profile", "cell", "heavy", *(["key"] if keyed else [])]
     for batch in batches:
         ids = batch.column("doc_id")
         for first, end, data, offsets in slices(batch.column("text")):
@@ -102,11 +104,16 @@ def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             profile = np.minimum(bins, 255).astype(np.uint8).reshape(n, BINS)
             columns = [ids.slice(first, n), pa.array(np.diff(at).astype(np.int32)), pa.array(_signed(a)), pa.array(_signed(b))]
             columns += [pa.array([p.tobytes() for p in profile], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
+            if keyed:
+                columns.append(batch.column("key").slice(first, n))
             yield pa.RecordBatch.from_arrays(columns, names)
     heavy = np.flatnonzero(counts > LOCAL_TIMES * max(1.0, counts.mean()))
     if len(heavy):
         none = [pa.nulls(len(heavy), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(heavy.astype(np.int32)), pa.array(counts[heavy])], names)
+        columns = [*none, pa.array(heavy.astype(np.int32)), pa.array(counts[heavy])]
+        if keyed:
+            columns.append(pa.nulls(len(heavy), pa.int64()))
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _bands(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -449,12 +456,14 @@ def class_roots(
     return roots
 
 
-def jaccard_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, classes): doc_id, n, a, b of every document; a, b, n, id, root of every class with a link."""
+def jaccard_classes(docs: DataFrame, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents, classes): doc_id, n, a, b of every document, with a hash ``key`` of the text if ``keyed``; a, b, n, id, root of every class."""
     prepare(docs.sparkSession)
     texts = docs.select("text")
-    summary = Scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task(summarize), _SUMMARY), "shingles").frame
-    documents = summary.where(F.col("n").isNotNull()).select("doc_id", "n", "a", "b", "profile")
+    key = [F.xxhash64("text").alias("key")] if keyed else []
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *key)
+    summary = Scratch(read.mapInArrow(task(summarize, keyed), _SUMMARY + ", key long" * keyed), "shingles").frame
+    documents = summary.where(F.col("n").isNotNull()).select("doc_id", "n", "a", "b", "profile", *["key"] * keyed)
     total = documents.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     frequent = max(LEAST_FREQUENT, GLOBAL_TIMES * total / (1 << CELL_BITS))
     # At most 2**CELL_BITS rows.
@@ -489,3 +498,24 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     found = jaccard_components(docs)
     dropped = found.where("component_id != doc_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def keep_one_row_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component: of its rows the one with the smallest (doc_id, nulls last; hash of the text); of rows equal in both, one.
+
+    Rows, not ids, are judged: a null or repeated id decides nothing about another row. Rows without a word are no copies of anything and stay.
+    """
+    documents, classes = jaccard_classes(docs, keyed=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key")).alias("first")
+    of_class = documents.where("n > 0").groupBy("a", "b", "n").agg(first)
+    kept = of_class.join(classes.select("a", "b", "n", "root"), ["a", "b", "n"]).groupBy("root").agg(F.min("first").alias("first"))
+    # The columns travel as one, whatever their names.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.col("doc_id").cast("long").isNull().alias("none"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
+        F.xxhash64("text").alias("key"),
+    )
+    worded = F.coalesce(F.col("doc.text").rlike(_WORDED), F.lit(False))
+    once = rows.where(worded).join(kept.select("first.*"), ["none", "id", "key"], "left_semi").dropDuplicates(["none", "id", "key"])
+    return once.select("doc").unionByName(rows.where(~worded).select("doc")).select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

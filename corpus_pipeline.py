@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from casewise.llm.common import table
 from casewise.llm.decontaminate import keep_clean
-from casewise.llm.jaccard_join import keep_one_of_each
+from casewise.llm.jaccard_join import keep_one_row_of_each
 from casewise.llm.language import keep_known_language
 from casewise.llm.mixing import mixed_documents
 from casewise.llm.sharding import shard
@@ -19,8 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return keep_one_of_each(docs)
+    """Of each group of near copies one row stays, that with the smallest id."""
+    return keep_one_row_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

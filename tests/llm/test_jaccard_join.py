@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from casewise.llm import jaccard_join, queries
 from casewise.llm.texts import sorted_sets
 
@@ -127,3 +128,22 @@ def test_blocks_of_a_group():
         }
     )
     assert {tuple(sorted(p.values())) for p in jaccard_join.compare(table).to_pylist()} == {(1, 2), (1, 3)}
+
+
+def test_one_row_of_each_group_stays(corpus):
+    """Null ids, repeated ids, and an id with a copy and a text of its own."""
+    shared, own = " ".join(f"s{k}" for k in range(40)), " ".join(f"o{k}" for k in range(40))
+    near, orphan = shared + " end", " ".join(f"n{k}" for k in range(40))
+    rows = [(1, shared, "a")] * 5 + [(None, shared, "b")] * 3 + [(None, near, "c"), (7, near, "d"), (7, own, "e")]
+    rows += [(None, orphan, "f"), (None, orphan, "f"), (None, None, "g"), (None, None, "g"), (8, "", "h")]
+    frame = corpus.createDataFrame(rows, "doc_id long, text string, root string").repartition(3)
+    kept = jaccard_join.keep_one_row_of_each(frame)
+    assert kept.columns == frame.columns
+    want = [(1, shared, "a"), (7, own, "e"), (None, orphan, "f"), (None, None, "g"), (None, None, "g"), (8, "", "h")]
+    assert Counter(tuple(r) for r in kept.collect()) == Counter(want)
+
+
+def test_the_pipeline_keeps_one_row_of_each_group(corpus):
+    text = " ".join(f"s{k}" for k in range(40))
+    frame = corpus.createDataFrame([(4, text), (4, text), (None, text), (5, text)], "doc_id long, text string")
+    assert [tuple(r) for r in dict(corpus_pipeline.STAGES)["near copies"](corpus, frame, "").collect()] == [(4, text)]
