@@ -82,9 +82,14 @@ def share(children: DataFrame, parent: list[str], name: str) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, weights: list[dict[str, int]], budget: int, epochs: int) -> DataFrame:
     """domain, lang, source, size (tokens), budget of each leaf; ``leaves`` has domain, lang, source, size."""
     above = None
+    # A leaf with a weight of 0 on its path takes nothing and adds to no capacity.
+    open_ = F.lit(True)
+    for depth, name in enumerate(LEVELS):
+        open_ &= weight_of(F.col(name), weights[depth]) > 0
+    usable = leaves.where(open_)
     for depth, name in enumerate(LEVELS):
         parent = LEVELS[:depth]
-        nodes = leaves.groupBy(*parent, name).agg((F.sum("size") * epochs).alias("capacity"))
+        nodes = usable.groupBy(*parent, name).agg((F.sum("size") * epochs).alias("capacity"))
         nodes = nodes.withColumn("weight", weight_of(F.col(name), weights[depth]))
         if above is None:
             # Never more than all can hold: weightless children count for nothing.

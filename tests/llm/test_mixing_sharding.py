@@ -130,3 +130,11 @@ def test_odd_shards(corpus):
     assert len(few) == 4 and all(0 <= r.shard < 24 for r in few)
     by_bytes = sharding.shard(corpus.createDataFrame([(k, "x" * 92, "en", "s", 1) for k in range(64)], SCHEMA), target_bytes=1600)
     assert Counter(r.shard for r in by_bytes.selectExpr("*", "1 AS shard2").collect()).keys() == {0, 1, 2, 3}
+
+
+def test_leaves_of_weight_zero_hold_nothing(corpus):
+    """A domain whose main language has weight 0 gives what it cannot hold to the other domain."""
+    leaves = [("a", "en", "s", 900), ("a", "de", "s", 100), ("b", "de", "s", 1000)]
+    frame = corpus.createDataFrame(leaves, "domain string, lang string, source string, size long")
+    got = {(r.domain, r.lang): r.budget for r in mixing.leaf_budgets(frame, [{}, {"en": 0}, {}], 1000, 1).collect()}
+    assert got == {("a", "de"): 100, ("b", "de"): 900}
