@@ -40,7 +40,10 @@ SEED = 11
 
 
 def domain_of(source: Column) -> Column:
-    """The domain of a source: the largest source is the web, the others are books or forums by number."""
+    """The domain of a source as the test tables name them: the largest source is the web, the others are books or forums by number.
+
+    Another corpus gives ``mix`` and ``mixed_documents`` a column expression of its own.
+    """
     number = F.expr("try_cast(substring(source, 4) AS int)")
     return F.when(source == "src0", "web").when(number % 2 == 0, "books").otherwise("forums")
 
@@ -106,12 +109,12 @@ def _key(epoch: Column, doc_id: Column, seed: int) -> Column:
 
 
 def leaf_cuts(
-    docs: DataFrame, weights: list[dict[str, int]], budget_percent: int, epochs: int, seed: int
+    docs: DataFrame, weights: list[dict[str, int]], budget_percent: int, epochs: int, seed: int, domain: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(narrow rows, cuts): the leaf, id and tokens of each document; and for each leaf the whole epochs and the last key taken after them."""
     prepare(docs.sparkSession)
     named = [
-        F.coalesce(domain_of(F.col("source")), F.lit("")).alias("domain"),
+        F.coalesce(domain_of(F.col("source")) if domain is None else domain, F.lit("")).alias("domain"),
         F.coalesce("lang", F.lit("")).alias("lang"),
         F.coalesce("source", F.lit("")).alias("source"),
     ]
@@ -169,10 +172,14 @@ def mix(
     budget_percent: int = BUDGET_PERCENT,
     epochs: int = EPOCHS,
     seed: int = SEED,
+    domain: Column | None = None,
 ) -> DataFrame:
-    """doc_id, domain, lang, source, tokens and epoch of every document taken, once per epoch; the budget is a share of all tokens."""
+    """doc_id, domain, lang, source, tokens and epoch of every document taken, once per epoch; the budget is a share of all tokens.
+
+    ``domain`` is a column expression over ``docs``, by default that of the test tables (``domain_of``).
+    """
     weights = weights or [DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, SOURCE_WEIGHTS]
-    narrow, cuts = leaf_cuts(docs, weights, budget_percent, epochs, seed)
+    narrow, cuts = leaf_cuts(docs, weights, budget_percent, epochs, seed, domain)
     taken = narrow.join(cuts, LEVELS).withColumn("epoch", F.explode(_epochs_taken(seed, F.col("doc_id"))))
     return taken.select("doc_id", *LEVELS, "tokens", "epoch")
 
@@ -183,13 +190,14 @@ def mixed_documents(
     budget_percent: int = BUDGET_PERCENT,
     epochs: int = 1,
     seed: int = SEED,
+    domain: Column | None = None,
 ) -> DataFrame:
-    """The rows of ``docs`` that the mixture takes, each as often as it has epochs, with all their columns."""
+    """The rows of ``docs`` that the mixture takes, each as often as it has epochs, with all their columns; ``domain`` as for ``mix``."""
     weights = weights or [DOMAIN_WEIGHTS, LANGUAGE_WEIGHTS, SOURCE_WEIGHTS]
-    _, cuts = leaf_cuts(docs, weights, budget_percent, epochs, seed)
+    _, cuts = leaf_cuts(docs, weights, budget_percent, epochs, seed, domain)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        F.coalesce(domain_of(F.col("source")), F.lit("")).alias("domain"),
+        F.coalesce(domain_of(F.col("source")) if domain is None else domain, F.lit("")).alias("domain"),
         F.coalesce("lang", F.lit("")).alias("lang"),
         F.coalesce("source", F.lit("")).alias("source"),
     )

@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from casewise.llm import mixing, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -138,3 +140,15 @@ def test_leaves_of_weight_zero_hold_nothing(corpus):
     frame = corpus.createDataFrame(leaves, "domain string, lang string, source string, size long")
     got = {(r.domain, r.lang): r.budget for r in mixing.leaf_budgets(frame, [{}, {"en": 0}, {}], 1000, 1).collect()}
     assert got == {("a", "de"): 100, ("b", "de"): 900}
+
+
+def test_domains_of_the_caller(corpus):
+    """Other names of sources, and none, with the caller's mapping."""
+    rows = [(k, "w w", "en", ["wiki", "blog", None][k % 3], 3) for k in range(60)]
+    docs = corpus.createDataFrame(rows, SCHEMA)
+    domain = F.when(F.col("source") == "wiki", "books").when(F.col("source").isNull(), "unknown").otherwise("web")
+    weights = [{"books": 1, "web": 1, "unknown": 0}, {}, {}]
+    got = Counter((r.domain, r.source) for r in mixing.mix(docs, weights, 50, 1, domain=domain).collect())
+    assert got == {("books", "wiki"): 15, ("web", "blog"): 15}
+    kept = Counter(r.source for r in mixing.mixed_documents(docs, weights, 50, domain=domain).collect())
+    assert kept == {"wiki": 15, "blog": 15}
