@@ -86,7 +86,10 @@ def csv_wide_read(spark, d):
 
 
 def _json_folder(spark, d, names: list[str]) -> str:
-    """Documents of three kinds: arrays, single objects, and one object per line."""
+    """Documents of three kinds: arrays, single objects, and one object per line.
+
+    Not every order: of the single objects (seq % 3 = 1) only those with seq % 40 = 1 are written, as the SQL has it.
+    """
     record = F.to_json(F.struct(*_named(names)))
     rows = _order_rows(spark, d).select("seq", record.alias("record")).withColumn("kind", F.col("seq") % 3)
     block = F.when(F.col("kind") == 1, F.col("seq")).otherwise(F.expr(f"seq div {DOCUMENT_ROWS}"))
