@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casewise.llm import chat, mixing
+from casewise.llm import chat, exact_dedup, lexical_search, mixing
+from casewise.llm.alignment import aligned
 from casewise.llm.common import table
 from casewise.llm.decontaminate import contaminated
 from casewise.llm.embedding_dedup import near_duplicates
@@ -60,6 +61,21 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.chat_digest(chat.with_trial(table(spark, folder, "conversations")))
 
 
+def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return aligned(table(spark, folder, "documents"), *paths)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -71,6 +87,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_chat": op10_chat,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_alignment": op13_alignment,
 }
 
-ORACLE: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op10_chat": chat.ORACLE}
+ORACLE: dict[str, str] = {
+    "op1_mix_sources": mixing.ORACLE,
+    "op10_chat": chat.ORACLE,
+    "op11_exact_dedup": exact_dedup.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
+}
