@@ -8,7 +8,7 @@ prototype with the largest cosine. Letters are lower-cased; any run of other cha
 one gap, which takes part in trigrams around a letter.
 
 Prototypes are sums of whole numbers (the vectors in fixed point), so they do not depend on how the
-table is split. They are as many as the languages and of fixed size; the documents are not gathered.
+table is split. They are as many as the languages, whatever their number, and 4 KB each; the documents are not gathered.
 
 Null texts and texts without a letter: ``und`` with score 0. Null languages are not learned from. If
 nothing was learned, every prediction is ``und`` with score 0. Equal cosines go to the language that
@@ -29,14 +29,17 @@ from casewise.llm.texts import codepoints, slices
 
 DIMENSIONS = 1024
 UNDETERMINED = "und"
-# More distinct language names than this are an error, since prototypes are kept in memory.
-MOST_LANGUAGES = 10_000
+# Languages that a text is compared with at a time (8 MB of vectors).
+BLOCK = 2048
 # Below this cosine a document is no text of a known language: unrelated vectors reach about 1 / sqrt(DIMENSIONS).
 LEAST_SCORE = 0.05
 _FIXED_POINT = 1 << 24
 _TRIGRAMS_AT_ONCE = 4096
 _LETTERS_UP_TO = 0x32400
 
+# Names and unit vectors, in blocks.
+Learned = list[tuple[list[str], np.ndarray]]
+
 _alphabet: list[np.ndarray] = []
 _vectors: dict[int, np.ndarray] = {}
 
@@ -120,49 +123,60 @@ def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def predict(batches: Iterator[pa.RecordBatch], names: list[str], prototypes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """doc_id, lang_pred and score of every row."""
+def compare(batches: Iterator[pa.RecordBatch], names: list[str], vectors: np.ndarray, of_best: str, of_cosine: str) -> Iterator[pa.RecordBatch]:
+    """The rows with the best language so far and its cosine; rows without a letter keep a null cosine."""
     for batch in batches:
-        ids = batch.column("doc_id")
+        best, score = batch.column(of_best).to_pylist(), batch.column(of_cosine).to_numpy(zero_copy_only=False).astype(np.float64)
         for first, end, data, offsets in slices(batch.column("text")):
             made = bundles(data, offsets)
-            best = np.zeros(end - first, np.int64)
-            score = np.zeros(end - first)
-            known = np.zeros(end - first, bool)
-            if names:
-                cosine = made @ prototypes.T
-                best = cosine.argmax(axis=1)
-                score = np.clip(cosine[np.arange(len(best)), best].astype(np.float64), 0, 1)
-                known = made.any(axis=1)
-            lang = [names[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), known.tolist(), strict=True)]
-            columns = [ids.slice(first, end - first), pa.array(lang, pa.string()), pa.array(np.where(known, score, 0.0))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
-
-
-def prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Names and unit vectors of the languages in ``labelled`` (text, lang); rows with a null language are left out."""
+            known = made.any(axis=1)
+            cosine = made @ vectors.T
+            top = cosine.argmax(axis=1)
+            reached = cosine[np.arange(len(top)), top].astype(np.float64)
+            # Equal cosines go to the first name; blocks come in the order of names.
+            for k in np.flatnonzero(known & ~(score[first:end] >= reached)).tolist():
+                best[first + k], score[first + k] = names[top[k]], reached[k]
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        columns[of_best], columns[of_cosine] = pa.array(best, pa.string()), pa.array(score, mask=np.isnan(score))
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def prototypes(labelled: DataFrame) -> Learned:
+    """Names and unit vectors of the languages in ``labelled`` (text, lang), in blocks of names; rows with a null language are left out.
+
+    One row a language (4 KB) comes to the driver.
+    """
     prepare(labelled.sparkSession)
     parts = labelled.where(F.col("lang").isNotNull()).select("text", "lang").mapInArrow(task(learn), "lang string, place int, value long")
     total = parts.groupBy("lang", "place").agg(F.sum("value").alias("value"))
-    rows = total.limit((MOST_LANGUAGES + 1) * DIMENSIONS).collect()
-    names = sorted({r[0] for r in rows})
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    number = {name: k for k, name in enumerate(names)}
-    made = np.zeros((len(names), DIMENSIONS))
-    for lang, place, value in rows:
-        made[number[lang], place] = value
-    length = np.linalg.norm(made, axis=1, keepdims=True)
-    return names, (made / np.where(length > 0, length, 1)).astype(np.float32)
-
-
-def identify(docs: DataFrame, learned: tuple[list[str], np.ndarray]) -> DataFrame:
+    # DIMENSIONS places each.
+    vector = F.array_sort(F.collect_list(F.struct("place", "value"))).getField("value").alias("vector")
+    rows = sorted(total.groupBy("lang").agg(vector).toLocalIterator())
+    blocks = []
+    for start in range(0, len(rows), BLOCK):
+        part = rows[start : start + BLOCK]
+        made = np.array([r[1] for r in part], np.float64)
+        length = np.linalg.norm(made, axis=1, keepdims=True)
+        blocks.append(([r[0] for r in part], (made / np.where(length > 0, length, 1)).astype(np.float32)))
+    return blocks
+
+
+def _compared(rows: DataFrame, learned: Learned) -> tuple[DataFrame, str, str]:
+    """``rows`` (with text) with their best language and its cosine, and the names of these two columns; every block is met in the same pass."""
+    best, cosine = ("_" * max(map(len, rows.columns)) + name for name in ("best", "cosine"))
+    made = rows.select("*", F.lit(None).cast("string").alias(best), F.lit(None).cast("double").alias(cosine))
+    schema = made.schema
+    for names, vectors in learned:
+        made = made.mapInArrow(task(compare, names, vectors, best, cosine), schema)
+    return made, best, cosine
+
+
+def identify(docs: DataFrame, learned: Learned) -> DataFrame:
     """doc_id, lang_pred and score (cosine, 0 to 1) of every row of ``docs``."""
     prepare(docs.sparkSession)
-    named, vectors = learned
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        task(predict, named, vectors), "doc_id long, lang_pred string, score double"
-    )
+    made, best, cosine = _compared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), learned)
+    score = F.least(F.greatest(F.coalesce(cosine, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return made.select("doc_id", F.coalesce(best, F.lit(UNDETERMINED)).alias("lang_pred"), score.alias("score"))
 
 
 def is_held_out(column: str = "doc_id"):
@@ -176,15 +190,12 @@ def language_of(docs: DataFrame) -> DataFrame:
     return identify(docs, learned).select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
 
 
-def admit(batches: Iterator[pa.RecordBatch], names: list[str], vectors: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
-    """The rows whose text has a letter and a best cosine of ``least`` or more."""
+def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose text has a letter."""
     for batch in batches:
         keep = np.zeros(len(batch), bool)
         for first, end, data, offsets in slices(batch.column("text")):
-            made = bundles(data, offsets)
-            keep[first:end] = made.any(axis=1)
-            if names:
-                keep[first:end] &= (made @ vectors.T).max(axis=1) >= least
+            keep[first:end] = bundles(data, offsets).any(axis=1)
         yield batch.filter(pa.array(keep))
 
 
@@ -194,5 +205,8 @@ def keep_known_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFram
     If no language could be learned, the documents with a letter stay.
     """
     prepare(docs.sparkSession)
-    named, vectors = prototypes(docs.where(~is_held_out()).select("text", "lang"))
-    return docs.mapInArrow(task(admit, named, vectors, least), docs.schema)
+    learned = prototypes(docs.where(~is_held_out()).select("text", "lang"))
+    if not learned:
+        return docs.mapInArrow(task(lettered), docs.schema)
+    made, best, cosine = _compared(docs, learned)
+    return made.where(F.col(cosine) >= least).drop(best, cosine)

@@ -12,7 +12,8 @@ The fit takes at most ``SAMPLE`` labelled texts, those with the smallest hash of
 of fixed size. Every text is scored whole.
 
 Null and empty texts have no features and the score of the curves at the bias. Null labels and ids are not learned from;
-of several labels of an id the largest counts; a text whose id has no label is scored like any other.
+of several labels of an id the largest counts, and of several rows of an id that is learned from the one with the smallest hash of its text, so
+that the bound holds for rows; a text whose id has no label is scored like any other.
 With one class or no label to learn from, every score is the smoothed share of label 1 (one half without labels).
 Repeated rows are scored alike. An empty table gives no rows. Other columns are not read.
 """
@@ -77,14 +78,15 @@ def _pieces(column: pa.Array):
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """part, label and the places of each text (16-bit numbers as bytes)."""
+    """doc_id, key, part, label and the places of each text (16-bit numbers as bytes)."""
     for batch in batches:
         for first, end, data, offsets in _pieces(batch.column("text")):
             row, place = features(data, offsets)
             cut = np.searchsorted(row, np.arange(end - first + 1))
             packed = [place[cut[k] : cut[k + 1]].astype(np.uint16).tobytes() for k in range(end - first)]
             part = batch.slice(first, end - first)
-            yield pa.RecordBatch.from_arrays([part.column("part"), part.column("label"), pa.array(packed, pa.binary())], ["part", "label", "places"])
+            names = ["doc_id", "key", "part", "label"]
+            yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(packed, pa.binary())], [*names, "places"])
 
 
 def _curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -163,17 +165,24 @@ def is_held_out(column: str = "doc_id"):
     return F.coalesce(crc_of_id(column) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """The models, one row each, from the labelled texts that are not held out."""
-    prepare(docs.sparkSession)
+def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """part, label and places of the rows to learn from, at most ``SAMPLE``: labelled texts that are not held out."""
     label = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("label"))
     turn = F.xxhash64(F.col("doc_id").cast("long"), F.lit(3))
     chosen = label.where(~is_held_out()).select("doc_id", "label", turn.alias("turn")).orderBy("turn", "doc_id").limit(SAMPLE)
     chosen = chosen.select("doc_id", F.col("label").cast("int").alias("label"), F.pmod("turn", F.lit(PARTS)).cast("int").alias("part"))
     # At most SAMPLE rows.
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("part", "label", "text")
-    described = known.mapInArrow(task(describe), "part int, label int, places binary")
-    rows = described.groupBy("part").applyInArrow(group_task(fit), "model binary").collect()
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "part", "label", "text")
+    described = known.mapInArrow(task(describe), "doc_id long, key long, part int, label int, places binary")
+    once = described.groupBy("doc_id").agg(F.min(F.struct("key", "part", "label", "places")).alias("row"))
+    return once.select("row.part", "row.label", "row.places")
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """The models, one row each, from the labelled texts that are not held out."""
+    prepare(docs.sparkSession)
+    rows = training(docs, labels).groupBy("part").applyInArrow(group_task(fit), "model binary").collect()
     return np.array(sorted(np.frombuffer(r[0]).tolist() for r in rows)).reshape(len(rows), FEATURES + 3)
 
 

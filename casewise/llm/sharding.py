@@ -3,7 +3,8 @@
 The unit of placement is a text: documents with equal texts stay together, with the language,
 source and size of the one with the smallest id. A text whose copies weigh more than a
 ``HEAVY`` part of a shard is placed document by document, as no law of equal sizes could hold
-otherwise; there are at most shards / HEAVY such texts.
+otherwise, and rows that repeat such a text's id, where they weigh as much, row by row; there are at most shards / HEAVY such
+texts and as many such ids.
 
 The tree starts with all units. A node that stands for n shards is cut in two, for n // 2 shards
 and the rest, along its widest dimension (language, source, logarithm of the size, each scaled to
@@ -17,7 +18,7 @@ Numbers within a shard (slots) come from counts of small slices, not from one so
 
 Null texts: a text of its own, no bytes, checksum 0. Empty texts are texts. Null languages and
 sources count as one more value, null ids sort first. Rows repeated in full stay together unless
-heavy; repeated ids do not matter otherwise. An empty table gives no rows. Other columns are not read.
+heavy, and are then dealt singly; repeated ids do not matter otherwise. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -53,13 +54,17 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _units(rows: DataFrame, shard_bytes: float) -> tuple[DataFrame, DataFrame]:
-    """(rows with their unit, units): a unit is a text, or a single document of a heavy text."""
-    heavy = rows.groupBy("text_key").agg(F.sum("size").alias("all"), F.count(F.lit(1)).alias("copies"))
-    heavy = heavy.where((F.col("all") > HEAVY * shard_bytes) & (F.col("copies") > 1)).select("text_key", F.lit(True).alias("heavy"))
-    # At most shards / HEAVY rows.
-    placed = rows.join(F.broadcast(heavy), "text_key", "left").withColumn(
-        "unit", F.when(F.col("heavy"), F.xxhash64("text_key", "doc_id")).otherwise(F.col("text_key"))
-    )
+    """(rows with their unit, units): a unit is a text, or a document of a heavy text, or a row of a heavy document."""
+    weighs = (F.sum("size") > HEAVY * shard_bytes) & (F.count(F.lit(1)) > 1)
+    # At most shards / HEAVY rows each.
+    heavy = F.broadcast(rows.groupBy("text_key").agg(weighs.alias("heavy")).where("heavy"))
+    by_text = rows.join(heavy, "text_key", "left")
+    repeated = by_text.where("heavy").groupBy("text_key", "doc_id").agg(weighs.alias("repeated")).where("repeated")
+    other = F.broadcast(repeated.select(F.col("text_key").alias("of_key"), F.col("doc_id").alias("of_id"), "repeated"))
+    same = (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
+    unit = F.when(F.col("repeated"), F.xxhash64("text_key", "doc_id", "row"))
+    unit = unit.when(F.col("heavy"), F.xxhash64("text_key", "doc_id")).otherwise(F.col("text_key"))
+    placed = by_text.join(other, same, "left").withColumn("unit", unit)
     first = F.min_by(F.struct("lang_at", "source_at", "size"), F.struct("doc_id", "size", "lang_at", "source_at"))
     units = placed.groupBy("unit").agg(F.sum("size").alias("weight"), first.alias("first")).select(
         "unit",
@@ -133,7 +138,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None
     With ``target_bytes`` the number of shards is what the bytes ask for.
     """
     prepare(docs.sparkSession)
-    rows = Scratch(_rows(docs), "shard-rows").frame
+    rows = Scratch(_rows(docs).withColumn("row", F.monotonically_increasing_id()), "shard-rows").frame
     count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     if target_bytes:
         shards = max(1, -(-total // target_bytes))

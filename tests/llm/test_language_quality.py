@@ -41,6 +41,22 @@ def test_language_of_odd_rows(corpus):
     assert language.language_of(docs.limit(0)).collect() == []
 
 
+def test_any_number_of_languages_in_blocks(corpus, monkeypatch):
+    """Predictions and scores do not depend on how many languages a block holds; the plan has one pass over the texts."""
+    words = [f"{a}{b}{c} {c}{a}{b}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
+    rows = [(k, " ".join([words[k % 125]] * 4), f"l{k % 125:03}", "s", 1) for k in range(400)] + [(900, "12", "l000", "s", 1)]
+    docs = corpus.createDataFrame(rows, SCHEMA)
+    whole = sorted(language.language_of(docs).collect())
+    monkeypatch.setattr(language, "BLOCK", 20)
+    for got, want in zip(sorted(language.language_of(docs).collect()), whole, strict=True):
+        assert got[:3] == want[:3] and abs(got.score - want.score) < 1e-5
+    assert sum(r.lang_pred == f"l{r.doc_id % 125:03}" for r in whole) > 380
+    learned = language.prototypes(docs)
+    assert [len(names) for names, _ in learned] == [20] * 6 + [5]
+    plan = language.identify(docs, learned)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 7 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
 def test_bundle_is_the_sum_of_bound_trigrams():
     text = "ab Ba".encode()
     made = language.bundles(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
@@ -76,6 +92,17 @@ def test_quality_of_odd_rows(corpus):
     assert quality.quality_scores(docs.limit(0), labels).collect() == []
 
 
+def test_rows_of_repeated_ids_do_not_pass_the_bound(corpus, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 30)
+    rows = [(k % 9, f"text {k}", None, None, None) for k in range(3000)] + [(k, "a b", None, None, None) for k in range(100, 200)]
+    docs = corpus.createDataFrame(rows, SCHEMA)
+    labels = corpus.createDataFrame([(k, k % 2) for k in [*range(9), *range(100, 200)]], "doc_id long, quality int")
+    assert quality.training(docs, labels).count() == 30
+    few = labels.where("doc_id < 9 AND crc32(cast(cast(doc_id AS string) AS binary)) % 5 != 0")
+    assert quality.training(docs, few).count() == few.count()
+    assert len(quality.quality_scores(docs, labels).collect()) == len(rows)
+
+
 def test_dual_coordinate_descent_reaches_the_optimum():
     """The fit's weights against a long run of plain subgradient steps on the same primal problem."""
     import pyarrow as pa

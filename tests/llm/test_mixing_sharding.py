@@ -152,3 +152,20 @@ def test_domains_of_the_caller(corpus):
     assert got == {("books", "wiki"): 15, ("web", "blog"): 15}
     kept = Counter(r.source for r in mixing.mixed_documents(docs, weights, 50, domain=domain).collect())
     assert kept == {"wiki": 15, "blog": 15}
+
+
+def test_shards_of_one_row_repeated_beyond_a_shard(corpus):
+    """Rows that repeat text and id are dealt singly once they weigh more than a part of a shard."""
+    rows = [(k, f"text {k} " + "x" * (k % 90), "en", f"src{k % 4}", 1) for k in range(2000)]
+    rows += [(5000, "the same row " * 30, "en", "src0", 1)] * 1500 + [(None, "no id " * 40, None, None, None)] * 700
+    got = sharding.shard(corpus.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert len(got) == len(rows)
+    weight = Counter()
+    for r in got:
+        weight[r.shard] += r.size
+    assert set(weight) == set(range(24))
+    assert max(weight.values()) < 1.03 * sum(weight.values()) / 24 and min(weight.values()) > 0.97 * sum(weight.values()) / 24
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
