@@ -28,6 +28,8 @@ LAYOUT = ["case_id", "evidence_id"]
 OWN_PATTERN = "part-*.txt"
 # Rows of a JSON or XML document.
 DOCUMENT_ROWS = 500
+# Which kind of JSON file an order goes to: 0 an array, 1 a file of its own, 2 a line.
+_JSON_KIND = "CASE WHEN seq % 100 = 1 THEN 1 WHEN seq % 2 = 1 THEN 0 ELSE 2 END"
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -86,14 +88,11 @@ def csv_wide_read(spark, d):
 
 
 def _json_folder(spark, d, names: list[str]) -> str:
-    """Documents of three kinds: arrays, single objects, and one object per line.
-
-    Not every order: of the single objects (seq % 3 = 1) only those with seq % 40 = 1 are written, as the SQL has it.
-    """
+    """All orders in documents of three kinds: arrays, single objects (every hundredth), and one object per line."""
     record = F.to_json(F.struct(*_named(names)))
-    rows = _order_rows(spark, d).select("seq", record.alias("record")).withColumn("kind", F.col("seq") % 3)
+    rows = _order_rows(spark, d).select("seq", record.alias("record"), F.expr(_JSON_KIND).alias("kind"))
     block = F.when(F.col("kind") == 1, F.col("seq")).otherwise(F.expr(f"seq div {DOCUMENT_ROWS}"))
-    grouped = rows.where("kind != 2 AND (kind = 0 OR seq % 40 = 1)").groupBy("kind", block.alias("evidence_id"))
+    grouped = rows.where("kind != 2").groupBy("kind", block.alias("evidence_id"))
     whole = grouped.agg(F.sort_array(F.collect_list("record")).alias("records")).select(
         F.col("kind").alias("case_id"),
         "evidence_id",
@@ -331,16 +330,14 @@ O._add(
         description=f"'log_time=' || {_AT} || ' | account=u' || o_custkey || ' | machine=m | remote_ip=' || o_orderpriority || ' | category=' || o_orderstatus",
     ),
 )
-_DOCUMENT_PLACE = f"seq % 3 AS case_id, CASE seq % 3 WHEN 0 THEN seq // {DOCUMENT_ROWS} WHEN 1 THEN seq ELSE seq % 8 END AS evidence_id"
-_DOCUMENT_ROWS = " WHERE seq % 3 <> 1 OR seq % 40 = 1"
-O._add("json_file_read", [O._ROWS], _rows_sql(_DOCUMENT_PLACE, event_type="coalesce(nullif(event_type0, ''), 'JsonLog')") + _DOCUMENT_ROWS)
+_DOCUMENT_PLACE = f"{_JSON_KIND} AS case_id, CASE {_JSON_KIND} WHEN 0 THEN seq // {DOCUMENT_ROWS} WHEN 1 THEN seq ELSE seq % 8 END AS evidence_id"
+O._add("json_file_read", [O._ROWS], _rows_sql(_DOCUMENT_PLACE, event_type="coalesce(nullif(event_type0, ''), 'JsonLog')"))
 O._add(
     "json_wide_read",
     [O._ROWS],
     _rows_sql(_DOCUMENT_PLACE, source="'JSON Log'", event_type="coalesce(nullif(event_type0, ''), 'JSON Event')").replace(
         "nullif(event_id0, '') AS event_id", "CAST(NULL AS VARCHAR) AS event_id"
-    )
-    + _DOCUMENT_ROWS,
+    ),
 )
 O._add(
     "text_file_read",

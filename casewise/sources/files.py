@@ -60,11 +60,12 @@ def reader(spark: SparkSession, glob: str | None = None):
     return source.option("pathGlobFilter", glob) if glob else source
 
 
-def with_identity(df: DataFrame, origin: Origin) -> DataFrame:
-    """Add case_id, evidence_id, seq and path to rows that still have ``_metadata``."""
-    located = df.withColumn("path", F.col("_metadata.file_path")).withColumn(
-        "__block", F.col("_metadata.file_block_start")
-    )
+def with_identity(df: DataFrame, origin: Origin, keep_block: bool = False) -> DataFrame:
+    """Add case_id, evidence_id, seq and path to rows that still have ``_metadata``; if asked, the start of the split as ``block`` and the file's ``size``."""
+    block = F.col("_metadata.file_block_start")
+    located = df.withColumn("path", F.col("_metadata.file_path")).withColumn("__block", block)
+    if keep_block:
+        located = located.withColumn("block", block).withColumn("size", F.col("_metadata.file_size"))
     return identify(located, origin)
 
 
@@ -100,20 +101,16 @@ def read_lines(
     glob: str | None = None,
     separator: str | None = None,
     where: Column | None = None,
+    keep_block: bool = False,
+    options: dict[str, str] | None = None,
 ) -> DataFrame:
     """One row per line (or per ``separator``) with its identity; large files are split. ``where`` picks files by ``_metadata``."""
-    source = reader(spark, glob)
+    source = reader(spark, glob).options(**(options or {}))
     if separator:
         source = source.option("lineSep", separator)
     lines = source.text(path)
     lines = lines if where is None else lines.where(where)
-    return with_identity(lines, origin).withColumnRenamed("value", "line")
-
-
-def read_documents(spark: SparkSession, path, origin: Origin, glob: str | None = None) -> DataFrame:
-    """One row per file with its whole text."""
-    files = reader(spark, glob).text(path, wholetext=True)
-    return with_identity(files, origin).withColumnRenamed("value", "text")
+    return with_identity(lines, origin, keep_block).withColumnRenamed("value", "line")
 
 
 def read_contents(spark: SparkSession, path, origin: Origin, glob: str | None = None) -> DataFrame:
