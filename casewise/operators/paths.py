@@ -26,9 +26,8 @@ from casewise.session import Scratch, checkpoint_laid_out, materialize
 Heuristic = Callable[[Column, Column, Column, Column], Column]
 
 COST_DIGITS = 4
+# Edges of a vertex beyond which its list is cut into slices.
 WIDE_VERTEX = 100_000
-# Vertices with more edges than WIDE_VERTEX whose lists are cut into slices.
-WIDE_LIMIT = 1024
 STATUSES = ["ok", "case_not_found", "empty_graph", "start_not_found", "goal_not_found", "no_path"]
 
 
@@ -87,16 +86,8 @@ def simple_graph(edges: DataFrame, requests: DataFrame | None = None) -> DataFra
 def _wide_vertices(graph: DataFrame, width: int) -> DataFrame:
     """Vertices with very many outgoing edges and the number of slices to cut them into."""
     degree = graph.groupBy("case_id", "vertex").agg(F.count(F.lit(1)).alias("degree"))
-    return (
-        degree.where(F.col("degree") >= width)
-        .orderBy(F.col("degree").desc(), "case_id", "vertex")
-        .limit(WIDE_LIMIT)
-        .select(
-            "case_id",
-            "vertex",
-            F.ceil(F.col("degree") / F.lit(width)).cast("int").alias("slices"),
-        )
-    )
+    slices = F.ceil(F.col("degree") / F.lit(width)).cast("int").alias("slices")
+    return degree.where(F.col("degree") >= width).select("case_id", "vertex", slices)
 
 
 def _partitions(df: DataFrame) -> int:
@@ -112,9 +103,9 @@ def settle(
     estimate exceeds the best cost of the goal. It needs ``goal_level`` on the requests and
     ``next_level`` on the graph.
     """
-    wide = materialize(_wide_vertices(graph, width))
+    wide = broadcast_if_small(materialize(_wide_vertices(graph, width)))
     sliced = (
-        graph.join(F.broadcast(wide), ["case_id", "vertex"], "left")
+        graph.join(wide, ["case_id", "vertex"], "left")
         .withColumn("slice", F.pmod(F.xxhash64("next"), F.coalesce(F.col("slices"), F.lit(1))).cast("int"))
         .drop("slices")
     )
@@ -143,7 +134,7 @@ def settle(
         goal_cost = F.broadcast(goal_cost) if few else goal_cost
         open_rows = (
             state.where("moved AND vertex <> goal")
-            .join(F.broadcast(wide), ["case_id", "vertex"], "left")
+            .join(wide, ["case_id", "vertex"], "left")
             .withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slices"), F.lit(1)) - 1)))
         )
         candidates = (

@@ -187,20 +187,24 @@ def archive_skipped(spark, d):
 
 @query
 def stored_events(spark, d):
-    """The events table after writing it twice, the second time the even evidence only."""
+    """The events table after writing it twice, the second time the even evidence only; every sixth file now gives no event."""
     folder = scratch_path(spark, "events")
     events = A.case_events(spark, d)
     tables.write_events(events, folder)
-    tables.write_events(events.where("evidence_id % 2 = 0").withColumn("host", F.upper("host")), folder)
+    again = events.where("evidence_id % 2 = 0")
+    tables.write_events(again.where("evidence_id % 6 <> 0").withColumn("host", F.upper("host")), folder, again)
     return spark.read.schema(events.schema).parquet(folder).select(*EVENT_TEXT)
 
 
 @query
 def stored_graph(spark, d):
-    """Counts by type of the stored graph of all cases."""
+    """Counts by type of the stored graph of all cases, written again without case 3."""
     folder = scratch_path(spark, "graph")
     nodes, edges = graph.build_graph(A.normalized_events(spark, d))
-    tables.write_graph(nodes, edges, graph.graph_metadata(nodes, edges), folder)
+    metadata = graph.graph_metadata(nodes, edges)
+    tables.write_graph(nodes, edges, metadata, folder)
+    rest = [df.where("case_id <> 3") for df in (nodes, edges, metadata)]
+    tables.write_graph(*rest, folder, nodes.select("case_id"))
     parts = [
         spark.read.parquet(f"{folder}/{part}").groupBy("case_id", F.lit(part).alias("part"), F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("rows"))
         for part, kind in (("nodes", "node_type"), ("edges", "edge_type"))
@@ -223,9 +227,19 @@ def stored_validation(spark, d):
 
 @query
 def graph_export(spark, d):
-    """Nodes of the export of one case."""
-    nodes, edges = graph.build_graph(A.normalized_events(spark, d))
-    return graph.graph_export(nodes, edges, 3)[0].select("case_id", "node_id", "node_type", "node_label")
+    """Nodes, edges and counts of the export of one case."""
+    nodes, edges, metadata = graph.graph_export(*graph.build_graph(A.normalized_events(spark, d)), 3)
+
+    def part(df, name, number, kind, label):
+        return df.select("case_id", F.lit(name).alias("part"), number.alias("number"), kind.alias("kind"), label.alias("label"))
+
+    ends = F.concat_ws(" > ", "src_label", "dst_label")
+    return (
+        part(nodes, "node", F.lit(1).cast("long"), F.col("node_type"), F.col("node_label"))
+        .unionByName(part(edges.groupBy("case_id", "edge_type", ends.alias("ends")).count(), "edge", F.col("count"), F.col("edge_type"), F.col("ends")))
+        .unionByName(part(metadata, "nodes", F.col("node_count").cast("long"), F.lit("all"), F.lit("")))
+        .unionByName(part(metadata, "edges", F.col("edge_count").cast("long"), F.lit("all"), F.lit("")))
+    )
 
 
 @query
@@ -382,20 +396,27 @@ O._add(
 O._add(
     "stored_events",
     [O._EV],
-    f"""SELECT {", ".join('CASE WHEN evidence_id % 2 = 0 THEN upper(host) ELSE host END AS host' if c == "host" else f'"{c}"' for c in EVENT_TEXT)} FROM evs""",
+    f"""SELECT {", ".join('CASE WHEN evidence_id % 2 = 0 THEN upper(host) ELSE host END AS host' if c == "host" else f'"{c}"' for c in EVENT_TEXT)} FROM evs WHERE evidence_id % 6 <> 0""",
 )
 O._add(
     "stored_graph",
     O._GRAPH,
-    """SELECT case_id, 'nodes' AS part, node_type AS kind, count(*) AS rows FROM nodes GROUP BY ALL
-      UNION ALL SELECT case_id, 'edges', edge_type, count(*) FROM edges GROUP BY ALL""",
+    """SELECT case_id, 'nodes' AS part, node_type AS kind, count(*) AS rows FROM nodes WHERE case_id <> 3 GROUP BY ALL
+      UNION ALL SELECT case_id, 'edges', edge_type, count(*) FROM edges WHERE case_id <> 3 GROUP BY ALL""",
 )
 O._add(
     "stored_validation",
     O._CHECKED,
     """SELECT s.case_id, CAST(2 AS BIGINT) AS results, 2 * count(f.node_id) AS records FROM summary s LEFT JOIN failures f USING (case_id) GROUP BY ALL""",
 )
-O._add("graph_export", O._GRAPH[:4], "SELECT case_id, node_id, node_type, node_label FROM nodes WHERE case_id = 3")
+O._add(
+    "graph_export",
+    O._GRAPH,
+    """SELECT case_id, 'node' AS part, CAST(1 AS BIGINT) AS number, node_type AS kind, node_label AS label FROM nodes WHERE case_id = 3
+      UNION ALL SELECT case_id, 'edge', count(*), edge_type, concat_ws(' > ', src_label, dst_label) FROM edges WHERE case_id = 3 GROUP BY ALL
+      UNION ALL SELECT case_id, 'nodes', count(*), 'all', '' FROM nodes WHERE case_id = 3 GROUP BY ALL
+      UNION ALL SELECT case_id, 'edges', count(*), 'all', '' FROM edges WHERE case_id = 3 GROUP BY ALL""",
+)
 O._add("stream_text", [], _PLAIN.format(**_LINE, description="'order ' || o_orderkey"))
 O._add("own_reader", [], _PLAIN.format(**_LINE, description="'own ' || o_orderkey"))
 O.ORACLE["own_constraint"] = f"""SELECT case_id, node_id, 'Busy address' AS rule_name, 'VIOLATION' AS status,

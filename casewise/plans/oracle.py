@@ -673,10 +673,26 @@ _PATHS = """steps AS MATERIALIZED (SELECT case_id, src_label AS a, dst_label AS
     UNION
     SELECT s.case_id, s.b, min(r.cost + s.w) FROM reach r JOIN steps s ON s.case_id = r.case_id AND s.a = r.node
       LEFT JOIN recurring.reach old ON old.case_id = s.case_id AND old.node = s.b
-    GROUP BY s.case_id, s.b, old.cost HAVING old.cost IS NULL OR min(r.cost + s.w) < old.cost)"""
+    GROUP BY s.case_id, s.b, old.cost HAVING old.cost IS NULL OR min(r.cost + s.w) < old.cost),
+  tight AS MATERIALIZED (SELECT s.case_id, s.a, s.b FROM steps s JOIN reach x ON x.case_id = s.case_id AND x.node = s.a
+    JOIN reach y ON y.case_id = s.case_id AND y.node = s.b WHERE x.cost + s.w = y.cost),
+  hop(case_id, node, hops) USING KEY (case_id, node) AS (
+    SELECT DISTINCT case_id, start_node, 0 FROM addresses
+    UNION
+    SELECT t.case_id, t.b, min(h.hops) + 1 FROM hop h JOIN tight t ON t.case_id = h.case_id AND t.a = h.node
+      LEFT JOIN recurring.hop old ON old.case_id = t.case_id AND old.node = t.b
+    GROUP BY t.case_id, t.b, old.hops HAVING old.hops IS NULL OR min(h.hops) + 1 < old.hops),
+  before AS MATERIALIZED (SELECT t.case_id, t.b AS node, min(t.a) AS previous FROM tight t JOIN hop x ON x.case_id = t.case_id AND x.node = t.a
+    JOIN hop y ON y.case_id = t.case_id AND y.node = t.b WHERE x.hops + 1 = y.hops GROUP BY ALL),
+  walk(case_id, goal, node, path, steps) AS (
+    SELECT a.case_id, a.node_label, a.node_label, a.node_label, 0 FROM addresses a JOIN reach r ON r.case_id = a.case_id AND r.node = a.node_label
+    UNION ALL
+    SELECT w.case_id, w.goal, b.previous, b.previous || ' > ' || w.path, w.steps + 1 FROM walk w JOIN before b ON b.case_id = w.case_id AND b.node = w.node),
+  ways AS (SELECT case_id, goal, arg_max(path, steps) AS path FROM walk GROUP BY ALL)"""
 _PATH_BODY = """SELECT a.case_id || '>' || node_label AS request_id, a.case_id, start_node, node_label AS goal_node,
     CASE WHEN r.cost IS NULL THEN 'no_path' ELSE 'ok' END AS status, r.cost IS NOT NULL AS is_path_found,
-    round(r.cost, 4) AS total_cost{extra} FROM addresses a LEFT JOIN reach r ON r.case_id = a.case_id AND r.node = node_label"""
+    round(r.cost, 4) AS total_cost, coalesce(ways.path, '') AS path{extra} FROM addresses a LEFT JOIN reach r ON r.case_id = a.case_id AND r.node = node_label
+    LEFT JOIN ways ON ways.case_id = a.case_id AND ways.goal = node_label"""
 _add(
     "cheapest_path",
     [*_GRAPH, _PATHS],
@@ -699,6 +715,15 @@ _add(
       ELSE round(greatest(0.0::DOUBLE, {_level('node_label')} - {_level('start_node')}) * 0.5::DOUBLE, 4) END AS heuristic_cost"""
     ),
 )
+_add(
+    "own_heuristic",
+    [*_GRAPH, _PATHS],
+    _PATH_BODY.format(
+        extra=""", CASE WHEN start_node = node_label THEN 0.0::DOUBLE ELSE 0.01::DOUBLE END AS heuristic_cost,
+      CASE WHEN r.cost IS NULL THEN (SELECT count(*) FROM reach x WHERE x.case_id = a.case_id)
+      ELSE (SELECT count(*) FROM reach x WHERE x.case_id = a.case_id AND x.node <> node_label AND x.cost + 0.01::DOUBLE < r.cost) + 1 END AS visited_nodes_count"""
+    ),
+)
 _add(
     "path_resolution",
     [*_GRAPH[:4], _CASES],
@@ -857,6 +882,13 @@ _add(
       string_agg(fact_type || ':' || entity || '=' || value, ';' ORDER BY fact_id) AS derived_facts
       FROM fired JOIN derived USING (case_id, rule_id) GROUP BY ALL""",
 )
+_add(
+    "own_rule",
+    [_NORM, _FACTS],
+    """SELECT case_id, c.* FROM (SELECT case_id FROM uniq GROUP BY case_id HAVING bool_or(fact_type = 'NOTE') AND bool_or(fact_type = 'MASS_FILE_RENAME')),
+      (VALUES ('OWN_01', 'OWN_F1', 'OWN_NOTED', 'files', 'renamed', 0.5::DOUBLE), ('OWN_02', 'OWN_F2', 'OWN_CHAINED', 'files', 'twice', 0.25::DOUBLE))
+      c(rule_id, fact_id, fact_type, entity, value, confidence)""",
+)
 _add(
     "rule_triggers",
     [_NORM, _FACTS, _HITS],

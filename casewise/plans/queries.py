@@ -486,6 +486,7 @@ def _path_columns(answer, *extra):
         "status",
         "is_path_found",
         F.when(F.col("is_path_found"), F.col("total_cost")).alias("total_cost"),
+        F.array_join("path", " > ").alias("path"),
         "visited_nodes_count",
         *extra,
     )
@@ -504,6 +505,18 @@ def goal_path(spark, d):
     return _path_columns(answer, "heuristic_cost").drop("visited_nodes_count")
 
 
+@query
+def own_heuristic(spark, d):
+    """A caller's heuristic that never overestimates, used to narrow the search: any other vertex is a least step away."""
+    nodes, edges = _path_graph(spark, d)
+
+    def least_step(vertex, goal, *levels):
+        return F.when(vertex == goal, 0.0).otherwise(0.01)
+
+    answer = paths.goal_directed_path(_path_requests(nodes), nodes, edges, heuristic=least_step, admissible=True)
+    return _path_columns(answer, "heuristic_cost")
+
+
 @query
 def path_resolution(spark, d):
     """Requests that name a node by label, by id, or not at all, and cases without a graph."""
@@ -633,6 +646,20 @@ def derived_facts(spark, d):
     return inference.derived_facts(_facts(spark, d))
 
 
+@query
+def own_rule(spark, d):
+    """Two rules of a caller, the second of which follows from the first."""
+    kind = F.col("fact_type")
+    rules = [
+        inference.InferenceRule(
+            "OWN_01", "Noted renames", "FILES", "LOW", (kind == "NOTE", kind == "MASS_FILE_RENAME"),
+            (inference.Conclusion("OWN_F1", "OWN_NOTED", "files", "renamed", 0.5),),
+        ),
+        inference.InferenceRule("OWN_02", "Follows", "FILES", "LOW", (kind == "OWN_NOTED",), (inference.Conclusion("OWN_F2", "OWN_CHAINED", "files", "twice", 0.25),)),
+    ]
+    return inference.derived_facts(_facts(spark, d), rules)
+
+
 @query
 def fired_rules(spark, d):
     return inference.fired_rules(_facts(spark, d)).withColumn("derived_facts", F.array_join("derived_facts", ";"))

@@ -102,3 +102,21 @@ def test_graph_and_validation_tables(spark, tmp_path):
     summary = validate.validation_summary(nodes, found)
     tables.write_validation(summary, validate.validation_records(found, summary), folder)
     assert spark.read.parquet(f"{folder}/results").first()["validation_status"] == "PASSED"
+
+
+def test_rows_go_when_their_evidence_gives_none(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from casewise.sources import tables
+
+    path = str(tmp_path / "events")
+    rows = spark.range(100).select((F.col("id") % 3).alias("case_id"), (F.col("id") % 12).alias("evidence_id"), "id", F.current_timestamp().alias("timestamp"))
+    read = lambda: {r.id for r in spark.read.parquet(path).collect()}
+    tables.write_events(rows, path, rows)
+    assert read() == set(range(100))
+    # Evidence 4 is parsed to nothing, 5 to one row, the others are not read at all.
+    parsed = rows.where("evidence_id IN (4, 5)")
+    tables.write_events(rows.where("id = 5"), path, parsed)
+    assert read() == {k for k in range(100) if k % 12 not in (4, 5)} | {5}
+    tables.write_events(rows.limit(0), path, rows)
+    assert not [p for p in (tmp_path / "events").rglob("*.parquet")]
