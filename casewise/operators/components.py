@@ -2,12 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewise.operators.skew import attach_group, lookup
 from casewise.session import Scratch
 
+LINKS = "case_id long, u string, v string"
+# Links that a task joins up at a time.
+CHUNK = 500_000
+
+
+def _joined_up(case: pa.ChunkedArray, u: pa.ChunkedArray, v: pa.ChunkedArray) -> pa.RecordBatch:
+    """The components of these links alone, as a link (node, smallest node) of every node but the smallest."""
+    n = len(case)
+    names = pa.concat_arrays([*u.chunks, *v.chunks]).dictionary_encode()
+    place = pc.array_sort_indices(names.dictionary).to_numpy()
+    rank = np.empty(len(place), np.int64)
+    rank[place] = np.arange(len(place))
+    cases, number = np.unique(case.to_numpy(), return_inverse=True)
+    key = np.tile(number, 2) * len(place) + rank[names.indices.to_numpy()]
+    node, at = np.unique(key, return_inverse=True)
+    a, b = at[:n], at[n:]
+    low = np.arange(len(node))
+    while True:
+        least = np.minimum(low[a], low[b])
+        moved = low.copy()
+        for end in (a, b, low[a], low[b]):
+            np.minimum.at(moved, end, least)
+        moved = moved[moved]
+        if (moved == low).all():
+            break
+        low = moved
+    some = np.flatnonzero(low != np.arange(len(node)))
+    text = lambda keys: names.dictionary.take(pa.array(place[keys % len(place)]))
+    return pa.RecordBatch.from_arrays([pa.array(cases[node[some] // len(place)]), text(node[some]), text(node[low[some]])], ["case_id", "u", "v"])
+
+
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task joined up, ``CHUNK`` at a time: what was connected stays so, by fewer links."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= CHUNK:
+            yield _joined_up(*pa.Table.from_batches(held).select(["case_id", "u", "v"]).columns)
+            held, size = [], 0
+    if size:
+        yield _joined_up(*pa.Table.from_batches(held).select(["case_id", "u", "v"]).columns)
+
 
 def _both_ways(links: DataFrame) -> DataFrame:
     back = links.select("case_id", F.col("v").alias("u"), F.col("u").alias("v"))
@@ -51,14 +99,14 @@ def _roots(edges: DataFrame) -> DataFrame:
     """(case_id, node_id, root) of every node that has a link to another node and is not the root itself."""
     links = (
         edges.where(F.col("src_id").isNotNull() & F.col("dst_id").isNotNull() & (F.col("src_id") != F.col("dst_id")))
-        .select("case_id", F.greatest("src_id", "dst_id").alias("u"), F.least("src_id", "dst_id").alias("v"))
-        .distinct()
+        .select("case_id", F.col("src_id").alias("u"), F.col("dst_id").alias("v"))
+        .mapInArrow(contract, LINKS)
     )
-    held = Scratch(links, "links")
+    held = Scratch(links.repartition("case_id", "u").mapInArrow(contract, LINKS), "links")
     before = _measure(held.frame)
     while True:
         starred = _large_star(held.frame)
-        moved = Scratch(_small_star(starred).distinct(), "links")
+        moved = Scratch(_small_star(starred).distinct().mapInArrow(contract, LINKS).distinct(), "links")
         held.discard()
         held = moved
         now = _measure(held.frame)
@@ -79,9 +127,10 @@ def connected_components(
 ) -> DataFrame:
     """``component_id`` (the smallest node id of the component) for every node of every case.
 
-    Alternates the large-star and small-star steps of Kiveris et al., "Connected Components
-    in MapReduce and Beyond" (2014), which end after about log(n)^2 rounds. Neighbours are
-    never gathered: each step is a partially aggregated minimum and a skew-safe join.
+    Every task first joins up the links that it has, before and after they are dealt by node. Then the large-star and
+    small-star steps of Kiveris et al., "Connected Components in MapReduce and Beyond" (2014), alternate, each pair followed by
+    the same joining up, until nothing changes. Neighbours are never gathered: a step is a partially
+    aggregated minimum and a skew-safe join, and a task joins up ``CHUNK`` links at a time.
 
     ``leaf_edges`` names an edge type whose source nodes have no other edge, which holds for
     BELONGS_TO in a built graph. Those nodes, one per event, are folded into their target before
