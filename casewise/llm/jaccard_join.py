@@ -22,7 +22,8 @@ similarity is at least 0.75. The join finds every link:
    stands in most groups. Pairs whose sizes and profiles (shingles counted in 128 bins) allow it are
    verified on the shingle sets and joined to components.
 5. Groups whose sets still lie in several components are compared in full, all groups of a centre
-   together: in blocks of bounded size, common shingles counted by matrix products inside a task,
+   together, in blocks of bounded size: first by profiles, which leaves the sets that a set of another
+   component might link to, then these by their shingles, common ones counted by matrix products inside a task,
    which gives back no more than the links that join its components. So no link that matters for a component
    is missed, and large groups of near copies never become rows of pairs.
 
@@ -41,7 +42,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from casewise.llm.common import Workspace, components, group_task, prepare, task
@@ -58,10 +59,12 @@ CELL_BITS = 18
 LOCAL_TIMES, GLOBAL_TIMES, LEAST_FREQUENT = 4, 8, 64
 # Hash ranges, signatures gathered before a task sends its blocks, signatures wanted in a range.
 LEAST_RANGES, FLUSH, RANGE_SIGNATURES = 512, 1 << 20, 200_000
-# Bins of a set's profile, by which pairs that differ too much are left out before sets are fetched.
-BINS = 128
-# Bits of the filter that keeps unneeded sets out of the verifying shuffle: 1 MB at most.
-FILTER_BITS = 23
+# Least bins of a set's profile, by which pairs that differ too much are left out before sets are fetched; a large
+# set has a power of two of them, so that about SHARED shingles at most share one.
+BINS, SHARED = 128, 4
+# The filter that keeps unneeded sets out of the verifying shuffle: bits for each needed class, and the least
+# and greatest size as a power of two (32 MB; what passes beyond that is left out after the shuffle).
+FILTER_SHARE, LEAST_BITS, MOST_BITS = 16, 16, 28
 
 _SEGMENT, _MEMBER, _SUM_A, _SUM_B, _TOKEN = (U(x) for x in (0xA5B3571FD1, 0x7C1E99A4B7, 0x1D8AF066ED, 0x93D6E2C15B, 0x4F2BB1A9C7))
 
@@ -71,9 +74,9 @@ _WORDED = r"[^ \t-\r]"
 BLOCKS = "part int, packed binary"
 FOUND = "kind int, a long, b long"
 SETS = "a long, n int, members binary"
-# Sets of a block; a task compares two blocks. Shingles in at least DENSE sets of them go into a matrix,
+# Sets of a block, and its shingles; a task compares two blocks. Shingles in at least DENSE sets of them go into a matrix,
 # so many columns at a time.
-BLOCK, DENSE, COLUMNS = 1024, 16, 4096
+BLOCK, BLOCK_SHINGLES, DENSE, COLUMNS = 1024, 1 << 22, 16, 4096
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -88,6 +91,16 @@ def _cells(values: np.ndarray) -> np.ndarray:
     return (values >> U(64 - CELL_BITS)).astype(np.int64)
 
 
+def profile_sizes(size: np.ndarray) -> np.ndarray:
+    """Bins of the profiles of sets of these sizes."""
+    return BINS << np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / (BINS * SHARED)))).astype(np.int64)
+
+
+def _folded(profile: np.ndarray, bins: int) -> np.ndarray:
+    """Profiles (the last axis) in fewer bins."""
+    return profile.reshape(*profile.shape[:-1], -1, bins).sum(axis=-2, dtype=np.int32)
+
+
 def summarize(batches: Iterator[pa.RecordBatch], keyed: bool = False) -> Iterator[pa.RecordBatch]:
     """One row per document (id, set size, two sums, its ``key`` if it has one), and a task's frequent counters with their counts."""
     counts = np.zeros(1 << CELL_BITS, np.int64)
@@ -100,10 +113,12 @@ def summarize(batches: Iterator[pa.RecordBatch], keyed: bool = False) -> Iterato
             a, b = _marks(values, at)
             n = end - first
             row = np.repeat(np.arange(n), np.diff(at))
-            bins = np.bincount(row * BINS + (values & U(BINS - 1)).astype(np.int64), minlength=n * BINS)
-            profile = np.minimum(bins, 255).astype(np.uint8).reshape(n, BINS)
+            wide = profile_sizes(np.diff(at))
+            base = np.concatenate([[0], np.cumsum(wide)])
+            bins = np.bincount(base[row] + (values.view(np.int64) & (wide - 1)[row]), minlength=base[-1])
+            profile = np.minimum(bins, 255).astype(np.uint8).tobytes()
             columns = [ids.slice(first, n), pa.array(np.diff(at).astype(np.int32)), pa.array(_signed(a)), pa.array(_signed(b))]
-            columns += [pa.array([p.tobytes() for p in profile], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
+            columns += [pa.array([profile[x:y] for x, y in zip(base[:-1], base[1:], strict=True)], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
             if keyed:
                 columns.append(batch.column("key").slice(first, n))
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -289,10 +304,13 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) that may link by their sizes and profiles: sets differ at least as much as their profiles."""
     for batch in batches:
         n_a, n_b = (batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
-        p_a, p_b = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("p_a", "p_b")
-        )
-        differ = np.abs(p_a - p_b).sum(axis=1, dtype=np.int64)
+        differ = np.zeros(len(n_a), np.int64)
+        for k, (x, y) in enumerate(zip(batch.column("p_a"), batch.column("p_b"), strict=True)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            bins = min(len(x), len(y))
+            # A full bin may hold more than it says.
+            if len(x) == len(y) or max(x.max(), y.max()) < 255:
+                differ[k] = np.abs(_folded(x, bins) - _folded(y, bins)).sum()
         keep = (differ * (TIMES + OF) <= (OF - TIMES) * (n_a + n_b)) & (np.minimum(n_a, n_b) * OF >= np.maximum(n_a, n_b) * TIMES)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
@@ -362,8 +380,43 @@ def compare(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
-def filter_bits(needed: DataFrame, size: int) -> bytes:
-    """A filter of the needed classes (a): 2**size bits, whatever their number."""
+def may_link(rows: pa.Table) -> pa.Table:
+    """(centre, a, root, n) of the sets in two blocks of a group whose sizes and profiles allow a link with a set of another component."""
+    size, root, block = (rows.column(c).to_numpy().astype(np.int64) for c in ("n", "root", "block"))
+    order = np.argsort(size, kind="stable")
+    size, root, block = size[order], root[order], block[order]
+    profiles = rows.column("profile").to_pylist()
+    # Sets of as many bins stand together; partners have as many or twice as many.
+    bins = profile_sizes(size)
+    starts = np.flatnonzero(np.diff(bins, prepend=0))
+    level = np.searchsorted(starts, np.arange(len(size)), "right") - 1
+    whole = [
+        np.frombuffer(b"".join(profiles[i] for i in order[x:y].tolist()), np.uint8).reshape(y - x, -1).astype(np.int32)
+        for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(size)], strict=True)
+    ]
+    half = [_folded(m, max(BINS, m.shape[1] // 2)) for m in whole]
+    across = bool((block != block[0]).any())
+    marked = np.zeros(len(size), bool)
+    # A set meets those at least as large as itself, up to its size divided by the similarity.
+    ends = np.searchsorted(size, size * OF // TIMES, "right")
+    for k in range(len(size)):
+        mine = whole[level[k]][k - starts[level[k]]]
+        near = slice(k + 1, ends[k])
+        some = np.flatnonzero((root[near] != root[k]) & ((block[near] != block[k]) | (not across))) + k + 1
+        for at in np.unique(level[some]).tolist():
+            part = some[level[some] == at]
+            theirs = (whole if at == level[k] else half)[at][part - starts[at]]
+            differ = np.abs(theirs - mine).sum(axis=1, dtype=np.int64)
+            full = (theirs.max(axis=1) >= 255) | (mine.max() >= 255) if at != level[k] else False
+            found = part[full | (differ * (TIMES + OF) <= (OF - TIMES) * (size[part] + size[k]))]
+            marked[found] = True
+            marked[k] |= len(found) > 0
+    return rows.select(["centre", "a", "root", "n"]).take(pa.array(order[marked]))
+
+
+def filter_bits(needed: DataFrame) -> bytes:
+    """A filter of the needed classes (a), its size by their number."""
+    size = min(MOST_BITS, max(LEAST_BITS, (FILTER_SHARE * needed.count()).bit_length()))
     low = F.col("a").bitwiseAND((1 << size) - 1)
     words = (
         needed.select(F.shiftright(low, 6).alias("w"), F.expr("shiftleft(1L, cast(a & 63 AS int))").alias("bit"))
@@ -392,7 +445,7 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def class_sets(texts: DataFrame, reader: Callable, needed: DataFrame) -> DataFrame:
     """The shingle sets (a, n, members) of the classes ``needed`` (a), read from the texts anew."""
-    found = texts.mapInArrow(task(reader, filter_bits(needed, FILTER_BITS)), SETS)
+    found = texts.mapInArrow(task(reader, filter_bits(needed)), SETS)
     return found.join(needed.distinct(), "a", "left_semi").dropDuplicates(["a", "n"])
 
 
@@ -425,30 +478,48 @@ def _open(centres: DataFrame, roots: DataFrame) -> DataFrame:
     return member.join(mixed.select("centre"), "centre", "left_semi")
 
 
+def _dealt(open_: DataFrame, values: DataFrame, *names: str) -> GroupedData:
+    """The sets of a centre, with their values (by a), once for every two blocks of them."""
+    number = F.count(F.lit(1)) / BLOCK
+    if "n" in open_.columns:
+        number = F.greatest(number, F.sum("n") / BLOCK_SHINGLES)
+    counts = open_.groupBy("centre").agg(F.ceil(number).cast("int").alias("blocks"))
+    placed = open_.join(counts, "centre").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    dealt = placed.join(values, "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    two = [F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")]
+    return dealt.select("centre", *two, "block", "a", "root", *names).groupBy("centre", "first", "second")
+
+
+def _narrowed(open_: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets of open centres that may link with one of another component."""
+    known = classes.select("a", "n", "profile").dropDuplicates(["a"])
+    sized = open_.join(known.select("a", "n"), "a")
+    dealt = _dealt(sized, known.select("a", "profile"), "n", "profile")
+    return dealt.applyInArrow(group_task(may_link), "centre long, a long, root long, n int").distinct()
+
+
 def _across(open_: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) between components, from comparing all sets of a centre block by block."""
-    counts = open_.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = open_.join(counts, "centre").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     sets = fetch(open_.select("a")).select("a", "members")
-    dealt = placed.join(sets, "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    two = [F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")]
-    rows = dealt.select("centre", *two, "block", "a", "root", "members")
-    return rows.groupBy("centre", "first", "second").applyInArrow(group_task(compare), "a long, b long").distinct()
+    return _dealt(open_, sets, "members").applyInArrow(group_task(compare), "a long, b long").distinct()
+
 
+def class_roots(found: DataFrame, fetch: Callable[[DataFrame], DataFrame], classes: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the classes with a link, from candidates (see ``meet``); ``fetch`` gives the sets of classes.
 
-def class_roots(
-    found: DataFrame, fetch: Callable[[DataFrame], DataFrame], sieve: Callable[[DataFrame], DataFrame] | None = None
-) -> DataFrame:
-    """(node, root) of the classes with a link, from candidates (see ``meet``); ``fetch`` gives the sets of classes."""
+    ``classes`` (a, n, profile), where given, serve to leave out what cannot link before sets are fetched.
+    """
     groups = found.where("kind = 1").select(F.col("a").alias("signature"), F.col("b").alias("a"))
     work = Workspace()
     centres = work.keep(_centred(groups), "centres")
     around = centres.where(F.col("a") != F.col("centre")).select(F.least("a", "centre").alias("a"), F.greatest("a", "centre").alias("b"))
     pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(around).distinct()
-    pairs = work.keep(sieve(pairs) if sieve else pairs, "pairs")
+    pairs = work.keep(_alike(pairs, classes) if classes else pairs, "pairs")
     links = work.keep(_verified(pairs, fetch), "linked")
     roots = _roots(links)
     open_ = work.keep(_open(centres, roots), "open")
+    if classes:
+        open_ = work.keep(_narrowed(open_, classes), "narrowed")
     if not open_.isEmpty():
         links = links.unionByName(work.keep(_across(open_, fetch), "across"))
         roots = _roots(links)
@@ -474,7 +545,7 @@ def jaccard_classes(docs: DataFrame, keyed: bool = False) -> tuple[DataFrame, Da
     of_class = [F.min("doc_id").alias("id"), F.first("profile").alias("profile")]
     classes = Scratch(documents.where("n > 0").groupBy("a", "b", "n").agg(*of_class), "classes").frame
     fetch = partial(class_sets, texts, wanted_sets)
-    roots = class_roots(found.frame, fetch, lambda pairs: _alike(pairs, classes))
+    roots = class_roots(found.frame, fetch, classes)
     found.discard()
     return documents.drop("profile"), classes.join(roots, classes["a"] == roots["node"], "left").select("a", "b", "n", "id", F.coalesce("root", "a").alias("root"))
 

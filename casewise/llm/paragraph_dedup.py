@@ -49,8 +49,6 @@ SENTENCE_WORDS, LONG_WORDS = 8, 24
 LEAST_WORDS = 25
 # Words of a window that has an anchor, and of the gram an anchor stands for; WINDOW is at most GRAM.
 WINDOW, GRAM = 25, 25
-# Bits of the filter that keeps paragraphs of no repeated class out of the last shuffle: 8 MB.
-REPEATED_BITS = 26
 RANGE_BYTES = 1 << 21
 
 _ANCHOR, _GRAM = U(0x8CB92BA72F3D8DD7), U(0x6A09E667F3BCC909)
@@ -438,10 +436,10 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     several = found.where("kind = 2").select("a")
     linked = roots.select(F.col("node").alias("a"), "root")
     classes = work.keep(several.join(linked, "a", "full").select("a", F.coalesce("root", "a").alias("root")), "classes")
-    tied = filter_bits(found.where("kind = 3").select("a"), REPEATED_BITS)
+    tied = filter_bits(found.where("kind = 3").select("a"))
     near = texts.mapInArrow(task(near_grams, tied, ranges), BLOCKS)
     exact = work.keep(near.groupBy("part").applyInArrow(group_task(repeated_grams), _GRAMS), "grams")
-    located = texts.mapInArrow(task(locate, filter_bits(classes, REPEATED_BITS), filter_bits(exact, REPEATED_BITS)), _UNITS)
+    located = texts.mapInArrow(task(locate, filter_bits(classes), filter_bits(exact)), _UNITS)
     known = classes.unionByName(exact, True)
     units = Scratch(located.join(known, "a"), "units").frame
     work.clear()
