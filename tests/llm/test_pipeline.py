@@ -55,7 +55,7 @@ def test_every_operator_is_registered():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_same_rows_as_sql(corpus, name):
     duck = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "benchmark"):
         duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     frame = queries.QUERIES[name](corpus, FOLDER)
     result = duck.sql(queries.ORACLE[name])
