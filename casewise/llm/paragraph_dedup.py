@@ -3,9 +3,10 @@
 Equal runs. In every window of ``WINDOW`` words the word of the smallest hash is an anchor; an anchor
 stands for the ``GRAM`` words from it on. It depends on no more than its window, so a run of
 ``WINDOW + GRAM - 1`` words (49) that two documents share anywhere holds an anchor whose gram both have,
-whatever stands around it and wherever lines and sentences end. All grams that start within a window of such an
-anchor are then looked up, so the run is known word by word to its true borders. Of a gram's occurrences the one
-with the smallest (doc_id, place) is kept.
+whatever stands around it and wherever lines and sentences end. Near such anchors the text is cut at every
+anchor into segments. A segment that several documents have whole is one row. Only of the others, where runs
+begin and end, and of the first occurrence of a whole one are the single grams looked up, so the run is known word by
+word to its true borders. Of the occurrences of a segment or gram the one with the smallest (doc_id, place) is kept.
 
 Similar passages. A text is cut into paragraphs: a paragraph ends at a line end, at the end of a sentence
 once it has 8 words, or, from 24 words on, at a word whose hash ends in three zero bits. Words are lower-cased;
@@ -51,15 +52,17 @@ LEAST_WORDS = 25
 WINDOW, GRAM = 25, 25
 RANGE_BYTES = 1 << 21
 
-_ANCHOR, _GRAM = U(0x8CB92BA72F3D8DD7), U(0x6A09E667F3BCC909)
+_ANCHOR, _GRAM, _SEGMENT = U(0x8CB92BA72F3D8DD7), U(0x6A09E667F3BCC909), U(0xBB67AE8584CAA73B)
 _WORD_BASE, _CLASS, _BAND = U(0xD1B54A32D192ED03), U(0x2545F4914F6CDD1D), 0x5851F42D4C95
 _END = np.zeros(256, bool)
 _END[[ord("."), ord("!"), ord("?")]] = True
 _UNITS = "doc_id long, text_key long, unit int, first int, words int, start int, end int, before int, after int, a long"
 _GRAMS = "a long, low long, mark long"
+_SEGMENTS = f"{_GRAMS}, several boolean, seen long"
 _PASSAGES = "doc_id long, start_byte int, end_byte int, words long, kept_doc_id long, removed boolean"
-# A gram with its first occurrence (document; place and text), and whether several documents have it.
-_HELD = np.dtype([("kind", "<u8"), ("doc", "<u8"), ("mark", "<u8"), ("several", "?")])
+# A gram or segment with its first occurrence (document; place and text), whether several documents have it, and whether
+# an occurrence of it lies in a whole segment that several documents have.
+_HELD = np.dtype([("kind", "<u8"), ("doc", "<u8"), ("mark", "<u8"), ("several", "?"), ("inner", "?")])
 _TOP = U(1 << 63)
 _NULL = -(1 << 63)
 
@@ -247,54 +250,125 @@ def wanted_sets(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.R
 
 
 def _firsts(held: np.ndarray) -> np.ndarray:
-    """Each gram once, with its first occurrence."""
+    """Each gram or segment once, with its first occurrence."""
     held = held[np.lexsort((held["mark"], held["doc"], held["kind"]))]
-    kind, doc = held["kind"], held["doc"]
+    kind, doc, mark = held["kind"], held["doc"], held["mark"]
     start = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
     end = np.concatenate([start[1:], [len(kind)]]) - 1
     out = held[start]
-    out["several"] = np.logical_or.reduceat(held["several"], start) | (doc[start] != doc[end])
+    inner = np.logical_or.reduceat(held["inner"], start)
+    others = doc[start] != doc[end]
+    # An occurrence in a repeated segment stands for those in other documents.
+    others |= inner & (mark[start] != mark[end])
+    out["several"] = np.logical_or.reduceat(held["several"], start) | others
+    out["inner"] = inner
     return out
 
 
-def near_grams(batches: Iterator[pa.RecordBatch], bits: bytes, ranges: int) -> Iterator[pa.RecordBatch]:
-    """The grams that start within a window of an anchor that passes the filter, in blocks by hash range."""
+def _pieces(held: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Grams or segments, each once, in blocks by hash range."""
+    held = _firsts(held)
+    part = ((held["kind"] >> U(32)) * U(ranges) >> U(32)).astype(np.int32)
+    cut = np.searchsorted(part, np.arange(ranges + 1))
+    full = np.flatnonzero(np.diff(cut))
+    packed = [held[cut[p] : cut[p + 1]].tobytes() for p in full]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(packed, pa.binary())], ["part", "packed"])
+
+
+def seen(kind: np.ndarray, doc: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """A hash of one occurrence of a segment."""
+    return mix(kind ^ mix(doc ^ mix(mark)))
+
+
+class Near:
+    """What is looked up of some texts: segments near anchors of which other documents have the gram, and single grams."""
+
+    def __init__(self, parts: tuple[np.ndarray, ...], ids: np.ndarray, texts: int, tied: bytes):
+        owner, place, first, end, _, _, kind, self.words = parts
+        self.row = row = word_rows(owner, first, end)
+        self.gram, whole = grams(self.words, row)
+        n = len(self.gram)
+        at = anchors(self.words, row)
+        at = at[at < n]
+        at = at[whole[at]]
+        tie = at[passes(tied, self.gram[at])]
+        steps = np.bincount(np.maximum(tie - WINDOW + 1, 0), minlength=n + 1)
+        steps -= np.bincount(np.minimum(tie + WINDOW, n), minlength=n + 1)
+        self.near = (np.cumsum(steps)[:-1] > 0) & whole
+        # Segments begin at every anchor and at the first gram of a text, and take in all grams up to the next.
+        begins = whole & ~np.append(False, whole)[:n]
+        closes = np.flatnonzero(whole & ~np.append(whole, False)[1:])
+        begins[at] = True
+        low = np.flatnonzero(begins)
+        high = np.minimum(np.append(low[1:], n), closes[np.searchsorted(closes, low)] + 1) if len(low) else low
+        count = np.concatenate([[0], np.cumsum(self.near)])
+        some = count[high] > count[low]
+        self.low, self.high = low[some], high[some]
+        self.key = text_keys(owner, place, kind, texts)
+        self.place = word_places(row)
+        self.ids = ids
+        if len(self.low):
+            power, inverse = powers(len(self.words))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.words ^ _WORD_BASE) * power[: len(self.words)], dtype=np.uint64)])
+            self.segment = mix((sums[self.high - 1 + GRAM] - sums[self.low]) * inverse[self.low] ^ _SEGMENT)
+        else:
+            self.segment = np.zeros(0, np.uint64)
+
+    def held(self, kind: np.ndarray, at: np.ndarray, inner: np.ndarray | bool = False) -> np.ndarray:
+        out = np.zeros(len(at), _HELD)
+        out["kind"], out["doc"], out["inner"] = kind, self.ids[self.row[at]], inner
+        out["mark"] = _marks(self.place[at], self.key[self.row[at]])
+        return out
+
+    def singles(self, lone: bytes, leading: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The grams to look up one by one: in segments that may be of one document only, and in first occurrences of the others (true)."""
+        held = self.held(self.segment, self.low)
+        alone = passes(lone, self.segment)
+        take = alone | passes(leading, seen(held["kind"], held["doc"], held["mark"]))
+        length = (self.high - self.low)[take]
+        begin = np.cumsum(length) - length
+        q = np.arange(length.sum()) - np.repeat(begin, length) + np.repeat(self.low[take], length)
+        inner = np.repeat(~alone[take], length)
+        some = self.near[q] | inner
+        return q[some], inner[some]
+
+
+def _texts_near(batch: pa.RecordBatch, tied: bytes) -> Iterator[tuple]:
+    ids = batch.column("doc_id").fill_null(_NULL).to_numpy().view(np.uint64) ^ _TOP
+    for begin, _, data, offsets in slices(batch.column("text")):
+        parts = paragraphs(data, offsets)
+        if len(parts[0]):
+            yield begin, data, offsets, parts, Near(parts, ids[begin : begin + len(offsets) - 1], len(offsets) - 1, tied)
+
+
+def _flushed(found: Iterator[np.ndarray], ranges: int) -> Iterator[pa.RecordBatch]:
     kept: list[np.ndarray] = []
     size = 0
-
-    def flush():
-        held = _firsts(np.concatenate(kept))
-        part = ((held["kind"] >> U(32)) * U(ranges) >> U(32)).astype(np.int32)
-        cut = np.searchsorted(part, np.arange(ranges + 1))
-        full = np.flatnonzero(np.diff(cut))
-        packed = [held[cut[p] : cut[p + 1]].tobytes() for p in full]
-        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(packed, pa.binary())], ["part", "packed"])
-
-    for batch in batches:
-        ids = batch.column("doc_id").fill_null(_NULL).to_numpy().view(np.uint64) ^ _TOP
-        for begin, _, data, offsets in slices(batch.column("text")):
-            owner, place, first, end, _, _, kind, words = paragraphs(data, offsets)
-            row = word_rows(owner, first, end)
-            gram, whole = grams(words, row)
-            at = anchors(words, row)
-            at = at[at < len(gram)]
-            at = at[whole[at]]
-            at = at[passes(bits, gram[at])]
-            if not len(at):
-                continue
-            steps = np.bincount(np.maximum(at - WINDOW + 1, 0), minlength=len(gram) + 1)
-            steps -= np.bincount(np.minimum(at + WINDOW, len(gram)), minlength=len(gram) + 1)
-            q = np.flatnonzero((np.cumsum(steps)[:-1] > 0) & whole)
-            held = np.zeros(len(q), _HELD)
-            key = text_keys(owner, place, kind, len(offsets) - 1)
-            held["kind"], held["doc"], held["mark"] = gram[q], ids[begin + row[q]], _marks(word_places(row)[q], key[row[q]])
-            kept.append(held)
-            size += len(q)
+    for held in found:
+        kept.append(held)
+        size += len(held)
         if size >= FLUSH:
-            yield flush()
+            yield _pieces(np.concatenate(kept), ranges)
             kept, size = [], 0
-    if kept:
-        yield flush()
+    if size:
+        yield _pieces(np.concatenate(kept), ranges)
+
+
+def near_segments(batches: Iterator[pa.RecordBatch], tied: bytes, ranges: int) -> Iterator[pa.RecordBatch]:
+    """The segments near an anchor that passes the filter, in blocks by hash range."""
+    yield from _flushed((t.held(t.segment, t.low) for batch in batches for *_, t in _texts_near(batch, tied)), ranges)
+
+
+def near_grams(batches: Iterator[pa.RecordBatch], tied: bytes, lone: bytes, leading: bytes, ranges: int) -> Iterator[pa.RecordBatch]:
+    """The grams that are looked up one by one, in blocks by hash range."""
+
+    def found():
+        for batch in batches:
+            for *_, t in _texts_near(batch, tied):
+                q, inner = t.singles(lone, leading)
+                yield t.held(t.gram[q], q, inner)
+
+    yield from _flushed(found(), ranges)
 
 
 def _marks(places: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -302,40 +376,51 @@ def _marks(places: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return places.astype(np.uint64) << U(32) | keys & U(0xFFFFFFFF)
 
 
+def _firsts_of(rows: pa.Table) -> tuple[np.ndarray, list[pa.Array]]:
+    held = _firsts(np.concatenate([np.frombuffer(x, _HELD) for x in rows.column("packed").to_pylist()]))
+    columns = (held["kind"], held["doc"] ^ _TOP, held["mark"])
+    return held, [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in columns]
+
+
+def segment_firsts(rows: pa.Table) -> pa.Table:
+    """The segments of a hash range: hash, first document and occurrence in it, whether several documents have it, hash of that occurrence."""
+    held, columns = _firsts_of(rows)
+    which = seen(*(np.ascontiguousarray(held[c]) for c in ("kind", "doc", "mark")))
+    columns += [pa.array(np.ascontiguousarray(held["several"])), pa.array(which.view(np.int64))]
+    return pa.table(columns, names=["a", "low", "mark", "several", "seen"])
+
+
 def repeated_grams(rows: pa.Table) -> pa.Table:
     """The grams of a hash range that several documents have: hash, first document and occurrence in it."""
-    held = _firsts(np.concatenate([np.frombuffer(x, _HELD) for x in rows.column("packed").to_pylist()]))
-    held = held[held["several"]]
-    columns = [held["kind"], held["doc"] ^ _TOP, held["mark"]]
-    return pa.table({c: pa.array(np.ascontiguousarray(x).view(np.int64)) for c, x in zip(("a", "low", "mark"), columns, strict=True)})
+    held, columns = _firsts_of(rows)
+    return pa.table(columns, names=["a", "low", "mark"]).filter(pa.array(np.ascontiguousarray(held["several"])))
 
 
-def locate(batches: Iterator[pa.RecordBatch], bits: bytes, gram_bits: bytes) -> Iterator[pa.RecordBatch]:
-    """The paragraphs and grams (unit -1) whose class passes its filter, with their place in words and bytes."""
+def locate(
+    batches: Iterator[pa.RecordBatch], bits: bytes, tied: bytes, lone: bytes, leading: bytes, whole_bits: bytes, gram_bits: bytes
+) -> Iterator[pa.RecordBatch]:
+    """The paragraphs, segments and grams (both unit -1) whose class passes its filter, with their place in words and bytes."""
     names = [c.split()[0] for c in _UNITS.split(", ")]
     for batch in batches:
         ids = batch.column("doc_id")
-        for begin, _, data, offsets in slices(batch.column("text")):
-            owner, place, first, end, _, _, kind, words = paragraphs(data, offsets)
-            if not len(kind):
-                continue
-            key = text_keys(owner, place, kind, len(offsets) - 1)
+        for begin, data, offsets, (_, place, first, end, _, _, kind, _), t in _texts_near(batch, tied):
             starts, ends, row = word_spans(data, offsets)
-            places = word_places(row)
-            gram, whole = grams(words, row)
-            hit, near = np.flatnonzero(passes(bits, kind)), np.flatnonzero(passes(gram_bits, gram) & whole)
-            low = np.concatenate([first[hit], near])
-            high = np.concatenate([end[hit], near + GRAM])
+            hit, run = np.flatnonzero(passes(bits, kind)), np.flatnonzero(passes(whole_bits, t.segment))
+            near, _ = t.singles(lone, leading)
+            near = near[passes(gram_bits, t.gram[near])]
+            low = np.concatenate([first[hit], t.low[run], near])
+            high = np.concatenate([end[hit], t.high[run] - 1 + GRAM, near + GRAM])
             of = row[low]
             base = offsets[of]
             previous, following = np.maximum(low - 1, 0), np.minimum(high, len(row) - 1)
             before = np.where(row[previous] == of, ends[previous], starts[low])
             after = np.where(row[following] == of, starts[following], ends[high - 1])
-            unit = np.concatenate([place[hit], np.full(len(near), -1)])
-            columns = [ids.take(pa.array(begin + of)), pa.array(key[of].view(np.int64))]
-            numbers = (unit, places[low], high - low, starts[low] - base, ends[high - 1] - base, before - base, after - base)
+            unit = np.concatenate([place[hit], np.full(len(run) + len(near), -1)])
+            columns = [ids.take(pa.array(begin + of)), pa.array(t.key[of].view(np.int64))]
+            numbers = (unit, t.place[low], high - low, starts[low] - base, ends[high - 1] - base, before - base, after - base)
             columns += [pa.array(x.astype(np.int32)) for x in numbers]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([kind[hit], gram[near]]).view(np.int64))], names)
+            classes = np.concatenate([kind[hit], t.segment[run], t.gram[near]])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(classes.view(np.int64))], names)
 
 
 def join_up(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -437,10 +522,17 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     linked = roots.select(F.col("node").alias("a"), "root")
     classes = work.keep(several.join(linked, "a", "full").select("a", F.coalesce("root", "a").alias("root")), "classes")
     tied = filter_bits(found.where("kind = 3").select("a"))
-    near = texts.mapInArrow(task(near_grams, tied, ranges), BLOCKS)
+    near = texts.mapInArrow(task(near_segments, tied, ranges), BLOCKS)
+    segments = work.keep(near.groupBy("part").applyInArrow(group_task(segment_firsts), _SEGMENTS), "segments")
+    shared = segments.where("several")
+    # A filter passes all it was made of: grams of a segment of one document are never left out.
+    lone, leading = filter_bits(segments.where("NOT several")), filter_bits(shared.select(F.col("seen").alias("a")))
+    near = texts.mapInArrow(task(near_grams, tied, lone, leading, ranges), BLOCKS)
     exact = work.keep(near.groupBy("part").applyInArrow(group_task(repeated_grams), _GRAMS), "grams")
-    located = texts.mapInArrow(task(locate, filter_bits(classes), filter_bits(exact)), _UNITS)
-    known = classes.unionByName(exact, True)
+    located = texts.mapInArrow(
+        task(locate, filter_bits(classes), tied, lone, leading, filter_bits(shared), filter_bits(exact)), _UNITS
+    )
+    known = classes.unionByName(shared.select("a", "low", "mark"), True).unionByName(exact, True)
     units = Scratch(located.join(known, "a"), "units").frame
     work.clear()
     similar = units.where("root IS NOT NULL")

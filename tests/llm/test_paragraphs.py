@@ -128,3 +128,49 @@ def test_kept_and_removed_neighbours_are_one_stretch(corpus):
     docs = [(1, first), (2, f"{first}\n{second}"), (3, second)]
     rows = paragraph_dedup.repeated_passages(corpus.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.words, r.kept_doc_id, r.removed) for r in rows) == [(2, 16, 1, True), (2, 16, 2, False)]
+
+
+def test_runs_of_several_lengths_against_plain_search(corpus):
+    """Runs that documents share in longer and shorter pieces, twice in one text, and in whole copies."""
+    rng = random.Random(21)
+
+    def fresh(n):
+        return [f"r{rng.randrange(10**9)}" for _ in range(n)]
+
+    stock = [fresh(160) for _ in range(12)]
+    texts = []
+    for k in range(120):
+        words = fresh(rng.randrange(0, 40))
+        for _ in range(rng.randrange(1, 4)):
+            run = stock[rng.randrange(len(stock))]
+            low = rng.randrange(0, 100)
+            words += run[low : low + rng.randrange(20, 161)] + fresh(rng.randrange(0, 40))
+        texts.append(words if k % 5 or not texts else list(texts[rng.randrange(len(texts))]))
+    docs = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    rows = paragraph_dedup.repeated_passages(corpus.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()
+    fate = [[None] * len(w) for w in texts]
+    for r in rows:
+        low = len(docs[r.doc_id][1].encode()[: r.start_byte].split())
+        fate[r.doc_id][low : low + r.words] = [r.removed] * r.words
+
+    def shared(length):
+        holders = defaultdict(list)
+        for k, w in enumerate(texts):
+            for at in range(len(w) - length + 1):
+                holders[tuple(w[at : at + length])].append((k, at))
+        return [x for x in holders.values() if len({k for k, _ in x}) > 1]
+
+    for places in shared(49):
+        for k, at in places:
+            assert None not in fate[k][at : at + 49]
+    known, later = (set() for _ in range(2))
+    for places in shared(25):
+        known |= {(k, at + j) for k, at in places for j in range(25)}
+        later |= {(k, at + j) for k, at in sorted(places)[1:] for j in range(25)}
+    for places in shared(49):
+        for k, at in sorted(places)[1:]:
+            assert all(fate[k][at : at + 49])
+    reported = {(k, j) for k, f in enumerate(fate) for j, x in enumerate(f) if x is not None}
+    gone = {(k, j) for k, j in reported if fate[k][j]}
+    # A similar paragraph may hold a few words that no other text has.
+    assert len(reported - known) <= len(reported) // 50 and len(gone - later) <= len(gone) // 50
