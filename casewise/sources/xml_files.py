@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import json
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -14,62 +12,70 @@ from pyspark.sql import functions as F
 from casewise import taxonomy as X
 from casewise.functions.events import pick_from_map, universal_event
 from casewise.functions.timestamps import iso_to_utc
-from casewise.sources.files import Origin, read_contents
+from casewise.operators.skew import broadcast_if_small
+from casewise.session import materialize
+from casewise.sources import xml_pieces
+from casewise.sources.files import Origin, literal_path, read_contents, read_lines
 
 ELEMENTS = "case_id long, evidence_id long, path string, seq long, tag string, record string"
-CHUNK = 10_000
-
-
-def _short(tag: str) -> str:
-    return tag.split("}")[-1]
+CHUNK = 1 << 20
+LISTED = 1000
 
 
 def elements_of(content: bytes, flat: bool) -> list[tuple[int, str, str]]:
-    """(position, tag, child texts as JSON) of the elements that make events, in document order.
+    """(position, tag, child texts as JSON) of the elements of one document held as bytes, in document order.
 
     Not flat: every element that has children with text. Flat: the children of the root, with
-    their own children under short lower-case names. A file that is not well formed gives none.
+    their own children under short lower-case names. A document that is not well formed gives none.
     """
-    found: list[tuple[int, str, str]] = []
-    opened: list[int] = []
-    started = 0
+    target = xml_pieces.Elements(flat, 0, [])
+    parser = ET.XMLParser(target=target)
     try:
-        for moment, element in ET.iterparse(io.BytesIO(content), events=("start", "end")):
-            if moment == "start":
-                opened.append(started)
-                started += 1
-                continue
-            position = opened.pop()
-            if flat and len(opened) == 1:
-                texts = {_short(c.tag).lower(): c.text or "" for c in element}
-                found.append((position, element.tag, json.dumps(texts)))
-            elif not flat and len(element):
-                texts = {c.tag: c.text for c in element if (c.text or "").strip()}
-                if texts:
-                    found.append((position, element.tag, json.dumps(texts)))
-            element[:] = []  # the children are no longer needed
+        for start in range(0, len(content), CHUNK):
+            parser.feed(content[start : start + CHUNK])
+        parser.close()
     except ET.ParseError:
         return []
-    return sorted(found)
+    return sorted(row[:3] for row in target.rows)
 
 
-def read_elements(files: DataFrame, flat: bool) -> DataFrame:
-    """Elements of XML files held as bytes; one file is parsed at a time."""
+def whole_elements(files: DataFrame, flat: bool) -> DataFrame:
+    """Elements of the XML files that cannot be cut at ``>``, held as bytes."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                found = elements_of(bytes(row.content), flat)
-                for start in range(0, len(found), CHUNK):
-                    part = pd.DataFrame(found[start : start + CHUNK], columns=["seq", "tag", "record"])
-                    part.insert(0, "path", row.path)
-                    part.insert(0, "evidence_id", row.evidence_id)
-                    part.insert(0, "case_id", row.case_id)
-                    yield part
+                found = pd.DataFrame(elements_of(bytes(row.content), flat), columns=["seq", "tag", "record"])
+                found.insert(0, "path", row.path)
+                found.insert(0, "evidence_id", row.evidence_id)
+                found.insert(0, "case_id", row.case_id)
+                yield found
 
     return files.select("case_id", "evidence_id", "path", "content").mapInPandas(explode, ELEMENTS)
 
 
+def read_elements(spark: SparkSession, path, origin: Origin, flat: bool, glob: str | None = None) -> DataFrame:
+    """Elements of XML files, each file read by as many tasks as it has splits.
+
+    Files in UTF-16, and those whose type declaration goes over the border of a split, are parsed whole by one task each.
+    """
+    pieces = read_lines(spark, path, origin, glob, separator=xml_pieces.END, keep_block=True)
+    pieces = pieces.withColumn("text", F.col("line").cast("binary"))
+    splits = materialize(pieces.select("path", "block", "size", "text").mapInArrow(xml_pieces.summarize, xml_pieces.SPLITS_TYPE), "xml-splits")
+    states = materialize(splits.groupBy("path").applyInArrow(xml_pieces.states_of, xml_pieces.STATES_TYPE), "xml-states")
+    found = materialize(xml_pieces.elements(pieces, states, flat), "xml-elements")
+    kept = found.join(broadcast_if_small(xml_pieces.unfit(found, states)), "path", "left_anti")
+    cut = xml_pieces.put_together(kept)
+    chosen = states.where("fault = 'whole'").select(F.col("of_path").alias("path"))
+    listed = [r.path for r in chosen.limit(LISTED + 1).collect()]
+    if not listed:
+        return cut
+    # So many files are named to the scan; of more, all files are scanned for them.
+    named = (([literal_path(p) for p in listed], None) if len(listed) <= LISTED else (path, glob))
+    files = read_contents(spark, named[0], origin, named[1]).join(broadcast_if_small(chosen), "path", "left_semi")
+    return cut.unionByName(whole_elements(files, flat))
+
+
 def element_events(elements: DataFrame, origin: Origin) -> DataFrame:
     fields = {
         "source": F.lit("XmlLog"),
@@ -100,5 +106,5 @@ def read_xml_events(
 ) -> DataFrame:
     """Events of XML files; ``profile="flat"`` reads only the children of the root."""
     flat = profile == "flat"
-    elements = read_elements(read_contents(spark, path, origin, glob), flat)
+    elements = read_elements(spark, path, origin, flat, glob)
     return flat_events(elements, origin) if flat else element_events(elements, origin)
