@@ -20,7 +20,7 @@ from casewise.plans import adapters as A
 from casewise.plans import oracle as O
 from casewise.plans.queries import EVENT_TEXT, ORIGIN, YEAR, _order_rows, _validated, _xml_pieces, query
 from casewise.session import scratch_path
-from casewise.sources import archive, csv_files, ingest, json_files, line_logs, tables, winevent_xml, xml_files
+from casewise.sources import archive, csv_files, ingest, json_files, line_logs, tables, versions, winevent_xml, xml_files
 from casewise.streaming import jobs
 
 READ = [c for c in EVENT_TEXT if c not in ("event_uid", "seq")]
@@ -196,6 +196,30 @@ def stored_events(spark, d):
     return spark.read.schema(events.schema).parquet(folder).select(*EVENT_TEXT)
 
 
+@query
+def versioned_events(spark, d):
+    """As ``stored_events``, in a table that changes all at once: the rows of the list before, and those after it."""
+    path = scratch_path(spark, "versioned-events")
+    events = A.case_events(spark, d)
+    first = versions.commit_events(events, path)
+    again = events.where("evidence_id % 2 = 0")
+    versions.commit_events(again.where("evidence_id % 6 <> 0").withColumn("host", F.upper("host")), path, again)
+    before = versions.read(spark, path, "events", first).select(F.lit("before").alias("state"), *EVENT_TEXT)
+    return before.unionByName(versions.read(spark, path, "events").select(F.lit("after").alias("state"), *EVENT_TEXT))
+
+
+@query
+def versioned_graph(spark, d):
+    """Nodes, edges and metadata of all cases in a versioned table, written again without case 3 and compacted."""
+    path = scratch_path(spark, "versioned-graph")
+    built = graph.build_graph(A.normalized_events(spark, d))
+    parts = (*built, graph.graph_metadata(*built))
+    versions.commit_graph(*parts, path)
+    versions.commit_graph(*[df.where("case_id <> 3") for df in parts], path, parts[0])
+    versions.compact(spark, path, versions.GRAPH)
+    return _export_rows(*[versions.read(spark, path, part) for part in ("nodes", "edges", "metadata")])
+
+
 @query
 def stored_graph(spark, d):
     """Counts by type of the stored graph of all cases, written again without case 3."""
@@ -228,7 +252,11 @@ def stored_validation(spark, d):
 @query
 def graph_export(spark, d):
     """Nodes, edges and counts of the export of one case."""
-    nodes, edges, metadata = graph.graph_export(*graph.build_graph(A.normalized_events(spark, d)), 3)
+    return _export_rows(*graph.graph_export(*graph.build_graph(A.normalized_events(spark, d)), 3))
+
+
+def _export_rows(nodes, edges, metadata) -> DataFrame:
+    """Nodes, edges by type and ends, and metadata of graphs as rows of one form."""
 
     def part(df, name, number, kind, label):
         return df.select("case_id", F.lit(name).alias("part"), number.alias("number"), kind.alias("kind"), label.alias("label"))
@@ -398,6 +426,13 @@ O._add(
     [O._EV],
     f"""SELECT {", ".join('CASE WHEN evidence_id % 2 = 0 THEN upper(host) ELSE host END AS host' if c == "host" else f'"{c}"' for c in EVENT_TEXT)} FROM evs WHERE evidence_id % 6 <> 0""",
 )
+_UPPER_EVEN = ", ".join('CASE WHEN evidence_id % 2 = 0 THEN upper(host) ELSE host END AS host' if c == "host" else f'"{c}"' for c in EVENT_TEXT)
+O._add(
+    "versioned_events",
+    [O._EV],
+    f"""SELECT 'before' AS state, {", ".join(f'"{c}"' for c in EVENT_TEXT)} FROM evs
+      UNION ALL SELECT 'after', {_UPPER_EVEN} FROM evs WHERE evidence_id % 6 <> 0""",
+)
 O._add(
     "stored_graph",
     O._GRAPH,
@@ -409,14 +444,17 @@ O._add(
     O._CHECKED,
     """SELECT s.case_id, CAST(2 AS BIGINT) AS results, 2 * count(f.node_id) AS records FROM summary s LEFT JOIN failures f USING (case_id) GROUP BY ALL""",
 )
+# Rows of a graph's parts; the sign stands for the cases.
+_EXPORT = """SELECT case_id, 'node' AS part, CAST(1 AS BIGINT) AS number, node_type AS kind, node_label AS label FROM nodes WHERE %
+      UNION ALL SELECT case_id, 'edge', count(*), edge_type, concat_ws(' > ', src_label, dst_label) FROM edges WHERE % GROUP BY ALL
+      UNION ALL SELECT case_id, 'nodes', count(*), 'all', '' FROM nodes WHERE % GROUP BY ALL
+      UNION ALL SELECT case_id, 'edges', count(*), 'all', '' FROM edges WHERE % GROUP BY ALL"""
 O._add(
     "graph_export",
     O._GRAPH,
-    """SELECT case_id, 'node' AS part, CAST(1 AS BIGINT) AS number, node_type AS kind, node_label AS label FROM nodes WHERE case_id = 3
-      UNION ALL SELECT case_id, 'edge', count(*), edge_type, concat_ws(' > ', src_label, dst_label) FROM edges WHERE case_id = 3 GROUP BY ALL
-      UNION ALL SELECT case_id, 'nodes', count(*), 'all', '' FROM nodes WHERE case_id = 3 GROUP BY ALL
-      UNION ALL SELECT case_id, 'edges', count(*), 'all', '' FROM edges WHERE case_id = 3 GROUP BY ALL""",
+    _EXPORT.replace("%", "case_id = 3"),
 )
+O._add("versioned_graph", O._GRAPH, _EXPORT.replace("%", "case_id <> 3"))
 O._add("stream_text", [], _PLAIN.format(**_LINE, description="'order ' || o_orderkey"))
 O._add("own_reader", [], _PLAIN.format(**_LINE, description="'own ' || o_orderkey"))
 O.ORACLE["own_constraint"] = f"""SELECT case_id, node_id, 'Busy address' AS rule_name, 'VIOLATION' AS status,
