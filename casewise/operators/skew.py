@@ -45,3 +45,9 @@ def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that the rows are few; otherwise leave the plan open."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread_rows(df: DataFrame, rows: int) -> DataFrame:
+    """Deal rows that each take long over the cores, at most about ``rows`` to a task, whatever the files they came from."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(tasks)

@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewise.operators import graph, validate
+from casewise.operators.skew import spread_rows
 from casewise.plans import adapters as A
 from casewise.plans import oracle as O
 from casewise.plans.queries import EVENT_TEXT, ORIGIN, YEAR, _order_rows, _validated, _xml_pieces, query
-from casewise.session import scratch_path
+from casewise.session import materialize, scratch_path
 from casewise.sources import archive, csv_files, ingest, json_files, line_logs, tables, versions, winevent_xml, xml_files
 from casewise.streaming import jobs
 
@@ -28,6 +29,7 @@ LAYOUT = ["case_id", "evidence_id"]
 OWN_PATTERN = "part-*.txt"
 # Rows of a JSON or XML document.
 DOCUMENT_ROWS = 500
+ARCHIVES_A_TASK = 50_000
 # Which kind of JSON file an order goes to: 0 an array, 1 a file of its own, 2 a line.
 _JSON_KIND = "CASE WHEN seq % 100 = 1 THEN 1 WHEN seq % 2 = 1 THEN 0 ELSE 2 END"
 
@@ -169,20 +171,23 @@ def _zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["case_id", "evidence_id", "path", "content"])
 
 
+def _archives(spark, d) -> DataFrame:
+    """An archive for every customer, made by as many tasks as there are cores or more."""
+    customers = A.table(spark, d, "customer").select(F.col("c_custkey").alias("number"), F.col("c_mktsegment").alias("segment"))
+    return spread_rows(customers, ARCHIVES_A_TASK).mapInPandas(_zipped, "case_id long, evidence_id long, path string, content binary")
+
+
 @query
 def archive_read(spark, d):
     """ZIP archives held as rows; members go to the readers of their kind."""
-    customers = A.table(spark, d, "customer").select(F.col("c_custkey").alias("number"), F.col("c_mktsegment").alias("segment"))
-    archives = customers.mapInPandas(_zipped, "case_id long, evidence_id long, path string, content binary")
-    return archive.archive_events(archive.explode_archives(archives), ORIGIN, YEAR).select(*READ)
+    records = materialize(archive.explode_archives(_archives(spark, d)), "members")
+    return archive.archive_events(records, ORIGIN, YEAR).select(*READ)
 
 
 @query
 def archive_skipped(spark, d):
     """What archives hold and is not read, with the reason."""
-    customers = A.table(spark, d, "customer").select(F.col("c_custkey").alias("number"), F.col("c_mktsegment").alias("segment"))
-    archives = customers.mapInPandas(_zipped, "case_id long, evidence_id long, path string, content binary")
-    return archive.skipped_members(archive.explode_archives(archives))
+    return archive.skipped_members(archive.explode_archives(_archives(spark, d)))
 
 
 @query

@@ -9,7 +9,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +20,11 @@ from casewise.sources import csv_files, json_files, line_logs, winevent_xml, xml
 from casewise.sources.files import Origin, read_contents
 
 MEMBER_ROWS = "case_id long, evidence_id long, path string, member string, seq long, format string, tag string, line string"
+# Records, and signs of text, that leave a task at a time.
 CHUNK = 10_000
+CHUNK_SIGNS = 8 << 20
+_NAMES = ["case_id", "evidence_id", "path", "member", "seq", "format", "tag", "line"]
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
 
 def member_format(name: str) -> str | None:
@@ -98,25 +102,27 @@ def members(content: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
         yield "", None, str(problem) or type(problem).__name__
 
 
-def explode_archives(archives: DataFrame) -> DataFrame:
-    """Records of all members of archives held as bytes; members that are not read have one row of format ``skipped``, with the reason as its line."""
+def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Member records of archives. Those of small archives leave together: a batch for each would cost far more than reading the archive."""
+    rows, size = [], 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            seq = 0
+            for name, content, problem in members(row["content"]):
+                kind = "skipped" if problem else member_format(name)
+                for tag, text in [("", problem)] if problem else member_rows(kind, content):
+                    rows.append((row["case_id"], row["evidence_id"], row["path"], name, seq, kind, tag, text))
+                    seq, size = seq + 1, size + len(text)
+                    if len(rows) == CHUNK or size >= CHUNK_SIGNS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+                        rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                seq, rows = 0, []
-                for name, content, problem in members(bytes(row.content)):
-                    kind = "skipped" if problem else member_format(name)
-                    for tag, text in [("", problem)] if problem else member_rows(kind, content):
-                        rows.append((row.case_id, row.evidence_id, row.path, name, seq, kind, tag, text))
-                        seq += 1
-                        if len(rows) == CHUNK:
-                            yield pd.DataFrame(rows, columns=_NAMES)
-                            rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=_NAMES)
 
-    return archives.select("case_id", "evidence_id", "path", "content").mapInPandas(explode, MEMBER_ROWS)
+def explode_archives(archives: DataFrame) -> DataFrame:
+    """Records of all members of archives held as bytes; members that are not read have one row of format ``skipped``, with the reason as its line."""
+    return archives.select("case_id", "evidence_id", "path", "content").mapInArrow(exploded, MEMBER_ROWS)
 
 
 def skipped_members(records: DataFrame) -> DataFrame:
@@ -126,9 +132,6 @@ def skipped_members(records: DataFrame) -> DataFrame:
     )
 
 
-_NAMES = ["case_id", "evidence_id", "path", "member", "seq", "format", "tag", "line"]
-
-
 def archive_events(records: DataFrame, origin: Origin, year: int) -> DataFrame:
     """Events of exploded members, one branch per format."""
 

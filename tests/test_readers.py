@@ -4,11 +4,14 @@ import json
 import zipfile
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from casewise.functions.events import for_display
 from casewise.functions.normalize import normalize
+from casewise.operators.skew import spread_rows
 from casewise.schemas import EVENT, EVENT_COLUMNS
+from casewise.sources import archive
 from casewise.sources.archive import explode_archives, read_archive_events, skipped_members
 from casewise.sources.csv_files import read_csv_events, read_mixed_csv_events
 from casewise.sources.files import Origin, read_contents
@@ -251,6 +254,27 @@ def test_archive(spark, tmp_path):
     assert skipped == {("case.zip", "bad.exe"), ("case.zip", "inner.zip"), ("broken.zip", "")}
 
 
+def test_small_archives_leave_a_task_together(tmp_path):
+    """A batch for each archive took milliseconds; texts still leave before they are many."""
+    make_zip(tmp_path / "a.zip")
+    content = (tmp_path / "a.zip").read_bytes()
+    names = ["case_id", "evidence_id", "path", "content"]
+    batch = lambda ids: pa.RecordBatch.from_pydict(dict(zip(names, [[1] * len(ids), ids, [f"{i}.zip" for i in ids], [content] * len(ids)], strict=True)))
+    single = pa.Table.from_batches(archive.exploded(iter([batch([1])])))
+    together = list(archive.exploded(iter([batch([1, 2]), batch([3])])))
+    assert len(together) == 1
+    for i in (1, 2, 3):
+        own = pa.Table.from_batches(together).to_pylist()
+        assert [{**r, "evidence_id": 1, "path": "1.zip"} for r in own if r["evidence_id"] == i] == single.to_pylist()
+
+
+def test_rows_that_take_long_are_dealt_over_tasks(spark):
+    few = spread_rows(spark.range(10).coalesce(1), 100)
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spread_rows(spark.range(100).coalesce(1), 10)
+    assert many.rdd.getNumPartitions() == 10 and rows(many) == [(i,) for i in sorted(range(100), key=lambda i: repr((i,)))]
+
+
 def test_whole_texts_of_any_length(spark, tmp_path):
     """No text is cut, neither a file's nor a field's, and files without a known suffix are read."""
     long = "m" * 5000
