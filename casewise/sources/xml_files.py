@@ -62,7 +62,7 @@ def read_elements(spark: SparkSession, path, origin: Origin, flat: bool, glob: s
     pieces = read_lines(spark, path, origin, glob, separator=xml_pieces.END, keep_block=True)
     pieces = pieces.withColumn("text", F.col("line").cast("binary"))
     splits = materialize(pieces.select("path", "block", "size", "text").mapInArrow(xml_pieces.summarize, xml_pieces.SPLITS_TYPE), "xml-splits")
-    states = materialize(splits.groupBy("path").applyInArrow(xml_pieces.states_of, xml_pieces.STATES_TYPE), "xml-states")
+    states = materialize(xml_pieces.states(splits), "xml-states")
     found = materialize(xml_pieces.elements(pieces, states, flat), "xml-elements")
     kept = found.join(broadcast_if_small(xml_pieces.unfit(found, states)), "path", "left_anti")
     cut = xml_pieces.put_together(kept)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewise.operators.skew import broadcast_if_small
+from casewise.sources.files import split_runs
 
 END = ">"
 # What may be unfinished where a split starts. A tag is named by a sign that no document can hold, as its beginning is not known yet.
@@ -38,6 +39,11 @@ OPEN_END = re.compile(rb"<[^!?/<>\s]" + _TAG + rb"(?:\"[^\"<]*|'[^'<]*)\Z", re.S
 ENCODING = re.compile(rb"\s*<\?xml[^>]*?encoding\s*=\s*[\"']([A-Za-z][A-Za-z0-9._-]*)")
 # Splits whose start is broadcast; more are joined.
 BROADCAST_SPLITS = 200_000
+# Rows and bytes that leave a task at a time: a batch for every small file would cost more than reading it.
+BATCH_ROWS = 2_000
+BATCH_BYTES = 4 << 20
+# A file up to this size that is one split has no notes, since nothing starts in its middle; the parser checks it to its end.
+SMALL = 1 << 20
 
 _OPENED = pa.struct([("raw", pa.binary()), ("number", pa.int64()), ("text", pa.binary()), ("done", pa.bool_())])
 _NOTE = pa.struct([
@@ -47,8 +53,8 @@ _NOTE = pa.struct([
 SPLITS = pa.schema([("path", pa.string()), ("block", pa.int64()), ("head", pa.binary()), ("bytes", pa.int64()), ("size", pa.int64()), ("notes", pa.list_(_NOTE))])
 _OPENED_TYPE = "array<struct<raw: binary, number: bigint, text: binary, done: boolean>>"
 SPLITS_TYPE = f"path string, block long, head binary, bytes long, size long, notes array<struct<pops: bigint, lead: binary, touched: boolean, opened: {_OPENED_TYPE}, pending: binary, prolog: binary, fault: string>>"
-STATES = pa.schema([("of_path", pa.string()), ("of_block", pa.int64()), ("replay", pa.binary()), ("known", pa.list_(pa.int64())), ("done", pa.bool_()), ("ended", pa.bool_()), ("fault", pa.string())])
-STATES_TYPE = "of_path string, of_block long, replay binary, known array<bigint>, done boolean, ended boolean, fault string"
+STATES = pa.schema([("of_path", pa.string()), ("of_block", pa.int64()), ("replay", pa.binary()), ("known", pa.list_(pa.int64())), ("done", pa.bool_()), ("ended", pa.bool_()), ("fault", pa.string()), ("alone", pa.bool_())])
+STATES_TYPE = "of_path string, of_block long, replay binary, known array<bigint>, done boolean, ended boolean, fault string, alone boolean"
 PACKED = "case_id long, evidence_id long, path string, block long, part long, text binary"
 FOUND = "case_id long, evidence_id long, path string, seq long, tag string, record string, block long, name string, text string, kind string"
 
@@ -57,15 +63,10 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces of a split in one batch as one row, every piece with its end sign again."""
     part = 0
     for batch in batches:
-        columns = batch.to_pydict()
-        paths, blocks, texts = columns["path"], columns["block"], columns["text"]
-        out, start = [], 0
-        for k in range(1, len(paths) + 1):
-            if k == len(paths) or paths[k] != paths[start] or blocks[k] != blocks[start]:
-                part += 1
-                data = b"".join(t + END.encode() for t in texts[start:k])
-                out.append((columns["case_id"][start], columns["evidence_id"][start], paths[start], blocks[start], part, data))
-                start = k
+        out = []
+        for path, block, start, data in split_runs(batch, END):
+            part += 1
+            out.append((batch.column("case_id")[start].as_py(), batch.column("evidence_id")[start].as_py(), path, block, part, data))
         if out:
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
             names = ["case_id", "evidence_id", "path", "block", "part", "text"]
@@ -136,6 +137,10 @@ class Note:
         else:
             self.fault = "bad"
 
+    def held(self) -> int:
+        """About the bytes of its row."""
+        return sum(map(len, self.lead)) + len(self.pending) + sum(len(raw) + sum(map(len, text)) for raw, _, text, _ in self.opened)
+
     def row(self) -> dict:
         opened = [{"raw": raw, "number": number, "text": b"".join(text), "done": done} for raw, number, text, done in self.opened]
         return {
@@ -144,34 +149,50 @@ class Note:
 
 
 def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per split, with a note for each start. A start that cannot be true ends at its first fault."""
-    now = None
+    """One row per split, with a note for each start; those of small files leave together, without notes. A start that cannot be true ends at its first fault."""
+    now, rows, held = None, [], 0
+
+    def take(data: bytes) -> None:
+        for note in notes:
+            # A type declaration may go on in the next batch, but not in the next split.
+            if note.fault == "whole":
+                note.fault = None
+            if note.fault is None:
+                note.take(data)
+
+    def add() -> None:
+        nonlocal held
+        if waiting and read >= size:
+            notes.clear()
+        for data in waiting:
+            take(data)
+        rows.append({"path": now[0], "block": now[1], "head": head, "bytes": read, "size": size, "notes": [n.row() for n in notes]})
+        held += sum(n.held() for n in notes)
 
     def made() -> pa.RecordBatch:
-        row = {"path": now[0], "block": now[1], "head": head, "bytes": read, "size": size, "notes": [n.row() for n in notes]}
-        return pa.RecordBatch.from_pylist([row], SPLITS)
+        nonlocal held
+        batch = pa.RecordBatch.from_pylist(rows, SPLITS)
+        rows.clear()
+        held = 0
+        return batch
 
     for batch in batches:
-        columns = batch.to_pydict()
-        paths, blocks, texts = columns["path"], columns["block"], columns["text"]
-        start = 0
-        for k in range(1, len(paths) + 1):
-            if k < len(paths) and paths[k] == paths[start] and blocks[k] == blocks[start]:
-                continue
-            data = b"".join(t + END.encode() for t in texts[start:k])
-            if (paths[start], blocks[start]) != now:
+        for path, block, start, data in split_runs(batch, END):
+            if (path, block) != now:
                 if now:
+                    add()
+                if len(rows) == BATCH_ROWS or held >= BATCH_BYTES:
                     yield made()
-                now, size, read = (paths[start], blocks[start]), columns["size"][start], 0
-                head, notes = data[:1000], [Note(s) for s in STARTS]
-            for note in notes:
-                # A type declaration may go on in the next batch, but not in the next split.
-                if note.fault == "whole":
-                    note.fault = None
-                if note.fault is None:
-                    note.take(data)
-            read, start = read + len(data), k
+                now, size, read, waiting = (path, block), batch.column("size")[start].as_py(), 0, []
+                # A file begins in plain content.
+                head, notes = data[:1000], [Note(s) for s in (STARTS if block else STARTS[:1])]
+            read += len(data)
+            if block == 0 and size <= SMALL:
+                waiting.append(data)
+            else:
+                take(data)
     if now:
+        add()
         yield made()
 
 
@@ -185,12 +206,30 @@ def _start_of(pending: bytes) -> int:
 
 def states_of(table: pa.Table) -> pa.Table:
     """What is open at the start of every split of one file, as text that brings a parser to this state, and the faults of the file."""
-    splits = sorted(table.to_pylist(), key=lambda r: r["block"])
+    return pa.Table.from_pylist(_walk(sorted(table.to_pylist(), key=lambda r: r["block"])), STATES)
+
+
+def single_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for files that are one split each."""
+    for batch in batches:
+        yield pa.RecordBatch.from_pylist([state for split in batch.to_pylist() for state in _walk([split])], STATES)
+
+
+def states(splits: DataFrame) -> DataFrame:
+    """The states of all splits. Only files of several splits are grouped; a first split that has all bytes of its file is the only one."""
+    single = (F.col("block") == 0) & (F.col("bytes") >= F.col("size"))
+    several = splits.where(~single).groupBy("path").applyInArrow(states_of, STATES_TYPE)
+    return splits.where(single).mapInArrow(single_states, STATES_TYPE).unionByName(several)
+
+
+def _walk(splits: list[dict]) -> list[dict]:
     path, first, size = splits[0]["path"], splits[0], splits[0]["size"]
     ended = size - sum(s["bytes"] for s in splits) in (0, 3)  # a byte order mark is not read
     named = ENCODING.match(first["head"])
     begin = b'<?xml version="1.0" encoding="%s"?>' % named[1] if named else b""
     fault = "whole" if first["head"][:2] in (b"\xff\xfe", b"\xfe\xff") or b"\x00" in first["head"] else None
+    if not first["notes"]:
+        return [dict(zip(STATES.names, (path, first["block"], b"", [], False, ended, fault, True), strict=True))]
     stack: list[list] = []
     pending, prolog, rooted, out = b"", b"", False, []
     for split in splits:
@@ -222,8 +261,7 @@ def states_of(table: pa.Table) -> pa.Table:
         fault = "bad"
     if fault:
         out = [(first["block"], b"", [], False)]
-    rows = [dict(zip(STATES.names, (path, *state, ended, fault), strict=True)) for state in out]
-    return pa.Table.from_pylist(rows, STATES)
+    return [dict(zip(STATES.names, (path, *state, ended, fault, False), strict=True)) for state in out]
 
 
 def short_name(tag: str) -> str:
@@ -286,14 +324,23 @@ def cutter(flat: bool):
     """The second pass: rows of the elements of each split, and a row of kind ``bad`` where the parser refuses it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parser, target, row, loose, refused = None, None, None, None, 0, False
+        now, parser, target, row, alone, loose, refused = None, None, None, None, False, 0, False
+        out, held = [], 0
 
-        def made(rows: list[tuple]) -> pa.RecordBatch:
+        def add(rows: list[tuple]) -> None:
+            nonlocal held
             case, evidence, path, block = row
-            full = [(case, evidence, path, seq, tag, record, block, name, text, kind) for seq, tag, record, name, text, kind in rows]
+            out.extend((case, evidence, path, seq, tag, record, block, name, text, kind) for seq, tag, record, name, text, kind in rows)
+            held += sum(len(record or "") + len(text or "") for _, _, record, _, text, _ in rows)
+
+        def made() -> pa.RecordBatch:
+            nonlocal held
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
             names = ["case_id", "evidence_id", "path", "seq", "tag", "record", "block", "name", "text", "kind"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*full, strict=True), types, strict=True)], names)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+            out.clear()
+            held = 0
+            return batch
 
         def feed(data: bytes) -> None:
             nonlocal refused
@@ -304,23 +351,27 @@ def cutter(flat: bool):
             except ET.ParseError:
                 refused = True
 
-        def last() -> Iterator[pa.RecordBatch]:
+        def last() -> None:
+            nonlocal refused
+            if alone and not refused:
+                try:
+                    parser.close()
+                except ET.ParseError:
+                    refused = True
             if refused:
-                yield made([(None, None, None, None, None, "bad")])
+                add([(None, None, None, None, None, "bad")])
                 return
             target.finish()
-            rows = target.rows + [(None, None, None, None, None, "loose")] * loose
-            if rows:
-                yield made(rows)
+            add(target.rows + [(None, None, None, None, None, "loose")] * loose)
 
         for batch in batches:
             for item in batch.to_pylist():
                 if (item["path"], item["block"]) != now:
                     if now:
-                        yield from last()
+                        last()
                     now, loose, refused = (item["path"], item["block"]), 0, False
                     row = item["case_id"], item["evidence_id"], item["path"], item["block"]
-                    target = Elements(flat, item["block"], item["known"])
+                    alone, target = item["alone"], Elements(flat, item["block"], item["known"])
                     parser = ET.XMLParser(target=target)
                     feed(item["replay"])
                     if item["done"] and target.stack:
@@ -335,11 +386,15 @@ def cutter(flat: bool):
                         loose += 1
                     else:
                         feed(piece)
-                if not refused and target.rows:
-                    yield made(target.rows)
+                if not refused:
+                    add(target.rows)
                     target.rows.clear()
+                if len(out) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield made()
         if now:
-            yield from last()
+            last()
+        if out:
+            yield made()
 
     return cut
 
@@ -349,7 +404,7 @@ def elements(pieces: DataFrame, states: DataFrame, flat: bool) -> DataFrame:
     packed = pieces.select("case_id", "evidence_id", "path", "block", "text").mapInArrow(pack, PACKED)
     same = (F.col("path") == F.col("of_path")) & (F.col("block") == F.col("of_block"))
     ready = packed.join(broadcast_if_small(states.where("fault IS NULL"), BROADCAST_SPLITS), same)
-    columns = ["case_id", "evidence_id", "path", "block", "part", "text", "replay", "known", "done", "ended"]
+    columns = ["case_id", "evidence_id", "path", "block", "part", "text", "replay", "known", "done", "ended", "alone"]
     return ready.select(*columns).sortWithinPartitions("path", "block", "part").mapInArrow(cutter(flat), FOUND)
 
 

@@ -5,6 +5,7 @@ import json
 import random
 import xml.etree.ElementTree as ET
 
+import pyarrow as pa
 import pytest
 
 from casewise.sources import xml_pieces
@@ -132,3 +133,47 @@ def test_states_at_every_border():
         second.take(content[end:])
         assert (first.fault, second.fault) == (None, None)
         assert second.pops == len(first.opened) and first.number + second.number == whole.number and not second.pending
+
+
+def test_small_files_leave_a_task_together():
+    """Notes and elements of many small files are one batch; a file of one split needs no note, other first splits one for one start."""
+    texts = b"<l><e><a>x</a></e></l>".split(b">")[:-1]
+    rows = [{"path": f"{k}.xml", "block": 0, "text": t, "size": 22} for k in range(3) for t in texts]
+    notes = list(xml_pieces.summarize(iter([pa.RecordBatch.from_pylist(rows[:8]), pa.RecordBatch.from_pylist(rows[8:])])))
+    assert len(notes) == 1 and [(len(r["notes"]), r["bytes"]) for r in notes[0].to_pylist()] == [(0, 22)] * 3
+    (part,) = list(xml_pieces.summarize(iter([pa.RecordBatch.from_pylist([{**r, "size": 30} for r in rows[:3]])])))
+    assert [len(r["notes"]) for r in part.to_pylist()] == [1]
+    states = list(xml_pieces.single_states(iter(notes)))
+    assert len(states) == 1 and [(r["of_path"], r["ended"], r["fault"]) for r in states[0].to_pylist()] == [(f"{k}.xml", True, None) for k in range(3)]
+    items = [
+        {"case_id": 1, "evidence_id": k, "path": f"{k}.xml", "block": 0, "part": 1, "text": b"<l><e><a>x</a></e></l>", "replay": b"", "known": [], "done": False, "ended": True, "alone": True}
+        for k in range(3)
+    ]
+    schema = pa.schema([("case_id", pa.int64()), ("evidence_id", pa.int64()), ("path", pa.string()), ("block", pa.int64()), ("part", pa.int64()), ("text", pa.binary()),
+                        ("replay", pa.binary()), ("known", pa.list_(pa.int64())), ("done", pa.bool_()), ("ended", pa.bool_()), ("alone", pa.bool_())])
+    found = list(xml_pieces.cutter(True)(iter([pa.RecordBatch.from_pylist(items, schema)])))
+    assert len(found) == 1 and [(r["evidence_id"], r["tag"], r["record"]) for r in found[0].to_pylist()] == [(k, "e", '{"a": "x"}') for k in range(3)]
+
+
+def test_only_files_of_several_splits_are_grouped(spark):
+    """A file whose first split has all its bytes is walked where it is; the states are those of grouping all files."""
+    note = {"pops": 0, "lead": b"", "touched": True, "opened": [], "pending": b"", "prolog": b"", "fault": None}
+    opened = {**note, "opened": [{"raw": b"<l>", "number": 0, "text": b"", "done": True}]}
+    rows = [("a", 0, b"<l>", 10, 10, [note]), ("b", 0, b"<l>", 6, 10, [opened]), ("b", 6, b"", 4, 10, [{**note, "pops": 1}] * 6), ("c", 0, b"<l>", 10, 13, [note]), ("d", 0, b"<l>", 11, 10, [note])]
+    splits = spark.createDataFrame([(*r[:5], [tuple(n.values()) for n in r[5]]) for r in rows], xml_pieces.SPLITS_TYPE)
+    plain = splits.groupBy("path").applyInArrow(xml_pieces.states_of, xml_pieces.STATES_TYPE)
+    got = sorted((r["of_path"], r["of_block"], bytes(r["replay"]), r["ended"], r["fault"]) for r in xml_pieces.states(splits).collect())
+    assert got == sorted((r["of_path"], r["of_block"], bytes(r["replay"]), r["ended"], r["fault"]) for r in plain.collect())
+    assert len(got) == 5
+
+
+def test_small_files_are_checked_to_their_end(spark, tmp_path):
+    """Without notes it is the parser that refuses a root left open, text after the root, and an empty document."""
+    texts = ["<l><e><a>x</a></e></l>", "<l><e><a>x</a></e></l>\n\n", "<l><e><a>x</a></e>", "<l><e><a>x</a></e></l", "<l><e><a>x</a></e></l>tail", "<!-- x -->", "<l><e><a>x</a></e></l><m/>", ""]
+    for k, text in enumerate(texts):
+        folder = tmp_path / f"case_id=1/evidence_id={k}"
+        folder.mkdir(parents=True)
+        (folder / "a.xml").write_text(text)
+    for flat in (True, False):
+        got = read_elements(spark, str(tmp_path), Origin(), flat).collect()
+        assert sorted((r["evidence_id"], r["tag"]) for r in got) == [(0, "e"), (1, "e")]
