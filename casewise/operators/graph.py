@@ -9,7 +9,7 @@ from casewise import taxonomy as X
 from casewise.functions.scoring import edge_weight, event_label, evidence_label, user_label
 from casewise.functions.text import contains_any, first_present, present
 from casewise.functions.timestamps import utc_text
-from casewise.operators.skew import lookup
+from casewise.operators.skew import lookup_large
 
 PROPERTIES = "map<string,string>"
 
@@ -270,10 +270,10 @@ def edge_ends(edges: DataFrame, *columns: str) -> DataFrame:
 
 
 def incident_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Node labels joined to their edges; hot nodes are handled by the skew-safe lookup."""
+    """Node labels joined to their edges; nodes are many, so only hot ones have copies in the skew-safe lookup."""
     ends = edge_ends(edges, "edge_id", "edge_type", "src_id", "dst_id", "timestamp", "properties")
     names = nodes.select("case_id", "node_id", "node_type", "node_label")
-    joined = lookup(ends, names, ["case_id", "node_id"])
+    joined = lookup_large(ends, names, ["case_id", "node_id"])
     return joined.where(F.col("node_type").isNotNull())
 
 

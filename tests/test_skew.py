@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from casewise.operators import graph, skew
 from casewise.operators.ranking import number_rows, page, top_per_group, total_matches
 from casewise.operators.skew import SPREAD, attach_group, lookup
 from conftest import rows
@@ -77,3 +78,27 @@ def test_top_per_group_limits_before_the_shuffle(skewed):
 def test_page_and_total(skewed):
     assert [r["id"] for r in page(skewed, [F.col("id")], 10, 3).collect()] == [10, 11, 12]
     assert total_matches(skewed).first()["total"] == 6000
+
+
+def test_only_heavy_keys_of_a_large_table_are_copied(spark, monkeypatch):
+    """The rows are those of a plain join, null and missing keys too; a table as large as the rows goes over once but for its heavy keys."""
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 20)
+    left = spark.range(400).selectExpr("CASE WHEN id < 100 THEN 1 WHEN id < 110 THEN NULL WHEN id % 2 = 0 THEN id END AS k", "id", "string(id % 3) AS t")
+    table = spark.range(1, 300).selectExpr("id AS k", "id * 2 AS v")
+    got = skew.lookup_large(left, table, ["k"])
+    assert rows(got) == rows(left.join(table, "k", "left").select("k", "id", "t", "v"))
+    copied = []
+    monkeypatch.setattr(skew, "SPREAD", 5)
+    plain = type(table).join
+    monkeypatch.setattr(type(table), "join", lambda a, b, *rest: copied.append(b.count()) or plain(a, b, *rest))
+    skew.lookup_large(left, table, ["k"])
+    assert copied[-1] == 299 + 4
+
+
+def test_incident_edges_copy_hot_nodes_only(spark):
+    """Before, every node was repeated for the join."""
+    nodes = spark.range(50).selectExpr("1L AS case_id", "string(id) AS node_id", "'Host' AS node_type", "string(id) AS node_label")
+    edges = spark.range(50).selectExpr("1L AS case_id", "string(id) AS edge_id", "'E' AS edge_type", "string(id) AS src_id", "'0' AS dst_id", "timestamp_seconds(id) AS timestamp", "map('a', 'b') AS properties")
+    found = graph.incident_edges(nodes, edges)
+    assert "__heavy" in found._jdf.queryExecution().analyzed().toString()
+    assert found.count() == 100
