@@ -387,10 +387,15 @@ def _sorted_map(column: str):
     )
 
 
-def _stored_graph(spark, d):
-    """The graph as stored tables, for queries that read it several times."""
+NODE_NAMES = ["case_id", "node_id", "node_type", "node_label"]
+EDGE_ENDS = ["case_id", "edge_type", "src_id", "dst_id"]
+EDGE_CHECKS = ["case_id", "edge_id", "edge_type", "src_id", "dst_id", "timestamp", "properties"]
+
+
+def _stored_graph(spark, d, node_columns=("*",), edge_columns=("*",)):
+    """The graph as stored tables, of the columns that its queries read, for those that read it several times."""
     nodes, edges = graph.build_graph(A.normalized_events(spark, d))
-    return materialize(nodes, "nodes"), materialize(edges, "edges")
+    return materialize(nodes.select(*node_columns), "nodes"), materialize(edges.select(*edge_columns), "edges")
 
 
 @query
@@ -429,25 +434,25 @@ def node_search(spark, d):
 
 @query
 def incident_edges(spark, d):
-    nodes, edges = _stored_graph(spark, d)
+    nodes, edges = graph.build_graph(A.normalized_events(spark, d))
     return graph.incident_edges(nodes, edges).select("case_id", "node_id", "node_type", "node_label", "edge_id", "edge_type")
 
 
 @query
 def incident_counts(spark, d):
-    nodes, edges = _stored_graph(spark, d)
+    nodes, edges = _stored_graph(spark, d, NODE_NAMES, EDGE_ENDS)
     return graph.incident_counts(nodes, edges)
 
 
 @query
 def connected_components(spark, d):
-    nodes, edges = _stored_graph(spark, d)
+    nodes, edges = _stored_graph(spark, d, NODE_NAMES[:2], EDGE_ENDS)
     return components_op.connected_components(nodes, edges, leaf_edges="BELONGS_TO")
 
 
 @query
 def component_counts(spark, d):
-    nodes, edges = _stored_graph(spark, d)
+    nodes, edges = _stored_graph(spark, d, NODE_NAMES[:2], EDGE_ENDS)
     return graph.component_counts(components_op.connected_components(nodes, edges, leaf_edges="BELONGS_TO"))
 
 
@@ -537,8 +542,8 @@ def path_resolution(spark, d):
 # ---- validation ---------------------------------------------------------------------------------
 
 
-def _validated(spark, d):
-    nodes, edges = _stored_graph(spark, d)
+def _validated(spark, d, node_columns=NODE_NAMES):
+    nodes, edges = _stored_graph(spark, d, node_columns, EDGE_CHECKS)
     # One spawned edge in nine loses its source, so that the orphan rule has work to do.
     orphaned = (F.col("edge_type") == "SPAWNED") & F.col("edge_id").rlike("^[01]")
     edges = edges.withColumn("src_id", F.when(~orphaned, F.col("src_id")))
@@ -576,7 +581,7 @@ def validation_rules(spark, d):
 
 @query
 def resolved_nodes(spark, d):
-    nodes, found = _validated(spark, d)
+    nodes, found = _validated(spark, d, ["*"])
     kept = validate.resolved_nodes(nodes, found).where(F.col("node_type") == "Process")
     return kept.select("case_id", "node_label", F.col("properties")["resolved_parent"].alias("resolved_parent"))
 

@@ -88,7 +88,8 @@ class Scratch:
     def __init__(self, df: DataFrame, name: str = "scratch"):
         spark = df.sparkSession
         self.path = scratch_path(spark, name)
-        df.write.parquet(self.path)
+        # Ids are hexadecimal digits, of which the default compression makes little less.
+        df.write.option("compression", "zstd").parquet(self.path)
         self.frame = spark.read.schema(df.schema).parquet(self.path)
 
     def discard(self) -> None:
