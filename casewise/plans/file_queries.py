@@ -19,7 +19,7 @@ from casewise.operators import graph, validate
 from casewise.operators.skew import spread_rows
 from casewise.plans import adapters as A
 from casewise.plans import oracle as O
-from casewise.plans.queries import EVENT_TEXT, ORIGIN, YEAR, _order_rows, _validated, _xml_pieces, query
+from casewise.plans.queries import EVENT_TEXT, ORIGIN, YEAR, _order_rows, _stored_graph, _validated, _xml_pieces, query
 from casewise.session import materialize, scratch_path
 from casewise.sources import archive, csv_files, ingest, json_files, line_logs, tables, versions, winevent_xml, xml_files
 from casewise.streaming import jobs
@@ -217,7 +217,7 @@ def versioned_events(spark, d):
 def versioned_graph(spark, d):
     """Nodes, edges and metadata of all cases in a versioned table, written again without case 3 and compacted."""
     path = scratch_path(spark, "versioned-graph")
-    built = graph.build_graph(A.normalized_events(spark, d))
+    built = _stored_graph(spark, d)
     parts = (*built, graph.graph_metadata(*built))
     versions.commit_graph(*parts, path)
     versions.commit_graph(*[df.where("case_id <> 3") for df in parts], path, parts[0])
@@ -229,7 +229,7 @@ def versioned_graph(spark, d):
 def stored_graph(spark, d):
     """Counts by type of the stored graph of all cases, written again without case 3."""
     folder = scratch_path(spark, "graph")
-    nodes, edges = graph.build_graph(A.normalized_events(spark, d))
+    nodes, edges = _stored_graph(spark, d)
     metadata = graph.graph_metadata(nodes, edges)
     tables.write_graph(nodes, edges, metadata, folder)
     rest = [df.where("case_id <> 3") for df in (nodes, edges, metadata)]

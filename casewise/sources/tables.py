@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 BY_EVIDENCE = ("case_id", "evidence_id")
 BY_CASE = ("case_id",)
+# Ids and hashes are hexadecimal digits, which the default compression leaves nearly as long.
+COMPRESSION = "zstd"
 
 
 def _drop(spark: SparkSession, path: str) -> bool:
@@ -26,6 +28,7 @@ def _replace_partitions(df: DataFrame, path: str, keys: Sequence[str], layout: S
         .sortWithinPartitions(*keys, *layout)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", COMPRESSION)
         .partitionBy(*keys)
         .parquet(path)
     )

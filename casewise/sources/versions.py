@@ -1,6 +1,6 @@
 """Result tables that change all at once: new files first, then one rename.
 
-A table is a folder with the rows of every write (``data/<part>/__version=...``, clustered by case) and numbered lists of what is live
+A table is a folder with the rows of every write (``data/<part>/__version=...``, each file sorted by case) and numbered lists of what is live
 (``live/<number>``: the keys, evidence or case, and the version that holds their rows). A write adds its files, then renames a new
 list into place. Until then readers see the old rows, afterwards the new ones, of all parts of the table together; a writer that is lost
 before the rename changes nothing. The rename fails where another writer was faster; the list is then made anew from theirs, so
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewise.operators.skew import broadcast_if_small
-from casewise.sources.tables import BY_CASE, BY_EVIDENCE
+from casewise.sources.tables import BY_CASE, BY_EVIDENCE, COMPRESSION
 
 VERSION = "__version"
 TRIES = 20
@@ -64,14 +64,15 @@ def _live(spark: SparkSession, path: str, number: int) -> DataFrame:
 def write(parts: Mapping[str, DataFrame], path: str, keys: Sequence[str], layout: Mapping[str, Sequence[str]], replaced: DataFrame | None = None) -> int:
     """Replace the rows of all keys in ``parts`` and in ``replaced``, in every part at once; gives the number of the new list.
 
-    Keys must not be null. Keys in ``replaced`` alone (evidence that now gives no rows) have none afterwards.
+    Every task sorts and writes the rows that it has: a reader of one case skips the rest of a file by its statistics, and no row is
+    moved for that. Keys must not be null. Keys in ``replaced`` alone (evidence that now gives no rows) have none afterwards.
     """
     spark = next(iter(parts.values())).sparkSession
     version = f"v{uuid.uuid4().hex}"
     found = None
     for name, rows in parts.items():
         folder = f"{path}/data/{name}/{VERSION}={version}"
-        rows.hint("rebalance", keys[0]).sortWithinPartitions(*keys, *layout.get(name, [])).write.parquet(folder)
+        rows.sortWithinPartitions(*keys, *layout.get(name, [])).write.option("compression", COMPRESSION).parquet(folder)
         written = spark.read.schema(rows.schema).parquet(folder).select(*keys)
         found = written if found is None else found.unionByName(written)
     fresh = found.distinct()

@@ -82,3 +82,16 @@ def test_parts_change_together_and_compact_keeps_the_live_rows(spark, tmp_path):
     assert {p: rows(versions.read(spark, path, p), "case_id") for p in want} == want
     assert versions._children(spark, f"{path}/live") == [str(number)]
     assert len(versions._children(spark, f"{path}/data/nodes")) == 1
+
+
+def test_rows_are_written_where_they_are(spark, tmp_path):
+    """No shuffle for the layout: a sorted file for every task, compressed for hexadecimal ids."""
+    path = str(tmp_path / "events")
+    frame = spark.range(0, 300, 1, 3).selectExpr("id % 5 AS case_id", "id % 7 AS evidence_id", "timestamp_seconds(300 - id) AS timestamp", "sha2(string(id), 256) AS event_uid")
+    versions.commit_events(frame, path)
+    files = sorted((tmp_path / "events" / "data" / "events").rglob("*.parquet"))
+    assert len(files) == 3 and all(f.name.endswith(".zstd.parquet") for f in files)
+    for file in files:
+        keys = [(r.case_id, r.evidence_id, r.timestamp) for r in spark.read.parquet(str(file)).collect()]
+        assert keys == sorted(keys)
+    assert rows(versions.read(spark, path, "events")) == rows(frame)
