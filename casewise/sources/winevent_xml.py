@@ -11,6 +11,7 @@ from casewise.functions.events import universal_event
 from casewise.functions.text import first_present, present
 from casewise.functions.timestamps import iso_to_utc
 from casewise.operators.skew import broadcast_if_small
+from casewise.session import materialize
 from casewise.sources.files import Origin, read_lines
 
 END_TAG = "</Event>"
@@ -35,7 +36,8 @@ def event_blocks(pieces: DataFrame) -> DataFrame:
         pieces.withColumn("__block", block)
         .where(F.col("__block") != "")
         .withColumn("xml", F.concat("__block", F.lit(END_TAG)))
-        .withColumn("event", F.from_xml(plain, EVENT_XML, options))
+        # As a generated row the event is parsed once; the filter would otherwise parse it for itself.
+        .withColumn("event", F.explode(F.array(F.from_xml(plain, EVENT_XML, options))))
         .where(F.col("event.broken").isNull() & F.col("event").isNotNull())
         .drop("line", "__block")
         .withColumn(
@@ -139,6 +141,7 @@ def read_winevent_xml(
     events = winevent_events(event_blocks(pieces), origin, profile)
     if not plain_lines or profile != "standard":
         return events
-    with_blocks = pieces.where(F.col("line").rlike(r"<Event[\s>]")).select("path").distinct()
+    # Stored, since they are counted before they are joined, and each time would read all files.
+    with_blocks = materialize(pieces.where(F.col("line").rlike(r"<Event[\s>]")).select("path").distinct(), "with-blocks")
     others = read_lines(spark, path, origin, glob).join(broadcast_if_small(with_blocks), "path", "left_anti")
     return events.unionByName(line_events(others, origin))

@@ -11,7 +11,7 @@ from casewise.functions.events import for_display
 from casewise.functions.normalize import normalize
 from casewise.operators.skew import spread_rows
 from casewise.schemas import EVENT, EVENT_COLUMNS
-from casewise.sources import archive
+from casewise.sources import archive, winevent_xml
 from casewise.sources.archive import explode_archives, read_archive_events, skipped_members
 from casewise.sources.csv_files import read_csv_events, read_mixed_csv_events
 from casewise.sources.files import Origin, read_contents
@@ -254,6 +254,14 @@ def test_archive(spark, tmp_path):
     assert skipped == {("case.zip", "bad.exe"), ("case.zip", "inner.zip"), ("broken.zip", "")}
 
 
+def test_event_blocks_are_parsed_once(spark):
+    """The filter on well-formed blocks used to parse each for itself."""
+    pieces = spark.createDataFrame([(1, 1, 1, EVENT_BLOCK.format(id="4624", q="").split("</Event>")[0]), (1, 1, 2, "<Event><broken"), (1, 1, 3, "none")], "case_id long, evidence_id long, seq long, line string")
+    blocks = winevent_xml.event_blocks(pieces)
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
+    assert [(r["seq"], r["event"]["System"]["EventID"]) for r in blocks.collect()] == [(1, "4624")]
+
+
 def test_small_archives_leave_a_task_together(tmp_path):
     """A batch for each archive took milliseconds; texts still leave before they are many."""
     make_zip(tmp_path / "a.zip")
