@@ -43,13 +43,15 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], ou
     )
 
 
-def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
+def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None, dealt: bool = False) -> DataFrame:
     """First ``k`` rows of each group, the feature of a report.
 
     The filter on the row number is pushed below the shuffle (window group limit), so each
-    task forwards at most ``k`` rows per group.
+    task forwards at most ``k`` rows per group. For that a task sorts all its rows; ``dealt`` first deals
+    them into parts of the advisory size, so that what a task sorts does not grow with the input.
     """
     column = rank or "__rank"
+    df = df.hint("rebalance") if dealt else df
     ranked = df.withColumn(column, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     kept = ranked.where(F.col(column) <= k)
     return kept if rank else kept.drop(column)

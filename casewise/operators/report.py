@@ -137,6 +137,7 @@ def case_context(
         [F.col("node_type"), F.col("node_label")],
         shown_nodes,
         "n",
+        dealt=True,
     ).withColumn("text", node_line())
     timeline = top_per_group(
         events.select("case_id", "timestamp", "event_uid", "severity", "event_type", "user", "host", "description"),
@@ -144,6 +145,7 @@ def case_context(
         [F.col("timestamp").asc_nulls_first(), F.col("event_uid")],
         shown_events,
         "n",
+        dealt=True,
     ).withColumn("text", event_line())
     silent = cases.join(events.select("case_id").distinct(), "case_id", "left_anti")
     parts = [
@@ -188,6 +190,7 @@ def investigation_prompt(cases: DataFrame, alerts: DataFrame, events: DataFrame,
         [F.col("timestamp").asc_nulls_first(), F.col("event_uid")],
         shown_events,
         "n",
+        dealt=True,
     ).withColumn("text", prompt_event_line())
     parts = [
         _lines(head, 1, F.col("p") + 1, F.col("text")),

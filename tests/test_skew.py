@@ -102,3 +102,11 @@ def test_incident_edges_copy_hot_nodes_only(spark):
     found = graph.incident_edges(nodes, edges)
     assert "__heavy" in found._jdf.queryExecution().analyzed().toString()
     assert found.count() == 100
+
+
+def test_dealt_rows_are_sorted_in_parts(spark, skewed):
+    """Before, a task sorted all rows of its input; the first rows of the groups are the same."""
+    order = [F.col("t"), F.col("id")]
+    dealt = top_per_group(skewed, ["key"], order, 3, "n", dealt=True)
+    assert "RebalancePartitions" in dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(dealt) == rows(top_per_group(skewed, ["key"], order, 3, "n"))
